@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe
 from .decontaminate import OP3_SQL, op3_decontamination
+from .language import op10_language
+from .quality_model import op7_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .secret_scan import OP8_SQL, op8_secret_scans
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scans": op8_secret_scans,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL = {
