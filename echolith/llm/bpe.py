@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 from .common import durable, table, with_key
 
 #: Most words that are broadcast.
-HOT = 1 << 19
+HOT = 1 << 18
 #: Words that a task counts before it passes the counts on.
 FLUSH = 400_000
 
-PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+LETTERS = [c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)] + [c for c in range(128) if chr(c).isalpha()]
+PROSE = bytes([*b" \t\n\r.,", *LETTERS])
+PLAIN = bytes([*b"\t\n\r", *range(0x20, 0x7F), *LETTERS])
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 BLANK = re.compile(r"[^ \t\n\r]+")
 
@@ -46,7 +49,13 @@ BLANK = re.compile(r"[^ \t\n\r]+")
 def split(text: str | None) -> list[str]:
     if not text:
         return []
-    if PLAIN.fullmatch(text) and "<|" not in text:
+    try:
+        rest = text.encode("latin-1").translate(None, PROSE)
+    except UnicodeEncodeError:
+        return BLANK.findall(text)
+    if not rest and not any(x in text for x in ("..", ".,", ",.", ",,")):
+        return text.lower().replace(".", " . ").replace(",", " , ").split()
+    if not rest.translate(None, PLAIN) and "<|" not in text:
         return WORD.findall(text.lower())
     return BLANK.findall(text)
 
@@ -121,11 +130,11 @@ def hot_words(words: DataFrame, most: int = HOT) -> tuple[DataFrame, int]:
 
 
 def _lookup(words: DataFrame):
-    """The hot words as (text of words, offsets, ids)."""
-    got = words.select("word", "ids").toPandas()
-    sizes = np.array([len(x) // 4 for x in got["ids"]], np.int64)
-    flat = np.frombuffer(b"".join(bytes(x) for x in got["ids"]), "<u4")
-    return "\n".join(got["word"]), np.concatenate([[0], np.cumsum(sizes)]), flat
+    """The hot words, most frequent first, as (text of words, offsets, ids)."""
+    got = words.select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    sizes = pc.binary_length(got["ids"]).to_numpy().astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(got["ids"].to_pylist()), "<u4")
+    return "\n".join(got["word"].to_pylist()), np.concatenate([[0], np.cumsum(sizes)]), flat
 
 
 _INDEX: dict = {}
@@ -135,40 +144,27 @@ def _index(shared) -> tuple[dict, np.ndarray, np.ndarray]:
     if shared.value[0] is not _INDEX.get("of"):
         _INDEX.clear()
         text, offsets, flat = shared.value
-        _INDEX.update(of=text, got=({w: k for k, w in enumerate(text.split("\n"))} if text else {}, offsets, flat))
+        _INDEX.update(of=text, got=({w: k for k, w in enumerate(text.split("\n"), 1)} if text else {}, offsets, flat))
     return _INDEX["got"]
 
 
-def _gather(idx: np.ndarray, offsets: np.ndarray, flat: np.ndarray, gap: int) -> np.ndarray:
-    """Ids of the words idx; gap in the place of each word that is -1."""
-    known = idx >= 0
-    at = np.where(known, idx, 0)
-    size = np.where(known, offsets[at + 1] - offsets[at] if len(offsets) > 1 else 0, 1)
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    out = np.arange(total) - np.repeat(ends - size, size) + np.repeat(np.where(known, offsets[at], 0), size)
-    rare = np.repeat(~known, size)
-    ids = flat[np.where(rare, 0, out)] if len(flat) else np.zeros(total, np.uint32)
-    return np.where(rare, gap, ids)
+def _pack(idx: np.ndarray) -> bytes:
+    """Ranks of words, 0 for a rare one, by planes of bytes: frequent words have short ranks."""
+    return zstandard.compress((idx.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), 3)
 
 
-GAP = 0xFFFFFFFF
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(3, -1).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
 def _known(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
-    """(id, _k, pos -1, data): the ids of each text with gaps for the rare words, packed."""
+    """(id, _k, pos -1, data): each text as the ranks of its words, with gaps for the rare words, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, offsets, flat = _index(shared)
-        get, pack = index.get, zstandard.ZstdCompressor(level=1).compress
+        get = _index(shared)[0].get
         for b in batches:
-            data = []
-            for text in b.column(2):
-                words = split(text.as_py())
-                idx = np.array([get(w, -1) for w in words], np.int64)
-                ids = _gather(idx, offsets, flat, GAP)
-                small = len(ids) == 0 or ids[ids != GAP].max(initial=0) < 0xFFFF
-                data.append(b"2" + pack(np.where(ids == GAP, 0xFFFF, ids).astype("<u2").tobytes()) if small else b"4" + pack(ids.astype("<u4").tobytes()))
+            data = [_pack(np.array([get(w, 0) for w in split(t.as_py())], np.uint32)) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([-1] * b.num_rows, pa.int32()), pa.array(data, pa.binary())], [id_col, "_k", "pos", "data"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -194,29 +190,31 @@ def _rare(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, "_k", text_col).mapInArrow(run, f"`{id_col}` {kind}, _k long, pos int, word string")
 
 
-def _whole(rows: DataFrame, id_col: str) -> DataFrame:
+def _whole(rows: DataFrame, shared, id_col: str) -> DataFrame:
     """(id, ids): the rows of a document, met in order of pos, made one; ids are packed 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        _, offsets, flat = _index(shared)
+        some = lambda x: x if len(x) else np.zeros(1, np.uint32)
         key, packed, rare = None, [], {}
         ids, out = [], []
 
         def close():
+            fill = [rare[k] for k in range(len(rare))]
+            own = np.frombuffer(b"".join(fill), "<u4")
+            own_at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in fill])]).astype(np.int64)
             for data in packed:
-                a = np.frombuffer(unpack(data[1:]), "<u2" if data[:1] == b"2" else "<u4").astype(np.uint32)
-                gaps = np.flatnonzero(a == (0xFFFF if data[:1] == b"2" else GAP))
-                if len(gaps):
-                    size = np.ones(len(a), np.int64)
-                    fill = [np.frombuffer(rare[k], "<u4") for k in range(len(gaps))]
-                    size[gaps] = [len(x) for x in fill]
-                    mark = np.zeros(len(a), bool)
-                    mark[gaps] = True
-                    wide, mark = np.repeat(a, size), np.repeat(mark, size)
-                    wide[mark] = np.concatenate(fill)
-                    a = wide
+                rank = _unpack(data)
+                gap = rank == 0
+                begin = offsets[np.maximum(rank, 1) - 1] if len(flat) else np.zeros(len(rank), np.int64)
+                size = offsets[np.maximum(rank, 1)] - begin if len(flat) else np.zeros(len(rank), np.int64)
+                if len(rare):
+                    begin[gap], size[gap] = own_at[:-1] + len(flat), np.diff(own_at)
+                ends = np.cumsum(size)
+                at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)
                 ids.append(key[0])
-                out.append(a.tobytes())
+                got = np.where(at < len(flat), some(flat).take(at, mode="clip"), some(own).take(at - len(flat), mode="clip"))
+                out.append(got.astype("<u4").tobytes())
 
         def rows_():
             got = pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(out, pa.binary())], [id_col, "ids"])
@@ -256,7 +254,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     others = words.filter(F.col("n") < least).select("word", F.col("ids").alias("data"))
     rare = _rare(keyed, shared, id_col, text_col).join(others, "word").select(id_col, "_k", "pos", "data")
     rows = _known(keyed, shared, id_col, text_col).unionByName(rare)
-    return _whole(rows.repartition(id_col, "_k").sortWithinPartitions(id_col, "_k", "pos"), id_col)
+    return _whole(rows.repartition(id_col, "_k").sortWithinPartitions(id_col, "_k", "pos"), shared, id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:
@@ -266,16 +264,16 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -
     pieces = encoded.sparkSession.sparkContext.broadcast([t.id_to_token(k) or "" for k in range(size)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value.__getitem__
-        number = list(map(str, range(len(pieces.value)))).__getitem__
-        for b in batches:
-            n, texts, decoded = [], [], []
-            for data in b.column(1):
-                ids = np.frombuffer(data.as_py(), "<u4").tolist()
-                n.append(len(ids))
-                texts.append(" ".join(map(number, ids)))
-                decoded.append(" ".join(map(piece, ids)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(texts, pa.large_string()).cast(pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_text", "decoded"])
+        piece = pa.array(pieces.value, pa.string())
+        number = pa.array(map(str, range(len(piece))), pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                data = b.column(1).to_pylist()
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]), pa.int64())
+                ids = pa.array(np.frombuffer(b"".join(data), "<u4"))
+                join = lambda words: pc.binary_join(pa.LargeListArray.from_arrays(offsets, words.take(ids)), " ").cast(pa.string())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([b.column(0), pc.subtract(offsets[1:], offsets[:-1]), join(number), join(piece)], [id_col, "n_tokens", "ids_text", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_text string, decoded string")
