@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .decontaminate import OP3_SQL, op3_decontamination
+from .jaccard import op4_jaccard_join
 from .language import op10_language
 from .quality_model import op7_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scans": op8_secret_scans,
