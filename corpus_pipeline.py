@@ -1,24 +1,50 @@
-"""The corpus pipeline: documents through the stages of the training-data operators."""
+"""The corpus pipeline: documents through five stages of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents;
+the last returns token digests. Models are fitted on the stage's own input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from echolith.llm import bpe, decontaminate, jaccard, quality_model, secret_scan
 from echolith.llm.common import durable, table
-from echolith.llm import decontaminate, secret_scan
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, the one of the least id."""
+    return jaccard.one_of_each(docs)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs)
+    """Secrets are masked; n_chars follows the text."""
+    out = secret_scan.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text."""
+    return bpe.digests(docs)
 
 
 STAGES = [
+    ("quality classifier", _quality),
+    ("near duplicates", _near_duplicates),
     ("benchmark decontamination", _decontaminate),
     ("secret scans", _secrets),
+    ("BPE encoding", _encode),
 ]
 
 #: The stages learn models and hash; no SQL gives the same rows.
