@@ -42,7 +42,8 @@ _SHARE = THRESHOLD * (1 - math.exp(-MEAN * THRESHOLD))
 TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - _SHARE))
 LIMIT = 256  # sets of a bucket that one task compares
 SPLITS = 3  # further tokens on which a large bucket is split
-BLOCK = 256  # sets of a block; a task compares two blocks
+BLOCK = 256  # sets of a block; a task verifies two blocks
+SKETCH_BLOCK = 1024  # sketches of a block; a task compares two blocks
 #: Matches of 4-bit minhashes: 3.6 deviations below what the threshold gives.
 LEAST = int(T * (THRESHOLD + (1 - THRESHOLD) / 16) - 3.6 * math.sqrt(T * 0.8125 * 0.1875))
 
@@ -197,9 +198,9 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), b.column(1).take(row), b.column(2).take(row), b.column(3).take(row)], ["path", "was", "node", "sketch"])
 
 
-def _in_blocks(rows: DataFrame, size: Column) -> DataFrame:
+def _in_blocks(rows: DataFrame, size: Column, most: int) -> DataFrame:
     """rows (with column node) once for each pair of blocks that they are compared in: block, side."""
-    n = F.ceil(size / F.lit(BLOCK)).cast("int")
+    n = F.ceil(size / F.lit(most)).cast("int")
     own = F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
     at = rows.select("*", n.alias("_n"), own.alias("_b")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
     block = (F.least("_b", "_o").cast("long") * F.col("_n") + F.greatest("_b", "_o")).alias("block")
@@ -208,7 +209,7 @@ def _in_blocks(rows: DataFrame, size: Column) -> DataFrame:
 
 
 def _edges(rows: DataFrame, size: str) -> DataFrame:
-    ready = _in_blocks(rows, F.col(size)).select("path", "block", "node", "sketch", "side")
+    ready = _in_blocks(rows, F.col(size), SKETCH_BLOCK).select("path", "block", "node", "sketch", "side")
     return ready.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(_compare, "u binary, v binary")
 
 
@@ -325,7 +326,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = sized.select("root", "size", F.col("node").alias("_n"), "rep_id")
     texts_in = base.join(wanted, base["id"].eqNullSafe(wanted["rep_id"]) & (base["node"] == wanted["_n"])).dropDuplicates(["id", "node"])
     sets = texts_in.select("root", "size", "node", text_col).mapInArrow(_sets, "root binary, size long, node binary, set binary")
-    blocks = _in_blocks(sets, F.col("size")).select("root", "block", "node", "set", "side")
+    blocks = _in_blocks(sets, F.col("size"), BLOCK).select("root", "block", "node", "set", "side")
     links = durable(blocks.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_verify, "node binary, links long, v binary"), "links")
     joined = components(links.select(F.col("node").alias("u"), "v"))
     count = links.groupBy("node").agg(F.sum("links").alias("n_links"))
