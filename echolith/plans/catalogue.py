@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import decisions
+
+QUERIES: dict = {**decisions.QUERIES}
+ORACLE_SQL: dict = {**decisions.SQL}
