@@ -55,7 +55,7 @@ def merge_evidence(by_detector: list[list[Column]], base: list[float], weights:
     some = reduce(lambda a, b: a | b, [d[0].isNotNull() for d in by_detector])
     logs = []
     for k, b in enumerate(base):
-        parts = [F.coalesce(F.lit(w) * F.ln(F.greatest(d[k], F.lit(1e-9)) / F.lit(b)), F.lit(0.0)) for d, w in zip(by_detector, weights, strict=True)]
+        parts = [F.when(d[k].isNotNull(), F.lit(w) * F.ln(F.greatest(d[k], F.lit(1e-9)) / F.lit(b))).otherwise(F.lit(0.0)) for d, w in zip(by_detector, weights, strict=True)]
         logs.append(F.ln(F.lit(b)) + reduce(lambda x, y: x + y, parts))
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     exps = [F.exp(x - top) for x in logs]

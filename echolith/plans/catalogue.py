@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions
+from . import decisions, learned, signals
 
-QUERIES: dict = {**decisions.QUERIES}
-ORACLE_SQL: dict = {**decisions.SQL}
+QUERIES: dict = {**decisions.QUERIES, **signals.QUERIES, **learned.QUERIES}
+ORACLE_SQL: dict = {**decisions.SQL, **signals.SQL}

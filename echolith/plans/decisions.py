@@ -242,8 +242,8 @@ SELECT block_us, n_all, n_click, round(m, 6) AS mean_value, CASE WHEN n_click >=
 SELECT block_us, CASE WHEN n_click >= 3 THEN 'toothed' ELSE 'baleen' END AS species, CASE WHEN n_click < 3 THEN 'n/a' WHEN m > 50 THEN 'A' ELSE 'B' END AS ecotype FROM b""",
     "merge_evidence": f"""WITH {M.PRED}, a0 AS (SELECT grp, {_DAY} AS block_us, {_AVGS}, {_NS} FROM wide GROUP BY grp, 2),
 a AS (SELECT grp, block_us, n_click, n_whistle, {', '.join(f'"a_{t}_{c}" / nullif("a_{t}_C1" + "a_{t}_C2" + "a_{t}_C3", 0) AS "a_{t}_{c}"' for t in ('click', 'whistle') for c in C)} FROM a0),
-l AS (SELECT grp, block_us, n_click + n_whistle > 0 AS some, {_ML} FROM a), x AS (SELECT grp, block_us, some, exp(l_C1 - greatest(l_C1, l_C2, l_C3)) AS a, exp(l_C2 - greatest(l_C1, l_C2, l_C3)) AS b, exp(l_C3 - greatest(l_C1, l_C2, l_C3)) AS c FROM l)
-SELECT grp, block_us, CASE WHEN some THEN round(a / (a + b + c), 6) END AS C1, CASE WHEN some THEN round(b / (a + b + c), 6) END AS C2, CASE WHEN some THEN round(c / (a + b + c), 6) END AS C3 FROM x""",
+l AS (SELECT grp, block_us, n_click + n_whistle > 0 AS seen, {_ML} FROM a), x AS (SELECT grp, block_us, seen, exp(l_C1 - greatest(l_C1, l_C2, l_C3)) AS a, exp(l_C2 - greatest(l_C1, l_C2, l_C3)) AS b, exp(l_C3 - greatest(l_C1, l_C2, l_C3)) AS c FROM l)
+SELECT grp, block_us, CASE WHEN seen THEN round(a / (a + b + c), 6) END AS C1, CASE WHEN seen THEN round(b / (a + b + c), 6) END AS C2, CASE WHEN seen THEN round(c / (a + b + c), 6) END AS C3 FROM x""",
     "cap_per_group": f"WITH {M.EV}, r AS (SELECT grp, detection_id, row_number() OVER (PARTITION BY grp ORDER BY detection_id * 7919 % 10007, detection_id) AS k FROM ev) SELECT grp, detection_id FROM r WHERE k <= 5",
     "top_labels": f"WITH {M.CL}, p AS (SELECT cluster, label, count(*) AS n FROM cl GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS k FROM p) SELECT cluster, label, n FROM r WHERE k <= 5",
     "year_share": "WITH o AS (SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderpriority, CAST(year AS BIGINT) AS year, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share FROM o",
