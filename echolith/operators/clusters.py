@@ -32,21 +32,14 @@ def beta_quantile(p: float, a: float, b: float) -> float:
 
 def _incomplete(x: float, a: float, b: float) -> float:
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d, h = 1e-300, 1.0, 0.0, 1.0
-    for m in range(400):
-        for k in (0, 1):
-            n = 2 * m + k
-            if n == 0:
-                term = 1.0
-            elif k == 0:
-                term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            else:
-                term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            d = 1 / ((1 + term * d) or tiny)
-            c = 1 + term / c if n else 1e300
-            step = c * d
-            h *= step
-        if abs(step - 1) < 1e-14:
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 400):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d)
+            c = 1 + term / c
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
             break
     return front * h
 

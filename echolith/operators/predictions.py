@@ -142,8 +142,9 @@ def left_out(df: DataFrame, group: str, unit: str, label: str, cap: int) -> Data
     Exact because the cap applies to each unit; no fold is refitted.
     """
     per = df.groupBy(group, unit, label).agg(F.count("*").alias("c")).withColumn("c", F.least("c", F.lit(cap)))
-    by_label = per.groupBy(group, label).agg(F.sum("c").alias("n"))
-    by_unit = per.groupBy(group, unit).agg(F.sum("c").alias("u"))
-    total = per.groupBy(group).agg(F.sum("c").alias("t"))
-    grid = by_unit.join(by_label, group).join(total, group).join(per.select(group, unit, label, "c"), [group, unit, label], "left")
-    return grid.select(group, unit, label, (F.col("n") - F.coalesce("c", F.lit(0))).alias("n_rest"), (F.col("t") - F.col("u")).alias("total_rest"))
+    by_label = per.groupBy(group, label).agg(F.sum("c").alias("_n"))
+    by_unit = per.groupBy(group, unit).agg(F.sum("c").alias("_u"))
+    total = per.groupBy(group).agg(F.sum("c").alias("_t"))
+    own = per.select(group, unit, label, F.col("c").alias("_c"))
+    grid = by_unit.join(by_label, group).join(total, group).join(own, [group, unit, label], "left")
+    return grid.select(group, unit, label, (F.col("_n") - F.coalesce("_c", F.lit(0))).alias("n_rest"), (F.col("_t") - F.col("_u")).alias("total_rest"))

@@ -137,7 +137,7 @@ def merge_evidence(spark, d):
     v = P.block_vectors(M.predictions(spark, d), [F.col("grp"), S.floor_to(F.col("t_us"), 86_400 * S.US).alias("block_us")], ["click", "whistle"], C)
     by = [[F.when(F.col(f"has_{t}") > 0, F.col(f"{t}|{c}")) for c in C] for t in ("click", "whistle")]
     merged = S.merge_evidence(by, [0.3, 0.3, 0.4])
-    return r6(v.select("grp", "block_us", *(m.alias(c) for m, c in zip(merged, C, strict=True))), *C)
+    return v.select("grp", "block_us", *(F.round(m, 9).alias(c) for m, c in zip(merged, C, strict=True)))
 
 
 def cap_per_group(spark, d):
@@ -213,7 +213,7 @@ count(*) FILTER (probability < 0 OR probability > 1) AS n_out_of_range, (SELECT
 SELECT grp, round(avg(C1) FILTER (ok), 6) AS C1, round(avg(C2) FILTER (ok), 6) AS C2, round(avg(C3) FILTER (ok), 6) AS C3, count(*) FILTER (ok) AS n, count(*) AS n_total, min(true_class) AS true_class FROM s GROUP BY grp""",
     "threshold_curve": f"""WITH {M.EVENTS_PRED}, t AS (SELECT unnest(range(51)) AS k),
 b AS (SELECT k, count(*) FILTER (least(floor(score / 0.0002 + 1e-9), 50) >= k) AS n_decided, count(*) FILTER (least(floor(score / 0.0002 + 1e-9), 50) >= k AND predicted = true_class) AS ok, count(*) AS n FROM t, e GROUP BY k)
-SELECT round(k * 0.0002, 6) AS threshold, n_decided, round(n_decided / n, 6) AS coverage, round(ok / nullif(n_decided, 0), 6) AS accuracy FROM b""",
+SELECT round(CAST(k AS DOUBLE) * CAST(0.0002 AS DOUBLE), 6) AS threshold, n_decided, round(n_decided / n, 6) AS coverage, round(ok / nullif(n_decided, 0), 6) AS accuracy FROM b""",
     "confusion_matrix": f"""WITH {M.EVENTS_PRED} SELECT true_class, count(*) FILTER (predicted = 'C1') AS C1, count(*) FILTER (predicted = 'C2') AS C2, count(*) FILTER (predicted = 'C3') AS C3 FROM e GROUP BY true_class""",
     "performance_by_class": f"""WITH {M.EVENTS_PRED} SELECT true_class, count(*) AS n, count(*) FILTER (score >= 0.002) AS n_decided, round(count(*) FILTER (score >= 0.002) / count(*), 6) AS coverage,
 round(count(*) FILTER (score >= 0.002 AND predicted = true_class) / nullif(count(*) FILTER (score >= 0.002), 0), 6) AS recall FROM e GROUP BY true_class""",
@@ -243,7 +243,7 @@ SELECT block_us, CASE WHEN n_click >= 3 THEN 'toothed' ELSE 'baleen' END AS spec
     "merge_evidence": f"""WITH {M.PRED}, a0 AS (SELECT grp, {_DAY} AS block_us, {_AVGS}, {_NS} FROM wide GROUP BY grp, 2),
 a AS (SELECT grp, block_us, n_click, n_whistle, {', '.join(f'"a_{t}_{c}" / nullif("a_{t}_C1" + "a_{t}_C2" + "a_{t}_C3", 0) AS "a_{t}_{c}"' for t in ('click', 'whistle') for c in C)} FROM a0),
 l AS (SELECT grp, block_us, n_click + n_whistle > 0 AS seen, {_ML} FROM a), x AS (SELECT grp, block_us, seen, exp(l_C1 - greatest(l_C1, l_C2, l_C3)) AS a, exp(l_C2 - greatest(l_C1, l_C2, l_C3)) AS b, exp(l_C3 - greatest(l_C1, l_C2, l_C3)) AS c FROM l)
-SELECT grp, block_us, CASE WHEN seen THEN round(a / (a + b + c), 6) END AS C1, CASE WHEN seen THEN round(b / (a + b + c), 6) END AS C2, CASE WHEN seen THEN round(c / (a + b + c), 6) END AS C3 FROM x""",
+SELECT grp, block_us, CASE WHEN seen THEN round(a / (a + b + c), 9) END AS C1, CASE WHEN seen THEN round(b / (a + b + c), 9) END AS C2, CASE WHEN seen THEN round(c / (a + b + c), 9) END AS C3 FROM x""",
     "cap_per_group": f"WITH {M.EV}, r AS (SELECT grp, detection_id, row_number() OVER (PARTITION BY grp ORDER BY detection_id * 7919 % 10007, detection_id) AS k FROM ev) SELECT grp, detection_id FROM r WHERE k <= 5",
     "top_labels": f"WITH {M.CL}, p AS (SELECT cluster, label, count(*) AS n FROM cl GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS k FROM p) SELECT cluster, label, n FROM r WHERE k <= 5",
     "year_share": "WITH o AS (SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderpriority, CAST(year AS BIGINT) AS year, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share FROM o",
