@@ -29,6 +29,8 @@ BINS = 1 << 18
 PER_CLASS = 2500
 EPOCHS = 4
 THRESHOLD = 0.7
+#: Shares are this many times as large, so that one word of a text can decide.
+SCALE = 16.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 
 RUNS = re.compile(r"([^\W\d_]+)|(\d+)|([^\w\s]|_)\3*")
@@ -74,7 +76,7 @@ def fit(data: pd.DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     for text, y in zip(data["text"], data["y"], strict=True):
         ids, n = features(text, memo)
         ids, counts = np.unique(ids, return_counts=True)
-        rows.append((np.append(ids, BINS), np.append(counts / max(n, 1), 1.0), float(y)))
+        rows.append((np.append(ids, BINS), np.append(SCALE * counts / max(n, 1), 1.0), float(y)))
     z, g2, w = np.zeros(BINS + 1), np.zeros(BINS + 1), np.zeros(BINS + 1)
     rng = np.random.default_rng(7)
     for _ in range(epochs):
@@ -89,19 +91,19 @@ def fit(data: pd.DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     return w[:BINS].astype(np.float32), float(w[BINS])
 
 
-def scores(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """docs with a column score."""
+def scores(docs: DataFrame, model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with a column of scores, in the place of one of its name."""
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         (w, bias), memo = model.value, _MEMO
-        out = np.empty(len(text))
+        x = np.empty(len(text))
         for k, t in enumerate(text):
             ids, n = features(t, memo)
-            out[k] = bias + (float(w[ids].sum(dtype=np.float64)) / n if n else 0.0)
-        return pd.Series(sigmoid(out))
+            x[k] = bias + (SCALE * float(w[ids].sum(dtype=np.float64)) / n if n else 0.0)
+        return pd.Series(sigmoid(x))
 
-    return docs.withColumn("score", score(F.col(text_col)))
+    return docs.withColumn(out, score(F.col(text_col)))
 
 
 _MEMO = Memo(_pair, 300_000)
@@ -119,4 +121,4 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject."""
-    return scores(docs, train(docs, labels)).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return scores(docs, train(docs, labels), out="__el_score").filter(F.col("__el_score") >= THRESHOLD).select(*docs.columns)
