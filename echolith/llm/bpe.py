@@ -159,20 +159,20 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _known(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
-    """(id, _k, pos -1, data): each text as the ranks of its words, with gaps for the rare words, packed."""
+    """(id, __el_k, pos -1, data): each text as the ranks of its words, with gaps for the rare words, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _index(shared)[0].get
         for b in batches:
             data = [_pack(np.array([get(w, 0) for w in split(t.as_py())], np.uint32)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([-1] * b.num_rows, pa.int32()), pa.array(data, pa.binary())], [id_col, "_k", "pos", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([-1] * b.num_rows, pa.int32()), pa.array(data, pa.binary())], [id_col, "__el_k", "pos", "data"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "_k", text_col).mapInArrow(run, f"`{id_col}` {kind}, _k long, pos int, data binary")
+    return docs.select(id_col, "__el_k", text_col).mapInArrow(run, f"`{id_col}` {kind}, __el_k long, pos int, data binary")
 
 
 def _rare(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
-    """(id, _k, pos, word): the occurrences of words that are not broadcast, pos counting them in each text."""
+    """(id, __el_k, pos, word): the occurrences of words that are not broadcast, pos counting them in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)[0]
@@ -184,10 +184,10 @@ def _rare(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
                 pos += range(len(rare))
                 word += rare
             row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(pos, pa.int32()), pa.array(word, pa.string())], [id_col, "_k", "pos", "word"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(pos, pa.int32()), pa.array(word, pa.string())], [id_col, "__el_k", "pos", "word"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "_k", text_col).mapInArrow(run, f"`{id_col}` {kind}, _k long, pos int, word string")
+    return docs.select(id_col, "__el_k", text_col).mapInArrow(run, f"`{id_col}` {kind}, __el_k long, pos int, word string")
 
 
 def _whole(rows: DataFrame, shared, id_col: str) -> DataFrame:
@@ -252,9 +252,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(_lookup(frequent))
     keyed = with_key(docs.select(id_col, text_col), id_col, text_col)
     others = words.filter(F.col("n") < least).select("word", F.col("ids").alias("data"))
-    rare = _rare(keyed, shared, id_col, text_col).join(others, "word").select(id_col, "_k", "pos", "data")
+    rare = _rare(keyed, shared, id_col, text_col).join(others, "word").select(id_col, "__el_k", "pos", "data")
     rows = _known(keyed, shared, id_col, text_col).unionByName(rare)
-    return _whole(rows.repartition(id_col, "_k").sortWithinPartitions(id_col, "_k", "pos"), shared, id_col)
+    return _whole(rows.repartition(id_col, "__el_k").sortWithinPartitions(id_col, "__el_k", "pos"), shared, id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:

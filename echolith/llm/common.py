@@ -56,9 +56,7 @@ def let(value: Column, body) -> Column:
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Add _k: rows with the same id and text share it, and so share every result."""
-    return docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col)))
+    """Columns named __el_* are the operators' own; no input has them.
 
-
-def same_row(left: DataFrame, right: DataFrame, id_col: str) -> Column:
-    return left[id_col].eqNullSafe(right[id_col]) & (left["_k"] == right["_k"])
+    Add __el_k: rows with the same id and text share it, and so share every result."""
+    return docs.withColumn("__el_k", F.xxhash64(F.col(id_col), F.col(text_col)))

@@ -73,15 +73,15 @@ def anchored(windows: DataFrame, cf: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, _k, n_words, start, len, items) of every exact occurrence, and for each row of docs a row with len 0."""
+    """(id, __el_k, n_words, start, len, items) of every exact occurrence, and for each row of docs a row with len 0."""
     spark = docs.sparkSession
-    tokens = with_key(docs.select(id_col, text_col), id_col, text_col).select(id_col, "_k", words(F.col(text_col)).alias("ws"))
+    tokens = with_key(docs.select(id_col, text_col), id_col, text_col).select(id_col, "__el_k", words(F.col(text_col)).alias("ws"))
     windows = durable(test_windows(items, item_id, item_text), "windows")
     terms = windows.select(F.explode("ws").alias("term")).distinct()
     anchors = durable(anchored(windows, term_frequencies(tokens, terms)), "anchors")
     mark = spark.range(1).select(F.lit("").alias("wtext"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("len"), F.lit("").alias("term"), F.lit(0).alias("off"), F.lit("").alias("term2"), F.lit(0).alias("off2"))
     #: Position 0 of each document holds the empty term, which finds the mark.
-    postings = tokens.select(id_col, "_k", "ws", F.size("ws").alias("n_words"), F.explode_outer(F.sequence(F.lit(0), F.size("ws"))).alias("pos"))
+    postings = tokens.select(id_col, "__el_k", "ws", F.size("ws").alias("n_words"), F.explode_outer(F.sequence(F.lit(0), F.size("ws"))).alias("pos"))
     postings = postings.withColumn("term", F.when(F.col("pos") == 0, F.lit("")).otherwise(F.get("ws", F.col("pos") - 1)))
     start = F.col("pos") - F.col("off")
     second = F.get(F.col("ws"), start + F.col("off2") - 1) == F.col("term2")
@@ -91,7 +91,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     for k, block in enumerate(_blocks(anchors, "wtext", anchors.count())):
         block = block.unionByName(mark) if k == 0 else block
         rows = postings.join(F.broadcast(block), "term").filter((F.col("len") == 0) | (fits & second & exact))
-        rows = rows.select(id_col, "_k", "n_words", start.alias("start"), "len", "items")
+        rows = rows.select(id_col, "__el_k", "n_words", start.alias("start"), "len", "items")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -118,7 +118,7 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, id_col: str = "d
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each row of docs, from the rows of occurrences()."""
     hit = F.col("len") > 0
-    by_doc = found.groupBy(id_col, "_k").agg(
+    by_doc = found.groupBy(id_col, "__el_k").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.count_if(~hit).cast("int").alias("copies"),
         F.sort_array(F.collect_set(F.when(hit, F.struct("start", "len")))).alias("at"),
@@ -129,21 +129,21 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     n_hit = F.aggregate("at", zero, merge, lambda a: a["n"]).cast("long")
     return by_doc.select(
         id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("at") > 0).alias("contaminated"), "_k", "copies",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("at") > 0).alias("contaminated"), "__el_k", "copies",
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold an occurrence of a test window."""
-    dirty = occurrences(docs, items, id_col, text_col).filter("len > 0").select(F.col(id_col).alias("_i"), F.col("_k").alias("_j")).distinct()
+    dirty = occurrences(docs, items, id_col, text_col).filter("len > 0").select(F.col(id_col).alias("__el_i"), F.col("__el_k").alias("__el_j")).distinct()
     keyed = with_key(docs, id_col, text_col)
-    return keyed.join(dirty, keyed[id_col].eqNullSafe(dirty["_i"]) & (keyed["_k"] == dirty["_j"]), "left_anti").drop("_k")
+    return keyed.join(dirty, keyed[id_col].eqNullSafe(dirty["__el_i"]) & (keyed["__el_k"] == dirty["__el_j"]), "left_anti").drop("__el_k")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     rows = report(found)
-    return rows.withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("_c", "copies", "_k")
+    return rows.withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("_c", "copies", "__el_k")
 
 
 _ASCII_LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"

@@ -49,7 +49,8 @@ def fit_once(sample: DataFrame, fit: Callable[[pd.DataFrame], object]):
         data = pd.concat(got).sort_values("doc_id").reset_index(drop=True) if got else pd.DataFrame({c: [] for c in columns})
         yield pd.DataFrame({"model": [pickle.dumps(fit(data))]})
 
-    model = pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").head()[0])
+    row = sample.repartition(1).mapInPandas(run, "model binary").head()  # none where the sample has no partition
+    model = pickle.loads(row[0]) if row else fit(pd.DataFrame({c: [] for c in columns}))
     return sample.sparkSession.sparkContext.broadcast(model)
 
 

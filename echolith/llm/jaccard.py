@@ -319,7 +319,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.schema[id_col].dataType.simpleString()
     seen = durable(base.mapInArrow(_sketched, f"id {kind}, node binary, sketch binary, paths array<long>"), "sketches")
     texts = durable(seen.groupBy("node").agg(F.min(F.struct(F.col("id"), F.col("node"))).alias("rep"), F.count("*").alias("n_copies")), "texts")
-    once = seen.filter("sketch IS NOT NULL").join(texts.select(F.col("rep.id").alias("_i"), F.col("node").alias("_n")), F.col("id").eqNullSafe(F.col("_i")) & (F.col("node") == F.col("_n")))
+    once = seen.filter("sketch IS NOT NULL").join(texts.select(F.col("rep.id").alias("__el_i"), F.col("node").alias("_n")), F.col("id").eqNullSafe(F.col("__el_i")) & (F.col("node") == F.col("_n")))
     reps = durable(once.dropDuplicates(["id", "node"]).select("node", "sketch", "paths"), "reps")
     found = durable(components(similar_edges(reps)), "candidates")
     sized = found.join(found.groupBy("root").agg(F.count("*").alias("size")), "root").join(texts.select("node", F.col("rep.id").alias("rep_id")), "node")
@@ -339,9 +339,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class."""
     _, texts = classes(docs, id_col, text_col)
-    keep = texts.select(F.col("keep.id").alias("_i"), F.col("keep.node").alias("_n")).distinct()
-    keyed = docs.withColumn("_node", text_key(F.col(text_col)))
-    return keyed.join(keep, keyed[id_col].eqNullSafe(keep["_i"]) & (keyed["_node"] == keep["_n"]), "left_semi").dropDuplicates([id_col, "_node"]).select(*docs.columns)
+    keep = texts.select(F.col("keep.id").alias("__el_i"), F.col("keep.node").alias("__el_n")).distinct()
+    keyed = docs.withColumn("__el_node", text_key(F.col(text_col)))
+    return keyed.join(keep, keyed[id_col].eqNullSafe(keep["__el_i"]) & (keyed["__el_node"] == keep["__el_n"]), "left_semi").dropDuplicates([id_col, "__el_node"]).select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

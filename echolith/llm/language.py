@@ -71,7 +71,7 @@ def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                 names[k], score[k] = langs[best], 1 / np.exp(x - x[best]).sum()
         return pd.DataFrame({"lang_pred": names, "score": score})
 
-    return docs.withColumn("_l", of(F.col(text_col))).withColumn("lang_pred", F.col("_l.lang_pred")).withColumn("score", F.col("_l.score")).drop("_l")
+    return docs.withColumn("__el_l", of(F.col(text_col))).withColumn("lang_pred", F.col("__el_l.lang_pred")).withColumn("score", F.col("__el_l.score")).drop("__el_l")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

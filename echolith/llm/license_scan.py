@@ -88,8 +88,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pd.Series(out)
 
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    blocks = docs.withColumn("_b", F.filter(lines, lambda x: x["text"].rlike(CANDIDATE)))
-    return blocks.withColumn("licenses", found(F.col("_b"))).drop("_b")
+    blocks = docs.withColumn("__el_b", F.filter(lines, lambda x: x["text"].rlike(CANDIDATE)))
+    return blocks.withColumn("licenses", found(F.col("__el_b"))).drop("__el_b")
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

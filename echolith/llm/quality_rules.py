@@ -119,9 +119,9 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def rate(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the measures, base_failed and kept."""
-    m = docs.withColumn("_m", measures(F.col(text_col)))
-    names = m.schema["_m"].dataType.names
-    m = m.withColumns({n: F.col("_m")[n] for n in names}).drop("_m")
+    m = docs.withColumn("__el_m", measures(F.col(text_col)))
+    names = m.schema["__el_m"].dataType.names
+    m = m.withColumns({n: F.col("__el_m")[n] for n in names}).drop("__el_m")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return m.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(compile_rules(rules)))
 

@@ -72,12 +72,12 @@ def ownership(found: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
 
 
 def judged(found: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
-    """(id, _k, spans, n_live, n_example) of the rows that have candidates."""
-    rows = found.filter(F.size("cands") > 0).dropDuplicates([id_col, "_k"]).select(id_col, "_k", F.explode("cands").alias("c"))
+    """(id, __el_k, spans, n_live, n_example) of the rows that have candidates."""
+    rows = found.filter(F.size("cands") > 0).dropDuplicates([id_col, "__el_k"]).select(id_col, "__el_k", F.explode("cands").alias("c"))
     marked = rows.withColumn("h", F.col("c.h")).join(verdicts.select("h", "live"), "h")
     keep = (F.col("c.k") < 3) | F.col("live")
     span = F.struct(F.col("c.s").alias("s"), F.col("c.k").alias("k"), F.col("c.e").alias("e"))
-    return marked.groupBy(id_col, "_k").agg(
+    return marked.groupBy(id_col, "__el_k").agg(
         F.sort_array(F.collect_list(F.when(keep, span))).alias("spans"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
@@ -86,10 +86,10 @@ def judged(found: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: id, _k, cands, spans, n_live, n_example."""
-    names = list(dict.fromkeys([id_col, owner_col, repo_col, "_k"]))
+    names = list(dict.fromkeys([id_col, owner_col, repo_col, "__el_k"]))
     found = durable(with_key(docs, id_col, text_col).select(*names, candidates(F.col(text_col)).alias("cands")), "secrets")
-    marks = judged(found, ownership(found, repo_col, owner_col), id_col).withColumnsRenamed({id_col: "_i", "_k": "_j"})
-    joined = found.join(marks, found[id_col].eqNullSafe(marks["_i"]) & (found["_k"] == marks["_j"]), "left").drop("_i", "_j")
+    marks = judged(found, ownership(found, repo_col, owner_col), id_col).withColumnsRenamed({id_col: "__el_i", "__el_k": "__el_j"})
+    joined = found.join(marks, found[id_col].eqNullSafe(marks["__el_i"]) & (found["__el_k"] == marks["__el_j"]), "left").drop("__el_i", "__el_j")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     return joined.withColumn("spans", F.coalesce("spans", none)).fillna(0, ["n_live", "n_example"])
 
@@ -110,10 +110,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     keyed = with_key(docs, id_col, text_col)
     cand = any_candidate(F.col(text_col))
     hit = keyed.filter(cand)
-    names = list(dict.fromkeys([id_col, owner_col, repo_col, "_k"]))
+    names = list(dict.fromkeys([id_col, owner_col, repo_col, "__el_k"]))
     found = durable(hit.select(*names, candidates(F.col(text_col)).alias("cands")), "secrets")
-    marks = judged(found, ownership(found, repo_col, owner_col), id_col).select(F.col(id_col).alias("_i"), F.col("_k").alias("_j"), "spans")
-    both = hit.join(marks, hit[id_col].eqNullSafe(marks["_i"]) & (hit["_k"] == marks["_j"]), "left")
+    marks = judged(found, ownership(found, repo_col, owner_col), id_col).select(F.col(id_col).alias("__el_i"), F.col("__el_k").alias("__el_j"), F.col("spans").alias("__el_spans"))
+    both = hit.join(marks, hit[id_col].eqNullSafe(marks["__el_i"]) & (hit["__el_k"] == marks["__el_j"]), "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -125,7 +125,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     def done(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
 
-    masked = F.when(F.col("spans").isNull(), text).otherwise(F.aggregate("spans", start, step, done))
+    masked = F.when(F.col("__el_spans").isNull(), text).otherwise(F.aggregate("__el_spans", start, step, done))
     return keyed.filter(~cand).select(*docs.columns).unionByName(both.withColumn(text_col, masked).select(*docs.columns))
 
 

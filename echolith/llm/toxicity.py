@@ -164,7 +164,7 @@ def scores(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
             spans.append([{"start": b, "end": e, "score": s} for s, b, e in found])
         return pd.DataFrame({"score": out, "passages": spans})
 
-    return docs.withColumn("_s", score(F.col(text_col))).withColumn("score", F.col("_s.score")).withColumn("passages", F.col("_s.passages")).drop("_s")
+    return docs.withColumn("__el_s", score(F.col(text_col))).withColumn("score", F.col("__el_s.score")).withColumn("passages", F.col("__el_s.passages")).drop("__el_s")
 
 
 def train(docs: DataFrame, labels: DataFrame):
