@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, learned, signals
+from . import decisions, discovery, learned, signals
 
-QUERIES: dict = {**decisions.QUERIES, **signals.QUERIES, **learned.QUERIES}
-ORACLE_SQL: dict = {**decisions.SQL, **signals.SQL}
+QUERIES: dict = {**decisions.QUERIES, **signals.QUERIES, **discovery.QUERIES, **learned.QUERIES}
+ORACLE_SQL: dict = {**decisions.SQL, **signals.SQL, **discovery.SQL}

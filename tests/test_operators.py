@@ -134,3 +134,39 @@ def test_stream_blocks(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.table("live").collect()
     assert rows and all(r.decision == "A" and r.n == 10 for r in rows)
+
+
+def test_project_reruns_only_what_changed(spark, tmp_path):
+    from echolith.plans.project import Project, Stage
+
+    ran = []
+
+    def stage(name):
+        def run(s, config, inputs):
+            ran.append(name)
+            return s.range(config.get(name, 1))
+
+        return run
+
+    stages = [Stage("a", stage("a"), settings=("a",)), Stage("b", stage("b"), ("a",), ("b",)), Stage("c", stage("c"))]
+    path = str(tmp_path)
+    Project(path, stages, {"a": 2}).run(spark, ["b"])
+    Project(path, stages, {"a": 2}).run(spark, ["b"])
+    assert ran == ["a", "b"]
+    Project(path, stages, {"a": 2, "b": 5}).run(spark, ["b"])
+    assert ran == ["a", "b", "b"]
+    assert Project(path, stages, {"a": 3}).status(spark) == {"a": "pending", "b": "pending", "c": "pending"}
+
+
+def test_settings(spark):
+    from echolith.sources import settings
+
+    assert one(spark, settings.snap_rate(F.lit(96001.0))) == 96000
+    assert one(spark, settings.fft_length(F.lit(1024.0))) == 2048
+
+
+def test_filled_blocks(spark):
+    p = spark.createDataFrame([(0, 86_400)], "a long, b long")
+    n = spark.createDataFrame([(300, 2)], "block long, n long")
+    got = windows.filled_blocks(p, n, "a", "b", "block", 300)
+    assert got.count() == 288 and got.filter("n IS NULL").count() == 287
