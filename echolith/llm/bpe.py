@@ -37,7 +37,7 @@ from .common import durable, table, with_key
 #: Most words that are broadcast.
 HOT = 1 << 18
 #: Words that a task counts before it passes the counts on.
-FLUSH = 400_000
+FLUSH = 300_000
 
 LETTERS = [c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)] + [c for c in range(128) if chr(c).isalpha()]
 PROSE = bytes([*b" \t\n\r.,", *LETTERS])
@@ -190,8 +190,8 @@ def _rare(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, "__el_k", text_col).mapInArrow(run, f"`{id_col}` {kind}, __el_k long, pos int, word string")
 
 
-def _whole(rows: DataFrame, shared, id_col: str) -> DataFrame:
-    """(id, ids): the rows of a document, met in order of pos, made one; ids are packed 32-bit integers."""
+def _whole(shared, id_col: str):
+    """Makes (id, ids) of the rows of each document, met in order of pos; ids are packed 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, offsets, flat = _index(shared)
@@ -241,12 +241,11 @@ def _whole(rows: DataFrame, shared, id_col: str) -> DataFrame:
         if kind is not None:
             yield rows_()
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return run
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, ids): for each row of docs the token ids of its whole text, as bytes of 32-bit integers."""
+def _met(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, hot: int):
+    """The packed texts and the ids of their rare words, sorted for _whole, and the broadcast words."""
     words = durable(encode_words(count_words(docs, text_col), vocabulary), "words")
     frequent, least = hot_words(words, hot)
     shared = docs.sparkSession.sparkContext.broadcast(_lookup(frequent))
@@ -254,14 +253,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     others = words.filter(F.col("n") < least).select("word", F.col("ids").alias("data"))
     rare = _rare(keyed, shared, id_col, text_col).join(others, "word").select(id_col, "__el_k", "pos", "data")
     rows = _known(keyed, shared, id_col, text_col).unionByName(rare)
-    return _whole(rows.repartition(id_col, "__el_k").sortWithinPartitions(id_col, "__el_k", "pos"), shared, id_col)
+    return rows.repartition(id_col, "__el_k").sortWithinPartitions(id_col, "__el_k", "pos"), shared
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:
-    """encoded with n_tokens, ids_text (ids joined by a space) and decoded, by looking up each id's piece."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(id, ids): for each row of docs the token ids of its whole text, as bytes of 32-bit integers."""
+    rows, shared = _met(docs, vocabulary, id_col, text_col, hot)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(_whole(shared, id_col), f"`{id_col}` {kind}, ids binary")
+
+
+def _pieces(spark: SparkSession, vocabulary: Vocabulary, id_col: str):
+    """Makes (id, n_tokens, ids_text, decoded) of (id, ids)."""
     t = vocabulary.tokenizer()
     size = max(t.get_vocab(with_added_tokens=True).values()) + 1
-    pieces = encoded.sparkSession.sparkContext.broadcast([t.id_to_token(k) or "" for k in range(size)])
+    pieces = spark.sparkContext.broadcast([t.id_to_token(k) or "" for k in range(size)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.array(pieces.value, pa.string())
@@ -275,15 +281,31 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -
                 join = lambda words: pc.binary_join(pa.LargeListArray.from_arrays(offsets, words.take(ids)), " ").cast(pa.string())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([b.column(0), pc.subtract(offsets[1:], offsets[:-1]), join(number), join(piece)], [id_col, "n_tokens", "ids_text", "decoded"])
 
+    return run
+
+
+DECODED = "n_tokens long, ids_text string, decoded string"
+
+
+def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:
+    """encoded with n_tokens, ids_text (ids joined by a space) and decoded, by looking up each id's piece."""
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_text string, decoded string")
+    return encoded.select(id_col, "ids").mapInArrow(_pieces(encoded.sparkSession, vocabulary, id_col), f"`{id_col}` {kind}, {DECODED}")
+
+
+def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """decode(encode(docs)) in one Python worker a task instead of two."""
+    rows, shared = _met(docs, vocabulary, id_col, text_col, hot)
+    whole, pieces = _whole(shared, id_col), _pieces(docs.sparkSession, vocabulary, id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: pieces(whole(batches)), f"`{id_col}` {kind}, {DECODED}")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     vocabulary = Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    out = decode(encode(docs, vocabulary), vocabulary)
+    out = encode_decode(docs, vocabulary)
     return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
