@@ -15,21 +15,21 @@ MAX_UNITS = 8000
 
 def beta_quantile(p: float, a: float, b: float) -> float:
     """Quantile of the Beta distribution by bisection on the continued fraction of its integral."""
-
-    def cdf(x: float) -> float:
-        if x <= 0 or x >= 1:
-            return float(x >= 1)
-        if x > (a + 1) / (a + b + 2):
-            return 1 - _incomplete(1 - x, b, a)
-        return _incomplete(x, a, b)
-
     low, high = 0.0, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if cdf(mid) < p else (low, mid)
+        low, high = (mid, high) if beta_cdf(mid, a, b) < p else (low, mid)
     return (low + high) / 2
 
 
+def beta_cdf(x: float, a: float, b: float) -> float:
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete(1 - x, b, a)
+    return _incomplete(x, a, b)
+
+
 def _incomplete(x: float, a: float, b: float) -> float:
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))

@@ -35,25 +35,76 @@ def first_period(points: DataFrame, periods: DataFrame, key: str, t: str, start:
     return points.join(best, key, "left" if keep else "inner")
 
 
-def best_overlap(windows: DataFrame, calls: DataFrame, key: str, w_span: tuple[str, str], c_span: tuple[str, str], call_id: str, label: str, width: int, min_cover: float = 0.5, of: str = "call") -> DataFrame:
-    """(key, label, cover): the label of the call of the greatest overlap.
+def best_overlap(
+    windows: DataFrame, calls: DataFrame, key: str, w_span: tuple[str, str], c_span: tuple[str, str], call_id: str, label: str,
+    width: int, min_cover: float = 0.5, of: str = "call", ignore: tuple[str, ...] = ("untyped",),
+) -> DataFrame:
+    """(key, label, cover): the label of the call of the greatest overlap among those covered enough.
 
-    ``partial`` where its coverage (of the call, or of the window) is under
-    min_cover, ``mixed`` where covered calls have several labels, ``none``
-    without a call. Ties go to the least call id.
+    Coverage is the share of the call, or of the window; ``partial`` where no
+    call reaches min_cover, ``none`` without a call. ``mixed`` where calls have
+    several labels outside ``ignore``: all that touch a window count, but only
+    those covered enough where coverage is the window's. Ties go to the least
+    call id; cover is that of the call taken, else of the greatest overlap.
     """
     pairs = overlapping(windows, calls, w_span, c_span, width)
     span = c_span if of == "call" else w_span
     pairs = pairs.withColumn("_cover", F.col("overlap") / F.greatest(F.col(span[1]) - F.col(span[0]), F.lit(1)))
+    full = F.col("_cover") >= min_cover
+    counted = ~F.col(label).isin(*ignore) if ignore else F.lit(True)
+    if of != "call":
+        counted = counted & full
     agg = pairs.groupBy(key).agg(
-        F.max_by(F.struct(label, "_cover"), F.struct("overlap", -F.col(call_id))).alias("best"),
-        F.collect_set(F.when(F.col("_cover") >= min_cover, F.col(label))).alias("labels"),
+        F.max_by(F.struct(F.col(label).alias("l"), "_cover"), F.struct(full, "overlap", -F.col(call_id))).alias("best"),
+        F.count_distinct(F.when(counted, F.col(label))).alias("labels"),
     )
     out = windows.select(key).join(agg, key, "left")
-    label_ = F.when(F.col("best").isNull(), "none").when(F.size("labels") > 1, "mixed").when(F.col("best._cover") < min_cover, "partial").otherwise(F.col("best")[label])
+    label_ = F.when(F.col("best").isNull(), "none").when(F.col("labels") > 1, "mixed").when(F.col("best._cover") < min_cover, "partial").otherwise(F.col("best.l"))
     return out.select(key, label_.alias("label"), F.coalesce("best._cover", F.lit(0.0)).alias("cover"))
 
 
+def overlap_labels(
+    windows: DataFrame, calls: DataFrame, key: str, w_span: tuple[str, str], c_span: tuple[str, str], label: str, width: int,
+    value_map: dict[str, str] | None = None, other: str | None = None, weak: tuple[str, ...] = (), mixed: str = "mixed",
+) -> DataFrame:
+    """(key, label): the one strong label of the calls that overlap a window, ``mixed`` for several, else the least weak one, else ``none``.
+
+    value_map renames labels; ``other`` is what labels outside of it become.
+    """
+    value = F.col(label).cast("string")
+    if value_map:
+        lookup = F.create_map(*(F.lit(x) for kv in value_map.items() for x in kv))
+        value = F.coalesce(F.try_element_at(lookup, value), value if other is None else F.lit(other))
+    pairs = overlapping(windows, calls, w_span, c_span, width).select(key, value.alias("_v"))
+    strong = F.when(~F.col("_v").isin(*weak), F.col("_v")) if weak else F.col("_v")
+    agg = pairs.groupBy(key).agg(F.min(strong).alias("_s"), F.max(strong).alias("_t"), F.min("_v").alias("_w"))
+    out = F.when(F.col("_s") < F.col("_t"), mixed).otherwise(F.coalesce("_s", "_w", F.lit("none")))
+    return windows.select(key).join(agg, key, "left").select(key, out.alias("label"))
+
+
+def period_labels(
+    windows: DataFrame, periods: DataFrame, key: str, w_span: tuple[str, str], p_span: tuple[str, str], order: list[str], columns: list[str],
+    source: str, width: int, overwrite: bool = False,
+) -> DataFrame:
+    """windows with columns and ``label_source`` from the period that holds their midpoint.
+
+    Windows of an earlier source keep theirs and the first period counts, unless
+    overwrite, when the last one does. Absent columns start as ``none`` and
+    ``unannotated``.
+    """
+    base = windows.withColumns({c: F.lit("none") for c in columns if c not in windows.columns})
+    if "label_source" not in base.columns:
+        base = base.withColumn("label_source", F.lit("unannotated"))
+    middle = base.select(key, ((F.col(w_span[0]) + F.col(w_span[1])) / 2).alias("_mid"))
+    found = containing(middle, periods.select(*(F.col(c).alias(f"_p_{c}") for c in dict.fromkeys([*p_span, *order, *columns]))), "_mid", f"_p_{p_span[0]}", f"_p_{p_span[1]}", width)
+    pick = F.max_by if overwrite else F.min_by
+    best = found.groupBy(key).agg(pick(F.struct(*(F.col(f"_p_{c}").alias(c) for c in columns)), F.struct(*(F.col(f"_p_{c}") for c in order))).alias("_best"))
+    out = base.join(best, key, "left")
+    new = F.col("_best").isNotNull() if overwrite else F.col("_best").isNotNull() & (F.col("label_source") == "unannotated")
+    new_columns = {c: F.when(new, F.col(f"_best.{c}")).otherwise(F.col(c)) for c in columns}
+    return out.withColumns({**new_columns, "label_source": F.when(new, source).otherwise(F.col("label_source"))}).drop("_best")
+
+
 def sessions(df: DataFrame, keys: list[str], start: str, end: str, max_gap: int) -> DataFrame:
     """df with ``session``: a new one where start passes the running end by more than max_gap."""
     w = Window.partitionBy(*keys).orderBy(start, end)

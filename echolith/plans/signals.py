@@ -44,6 +44,20 @@ def label_by_overlap_mixed(spark, d):
     return r6(out, "cover")
 
 
+def label_by_overlap_values(spark, d):
+    """Labels renamed by a map; one of them is weak and gives way to any other."""
+    names = {"L0": "A", "L1": "A", "L2": "B"}
+    return I.overlap_labels(_windows(spark, d), M.calls(spark, d), "detection_id", ("t_us", "w_end"), ("c_start", "c_end"), "call_label", BUCKET, names, "weak", ("weak",))
+
+
+def label_by_periods(spark, d):
+    """Two sources in turn: the first covers even calls and stays, the second all calls."""
+    w, c = _windows(spark, d), M.calls(spark, d)
+    for source, part in (("first", c.filter("call_id % 2 = 0")), ("second", c)):
+        w = I.period_labels(w, part, "detection_id", ("t_us", "w_end"), ("c_start", "c_end"), ["c_start", "call_id"], ["call_label"], source, BUCKET)
+    return w.select("detection_id", "call_label", "label_source")
+
+
 def events_without_detections(spark, d):
     return M.calls(spark, d).join(_label_by_interval(spark, d).select("call_id"), "call_id", "left_anti").select("call_id", "call_label")
 
@@ -194,9 +208,9 @@ _OVER = M.CALLS + """, win AS (SELECT detection_id, t_us, t_us + 120000000 AS w_
 pairs AS (SELECT detection_id, call_id, call_label, least(w_end, c_end) - greatest(t_us, c_start) AS o, w_end - t_us AS ws, c_end - c_start AS cs FROM win JOIN calls ON c_start < w_end AND c_end > t_us)"""
 
 
-def _best(den: str, least: float) -> str:
-    return f"""WITH {_OVER}, r AS (SELECT *, o / {den} AS cover, row_number() OVER (PARTITION BY detection_id ORDER BY o DESC, call_id) AS k FROM pairs),
-g AS (SELECT detection_id, count(DISTINCT call_label) FILTER (cover >= {least}) AS n, max(call_label) FILTER (k = 1) AS label, max(cover) FILTER (k = 1) AS cover FROM r GROUP BY detection_id)
+def _best(den: str, least: float, counted: str) -> str:
+    return f"""WITH {_OVER}, r AS (SELECT *, o / {den} AS cover FROM pairs), t AS (SELECT *, row_number() OVER (PARTITION BY detection_id ORDER BY cover >= {least} DESC, o DESC, call_id) AS k FROM r),
+g AS (SELECT detection_id, count(DISTINCT call_label) FILTER ({counted}) AS n, max(call_label) FILTER (k = 1) AS label, max(cover) FILTER (k = 1) AS cover FROM t GROUP BY detection_id)
 SELECT win.detection_id, CASE WHEN g.label IS NULL THEN 'none' WHEN n > 1 THEN 'mixed' WHEN cover < {least} THEN 'partial' ELSE g.label END AS label, coalesce(round(cover, 6), 0) AS cover FROM win LEFT JOIN g USING (detection_id)"""
 
 
@@ -207,8 +221,15 @@ SQL = {
     "label_by_interval": f"WITH {M.CALLS} SELECT detection_id, call_id, call_label FROM ev JOIN calls ON t_us >= c_start AND t_us < c_end WHERE event_type <> 'purchase'",
     "label_first_period": f"""WITH {M.CALLS}, r AS (SELECT detection_id, call_id, call_label, row_number() OVER (PARTITION BY detection_id ORDER BY c_start, call_id) AS k FROM ev JOIN calls ON t_us > c_start AND t_us < c_end)
 SELECT ev.detection_id, coalesce(call_id, -1) AS call_id, coalesce(call_label, 'none') AS label FROM ev LEFT JOIN r ON r.detection_id = ev.detection_id AND k = 1""",
-    "label_windows_best_overlap": _best("cs", 0.3),
-    "label_by_overlap_mixed": _best("ws", 0.5),
+    "label_windows_best_overlap": _best("cs", 0.3, "true"),
+    "label_by_overlap_mixed": _best("ws", 0.5, "cover >= 0.5"),
+    "label_by_overlap_values": f"""WITH {_OVER}, v AS (SELECT detection_id, CASE WHEN call_label IN ('L0', 'L1') THEN 'A' WHEN call_label = 'L2' THEN 'B' ELSE 'weak' END AS v FROM pairs),
+g AS (SELECT detection_id, count(DISTINCT v) FILTER (v <> 'weak') AS n, min(v) FILTER (v <> 'weak') AS s FROM v GROUP BY 1)
+SELECT win.detection_id, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'mixed' WHEN n = 1 THEN s ELSE 'weak' END AS label FROM win LEFT JOIN g USING (detection_id)""",
+    "label_by_periods": f"""WITH {M.CALLS}, w AS (SELECT detection_id, t_us + 60000000 AS mid FROM ev WHERE voc_type = 'whistle'),
+h AS (SELECT detection_id, call_label, call_id % 2 AS odd, c_start, call_id FROM w JOIN calls ON mid >= c_start AND mid < c_end),
+f AS (SELECT detection_id, arg_min(call_label, (c_start, call_id)) AS l FROM h WHERE odd = 0 GROUP BY 1), s AS (SELECT detection_id, arg_min(call_label, (c_start, call_id)) AS l FROM h GROUP BY 1)
+SELECT detection_id, coalesce(f.l, s.l, 'none') AS call_label, CASE WHEN f.l IS NOT NULL THEN 'first' WHEN s.l IS NOT NULL THEN 'second' ELSE 'unannotated' END AS label_source FROM w LEFT JOIN f USING (detection_id) LEFT JOIN s USING (detection_id)""",
     "events_without_detections": f"WITH {M.CALLS} SELECT call_id, call_label FROM calls WHERE NOT EXISTS (SELECT 1 FROM ev WHERE event_type <> 'purchase' AND t_us >= c_start AND t_us < c_end)",
     "sliding_windows": f"""WITH {M.EV}, g AS (SELECT *, t_us // 86400000000 * 86400000000 AS day, min(t_us) OVER (PARTITION BY t_us // 86400000000) // 60000000 * 60000000 AS g FROM ev),
 w AS (SELECT day, value, g + 120000000 * unnest(range(CAST(greatest(ceil((t_us - g - 240000000 + 1) / 120000000), 0) AS BIGINT), (end_us - 1 - g) // 120000000 + 1)) AS w_start FROM g)
