@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolith.functions import scalars as S
+from echolith.operators import pathways as PW
 from echolith.operators import predictions as P
 
 from . import mapping as M
@@ -176,6 +177,21 @@ def pathway_two_layers(spark, d):
     return x.select("grp", "layer1", "layer2", F.when(F.col("layer2").isin("n/a", "uncertain"), F.col("layer1")).otherwise(F.col("layer2")).alias("decision"))
 
 
+_TREE = PW.Layer(
+    "top", {"C1": ("C1",), "rest": ("C2", "C3")}, 0.02,
+    {"rest": PW.Layer("rest_layer", {"C2": ("C2",), "C3": ("C3",)}, 0.01)},
+)
+
+
+def pathway_descent(spark, d):
+    """Layers with groups of classes and least scores, to the deepest confident decision."""
+    return PW.descend(_events(spark, d), _TREE, C).select("grp", "top", "rest_layer", "path", "decision")
+
+
+def pathway_summaries(spark, d):
+    return PW.summaries(PW.descend(_events(spark, d), _TREE, C), _TREE, "true_class")
+
+
 def label_mapping(spark, d):
     groups = {"1-URGENT": "high", "2-HIGH": "high", "3-MEDIUM": "low", "5-LOW": "low"}
     lookup = F.create_map(*(F.lit(x) for kv in groups.items() for x in kv))
@@ -198,6 +214,10 @@ _ML = ", ".join(
     for c, b in zip(C, (0.3, 0.3, 0.4), strict=True)
 )
 
+_DESC = f"""{M.EVENTS_PRED}, l1 AS (SELECT grp, true_class, C1 AS a, C2 + C3 AS b, C2 / (C2 + C3) AS c, C3 / (C2 + C3) AS d FROM e),
+l2 AS (SELECT grp, true_class, CASE WHEN greatest(a, b) * abs(a - b) < 0.02 THEN 'uncertain' WHEN a >= b THEN 'C1' ELSE 'rest' END AS top, CASE WHEN greatest(c, d) * abs(c - d) < 0.01 THEN 'uncertain' WHEN c >= d THEN 'C2' ELSE 'C3' END AS low FROM l1),
+dec AS (SELECT grp, true_class, top, CASE WHEN top = 'rest' THEN low ELSE 'n/a' END AS rest_layer FROM l2)"""
+
 SQL = {
     "block_decisions": f"""WITH {M.PRED},
 t AS (SELECT grp, t_us // 21600000000 * 21600000000 AS block_us, voc_type, avg(C1) AS a, avg(C2) AS b, avg(C3) AS c, count(*) AS n FROM wide GROUP BY ALL),
@@ -254,6 +274,10 @@ SELECT minutes, n, round(coverage, 6) AS coverage, round(p, 6) AS precision, rou
     "pathway_two_layers": f"""WITH {M.EVENTS_PRED}, x AS (SELECT grp, C2, C3, CASE WHEN abs(C1 - (C2 + C3)) < 0.3 THEN 'uncertain' WHEN C1 > C2 + C3 THEN 'C1' ELSE 'C2+C3' END AS layer1 FROM e),
 y AS (SELECT grp, layer1, CASE WHEN layer1 <> 'C2+C3' THEN 'n/a' WHEN abs(C2 - C3) / (C2 + C3) < 0.02 THEN 'uncertain' WHEN C2 > C3 THEN 'C2' ELSE 'C3' END AS layer2 FROM x)
 SELECT grp, layer1, layer2, CASE WHEN layer2 IN ('n/a', 'uncertain') THEN layer1 ELSE layer2 END AS decision FROM y""",
+    "pathway_descent": f"""WITH {_DESC} SELECT grp, top, rest_layer, CASE WHEN top = 'uncertain' THEN '' WHEN rest_layer IN ('C2', 'C3') THEN 'rest > ' || rest_layer ELSE top END AS path,
+CASE WHEN rest_layer IN ('C2', 'C3') THEN rest_layer ELSE top END AS decision FROM dec""",
+    "pathway_summaries": f"""WITH {_DESC}, x AS (SELECT 'top' AS layer, top AS d, CASE true_class WHEN 'C1' THEN 'C1' ELSE 'rest' END AS t FROM dec UNION ALL SELECT 'rest_layer', rest_layer, true_class FROM dec WHERE true_class <> 'C1' AND rest_layer <> 'n/a')
+SELECT layer, count(*) AS n, count(*) FILTER (d <> 'uncertain') AS n_decided, count(*) FILTER (d = t) AS n_correct FROM x GROUP BY layer""",
     "label_mapping": "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority IN ('3-MEDIUM', '5-LOW') THEN 'low' ELSE 'none' END AS grp, count(*) AS n FROM orders GROUP BY 1",
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from echolith.operators import acoustics, clusters, models
+from echolith.operators import acoustics, clusters, density, models, network
 from echolith.operators.predictions import cap_per_group
 
 from . import mapping as M
@@ -47,5 +47,33 @@ def click_spectra(spark, d):
     return e.select("vec_id", acoustics.click_spectrum_column("waves", 128).alias("level")).filter("level IS NOT NULL").select("vec_id", F.posexplode("level").alias("bin", "db"))
 
 
-QUERIES = {f.__name__: f for f in (forest_cross_validation, cluster_verdicts, unit_clusters, contour_shapes, click_spectra)}
+def _frames(spark, d):
+    """Each vector is a frame of one of the groups of its label."""
+    e = M.read(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return e.withColumn("grp", F.concat_ws("_", "label", F.col("vec_id") % 7))
+
+
+def network_cross_validation(spark, d):
+    """Groups dealt over three folds; networks learn on capped, balanced bootstraps of the other folds."""
+    resampling = network.ResamplingParams(max_per_group=20, bootstraps=2)
+    f = _frames(spark, d)
+    f = f.join(network.group_folds(f, "label", "grp", 3), "grp")
+    samples = network.bootstraps(f, "vec_id", "label", "grp", "fold", [0, 1, 2], resampling)
+    scored, _ = network.cross_validate(f, "vec_id", "label", "fold", samples, "x", network.NetworkParams(epochs=6, batch=8, rate=2e-3))
+    return scored.groupBy("fold", "label").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("n_correct"))
+
+
+def density_clusters(spark, d):
+    """Map and density clusters of a sample of units that is drawn by a hash, as large as all pairs allow."""
+    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000)
+    wide = e.select("vec_id", *(F.get("embedding", F.lit(k)).alias(f"f{k}") for k in range(16)))
+    return density.map_and_cluster(wide, "vec_id", [f"f{k}" for k in range(16)], 0.95, 15, 5)
+
+
+def new_class_candidates(spark, d):
+    c = M.clustered(spark, d).withColumn("labelled", (F.col("vec_id") % 8 != 3) & (F.col("label") < 8))
+    return density.candidate_new(c, "cluster", "labelled", "unit", 5)
+
+
+QUERIES = {f.__name__: f for f in (forest_cross_validation, cluster_verdicts, unit_clusters, contour_shapes, click_spectra, network_cross_validation, density_clusters, new_class_candidates)}
 SQL: dict[str, str] = {}
