@@ -5,4 +5,4 @@ from __future__ import annotations
 from . import decisions, discovery, learned, signals
 
 QUERIES: dict = {**decisions.QUERIES, **signals.QUERIES, **discovery.QUERIES, **learned.QUERIES}
-ORACLE_SQL: dict = {**decisions.SQL, **signals.SQL, **discovery.SQL}
+ORACLE_SQL: dict = {**decisions.SQL, **signals.SQL, **discovery.SQL, **learned.SQL}

@@ -53,11 +53,38 @@ def _frames(spark, d):
     return e.withColumn("grp", F.concat_ws("_", "label", F.col("vec_id") % 7))
 
 
+def _folded(spark, d):
+    f = _frames(spark, d)
+    return f.join(network.group_folds(f, "label", "grp", 3), "grp")
+
+
+def grouped_folds(spark, d):
+    return network.group_folds(_frames(spark, d), "label", "grp", 3)
+
+
+def bootstrap_rows(spark, d):
+    """Capped, balanced rows of each fold and bootstrap with their validation mark."""
+    out = network.bootstraps(_folded(spark, d), "vec_id", "label", "grp", "fold", [0, 1, 2], network.ResamplingParams(max_per_group=20, bootstraps=2))
+    return out.select("held_out", "bootstrap", "vec_id", "label", "validation")
+
+
+def pruned_rows(spark, d):
+    """Rows of each class without the tenth that lies farthest from its centre in the main plane."""
+    li = density.prune_outliers(M.read(spark, d, "lineitem"), _FEATURES, "l_returnflag", 0.1)
+    return li.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 2).alias("mean_price"))
+
+
+def outlying_units(spark, d):
+    """Clusters of a sample without the units whose nearest member in another block is too far."""
+    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000)
+    units = e.select("vec_id", "embedding", F.col("label").alias("cluster"), (F.col("vec_id") % 9).alias("block"))
+    return density.outlying(units, "cluster", "block", "vec_id", "embedding").select("vec_id", "cluster")
+
+
 def network_cross_validation(spark, d):
     """Groups dealt over three folds; networks learn on capped, balanced bootstraps of the other folds."""
     resampling = network.ResamplingParams(max_per_group=20, bootstraps=2)
-    f = _frames(spark, d)
-    f = f.join(network.group_folds(f, "label", "grp", 3), "grp")
+    f = _folded(spark, d)
     samples = network.bootstraps(f, "vec_id", "label", "grp", "fold", [0, 1, 2], resampling)
     scored, _ = network.cross_validate(f, "vec_id", "label", "fold", samples, "x", network.NetworkParams(epochs=6, batch=8, rate=2e-3))
     return scored.groupBy("fold", "label").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("n_correct"))
@@ -75,5 +102,17 @@ def new_class_candidates(spark, d):
     return density.candidate_new(c, "cluster", "labelled", "unit", 5)
 
 
-QUERIES = {f.__name__: f for f in (forest_cross_validation, cluster_verdicts, unit_clusters, contour_shapes, click_spectra, network_cross_validation, density_clusters, new_class_candidates)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (forest_cross_validation, cluster_verdicts, unit_clusters, contour_shapes, click_spectra, network_cross_validation, density_clusters, new_class_candidates, grouped_folds, bootstrap_rows, pruned_rows, outlying_units)}
+_FOLDS = """f AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, label || '_' || (vec_id % 7) AS grp FROM embeddings),
+gl AS (SELECT DISTINCT grp, label FROM f), fd AS (SELECT grp, CAST((row_number() OVER (ORDER BY label, md5(grp), grp) - 1) % 3 AS INTEGER) AS fold FROM gl)"""
+
+SQL: dict[str, str] = {
+    "grouped_folds": f"WITH {_FOLDS} SELECT grp, fold FROM fd",
+    "bootstrap_rows": f"""WITH {_FOLDS}, b AS (SELECT f.*, fold, bootstrap, md5(vec_id || ':' || bootstrap) AS o FROM f JOIN fd USING (grp), (SELECT unnest([0, 1]) AS bootstrap)),
+c AS (SELECT *, row_number() OVER (PARTITION BY bootstrap, grp ORDER BY o, vec_id) AS place FROM b QUALIFY place <= 20),
+h AS (SELECT c.*, held_out FROM c, (SELECT unnest([0, 1, 2]) AS held_out) WHERE held_out <> fold),
+n AS (SELECT held_out, bootstrap, label, count(*) AS n FROM h GROUP BY ALL), m AS (SELECT held_out, bootstrap, min(n) AS least FROM n GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT label) FROM f)),
+k AS (SELECT h.*, least, row_number() OVER (PARTITION BY held_out, bootstrap, label ORDER BY place, o, vec_id) AS seat FROM h JOIN m USING (held_out, bootstrap) QUALIFY seat <= least)
+SELECT CAST(held_out AS INTEGER) AS held_out, CAST(bootstrap AS INTEGER) AS bootstrap, vec_id, label,
+row_number() OVER (PARTITION BY held_out, bootstrap, label ORDER BY md5(vec_id || ':' || bootstrap || ':v'), vec_id) <= round_even(CAST(least * 0.33 AS DOUBLE), 0) AS validation FROM k""",
+}
