@@ -76,7 +76,66 @@ def click_spectrum_column(waves: str, fft_len: int = 512) -> Column:
 
 
 def band_edges(low: float, high: float, per_octave: int) -> list[float]:
-    """Base-2 fractional octave edges around 1 kHz that cover low to high."""
-    a = int(np.floor(per_octave * np.log2(low / 1000) - 0.5))
-    b = int(np.ceil(per_octave * np.log2(high / 1000) + 0.5))
-    return [float(1000 * 2 ** ((k + 0.5) / per_octave)) for k in range(a, b + 1)]
+    """Edges of base-2 fractional octave bands whose centres, counted from 1 kHz, lie within half a band of low to high."""
+    first = int(np.ceil(per_octave * np.log2(low / 1000) - 0.5 - 1e-9))
+    last = int(np.floor(per_octave * np.log2(high / 1000) + 0.5 + 1e-9))
+    return [float(1000 * 2 ** ((k - 0.5) / per_octave)) for k in range(first, last + 2)]
+
+
+def profile_names(rate: float, low: float = 5000.0, high: float | None = None, bands: int = 16) -> list[str]:
+    edges = np.linspace(low, min(high or rate / 2, rate / 2), bands + 1).astype(int)
+    return [f"csp_{a}_{b}" for a, b in zip(edges, edges[1:])]
+
+
+def click_measures(wave: np.ndarray, rate: float, low: float, high: float, bands: int, samples: int, fft_len: int) -> list[float] | None:
+    """Peak, centroid, widths at -3 and -10 dB and band shares of one click, cut around its greatest swing; None without power."""
+    if not len(wave):
+        return None
+    start = min(int(np.abs(wave).argmax()) - samples // 2, len(wave) - samples)
+    cut = wave[max(start, 0) : max(start, 0) + samples]
+    cut = cut - cut.mean()
+    power = np.abs(np.fft.rfft(cut * np.hanning(len(cut)) if len(cut) > 1 else cut, max(fft_len, samples))) ** 2
+    hz = np.fft.rfftfreq(max(fft_len, samples), 1 / rate)
+    on = (hz >= low) & (hz <= high)
+    power, hz = power[on], hz[on]
+    total = power.sum()
+    if not total > 0:
+        return None
+    top = int(power.argmax())
+    widths = []
+    for part in (0.5, 0.1):
+        under = np.flatnonzero(power < part * power[top])
+        before, after = under[under < top], under[under > top]
+        inside = (after[0] if len(after) else len(power)) - (before[-1] if len(before) else -1) - 1
+        widths.append(float(inside * (hz[1] - hz[0])) if len(hz) > 1 else float("nan"))
+    band = np.clip(np.searchsorted(np.linspace(low, high, bands + 1), hz, side="right") - 1, 0, bands - 1) if bands else []
+    shares = np.bincount(band, power, bands) / total if bands else []
+    return [float(hz[top]), float((power * hz).sum() / total), *widths, *(float(v) for v in shares)]
+
+
+def click_measures_column(wave: str, rate: float, low: float = 5000.0, high: float | None = None, bands: int = 16, samples: int = 128, fft_len: int = 256) -> Column:
+    """Struct of peak_hz, centroid_hz, bw3_hz, bw10_hz and the shares of the bands; all null without power."""
+    top = min(high or rate / 2, rate / 2)
+    names = ["peak_hz", "centroid_hz", "bw3_hz", "bw10_hz", *profile_names(rate, low, high, bands)]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def of(waves: pd.Series) -> pd.DataFrame:
+        rows = [click_measures(np.asarray(w if w is not None else [], float), rate, low, top, bands, samples, fft_len) for w in waves]
+        return pd.DataFrame([r or [None] * len(names) for r in rows], columns=names, dtype=float)
+
+    return of(wave)
+
+
+def click_level_column(wave: str, fft_len: int = 512) -> Column:
+    """20 log10 of the power of each bin of one click; an empty place where the power is 0."""
+
+    @F.pandas_udf("array<double>")
+    def of(waves: pd.Series) -> pd.Series:
+        out = []
+        for w in waves:
+            w = np.asarray(w if w is not None else [], float)
+            power = power_spectrum((w if len(w) else np.zeros(1))[None], fft_len)[0]
+            out.append([float(20 * np.log10(p)) if p > 0 else None for p in power])
+        return pd.Series(out)
+
+    return of(wave)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echolith.operators import clusters, density, intervals, models, network, pathways
+from echolith.operators import acoustics, clusters, density, features, intervals, models, network, pathways
 from echolith.sources import sinks
 
 
@@ -190,3 +190,42 @@ def test_tables_are_written(spark, tmp_path):
     sinks.write_table(d, str(tmp_path / "c"), "csv", ("prof_",))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).head()[:] == ("1", "[1.0,2.0]")
     assert sinks.ragged_union([d, spark.createDataFrame([(2, "z")], "id long, y string")], ("x",)).columns == ["id", "prof_1", "y"]
+
+
+def test_octave_bands():
+    edges = acoustics.band_edges(10, 4000, 3)
+    centres = np.sqrt(np.array(edges[1:]) * edges[:-1])
+    assert len(centres) == 27 and centres[0] == pytest.approx(9.84, abs=0.01) and centres[-1] == pytest.approx(4000)
+
+
+def test_click_frames_as_by_hand(spark):
+    rng = np.random.default_rng(9)
+    waves = [rng.normal(size=100) for _ in range(7)]
+    starts = [0, 500_000, 1_900_000, 2_100_000, 2_500_000, 3_000_000, 9_000_000]
+    d = spark.createDataFrame([("k", s, s + 1000, w.tolist()) for s, w in zip(starts, waves)], "event string, start_us long, end_us long, wave array<double>")
+    got = {r.frame: r for r in features.click_frames(d, "event", 2_000_000, 2_000_000, 96_000.0, fft_len=512).collect()}
+    assert set(got) == {0, 1} and got[0].n_detections == 3 and got[1].frame_start == 2_000_000
+    level = np.mean([20 * np.log10(np.abs(np.fft.rfft(w, 512))[:256] ** 2) for w in waves[:3]], 0)
+    level -= level.min()
+    x = np.array([level[max(0, i - 2) : i + 1].mean() for i in range(256)])[53:213].reshape(-1, 2).mean(1)
+    assert np.allclose(got[0].features, x / x.sum())
+    silent = spark.createDataFrame([("k", 0, 10, [0.0] * 8)], "event string, start_us long, end_us long, wave array<double>")
+    assert features.click_frames(silent, "event", 2_000_000, 2_000_000, 96_000.0, min_clicks=1).count() == 0
+
+
+def test_click_measures(spark):
+    t = np.arange(128) / 96_000
+    d = spark.createDataFrame([(1, np.sin(2 * np.pi * 24_000 * t).tolist()), (2, [0.0] * 128), (3, None), (4, [1.0])], "id long, wave array<double>")
+    got = {r.id: r for r in d.select("id", acoustics.click_measures_column("wave", 96_000.0).alias("m")).select("id", "m.*").collect()}
+    assert got[1].peak_hz == 24_000 and got[1].centroid_hz == pytest.approx(24_000, rel=0.01) and 0 < got[1].bw3_hz <= got[1].bw10_hz
+    assert sum(v for k, v in got[1].asDict().items() if k.startswith("csp_")) == pytest.approx(1)
+    assert got[2].peak_hz is None and got[3].peak_hz is None and got[4].peak_hz is None
+
+
+def test_whistle_frames_in_octaves(spark):
+    row = ("k", 1, 0, 1_000_000, [i / 100 for i in range(100)], [float(f) for f in np.linspace(2500, 15_000, 100)])
+    d = spark.createDataFrame([row], "event string, contour_id long, start_us long, end_us long, times array<double>, freqs array<double>")
+    r = features.whistle_frames(d, "event", 4_000_000, 4_000_000, downsample=1, per_octave=3).head()
+    want = np.histogram(row[5], acoustics.band_edges(2000, 20_000, 3))[0]
+    assert np.allclose(r.features, want / want.sum()) and r.density == pytest.approx(0.25)
+    assert len(features.whistle_frames(d, "event", 4_000_000, 4_000_000).head().features) == 90
