@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from echolith.operators import acoustics, clusters, density, features, models, network
+from echolith.operators import acoustics, clusters, density, features, models, network, recluster
 from echolith.functions.scalars import US
 from echolith.operators.predictions import block_vectors, cap_per_group
 
@@ -149,12 +149,30 @@ def density_clusters(spark, d):
     return density.map_and_cluster(wide, "vec_id", [f"f{k}" for k in range(16)], 0.95, 15, 5)
 
 
+def hybrid_clusters(spark, d):
+    """Clusters of a sample of units on features weighted by their labels, as large as all pairs allow."""
+    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000)
+    units = e.select("vec_id", "embedding", F.when(F.col("vec_id") % 3 > 0, F.col("label").cast("string")).alias("label"), (F.col("vec_id") % 9).alias("block"))
+    return recluster.hybrid_clusters(units, "vec_id", "embedding", "label", "block", recluster.HybridParams(cut=0.8, least=5, trees=30))
+
+
+def leave_out_reclustered(spark, d):
+    """Two detectors' units, clustered anew without each day, predicted by forests of the other days."""
+    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(1000)
+    units = e.select(
+        F.when(F.col("vec_id") % 2 == 0, "click").otherwise("whistle").alias("detector"), (F.col("vec_id") % 5).alias("unit"), F.col("label").alias("block"), "embedding",
+        F.concat(F.lit("L"), F.col("label") % 3).alias("label"),
+    )
+    out = recluster.leave_out_reclustered(units, "detector", "unit", "block", "embedding", "label", recluster.HybridParams(cut=0.8, least=5, trees=15), trees=30)
+    return out.groupBy("unit", "truth").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("predicted")).alias("n_correct"))
+
+
 def new_class_candidates(spark, d):
     c = M.clustered(spark, d).withColumn("labelled", (F.col("vec_id") % 8 != 3) & (F.col("label") < 8))
     return density.candidate_new(c, "cluster", "labelled", "unit", 5)
 
 
-QUERIES = {f.__name__: f for f in (forest_cross_validation, cluster_verdicts, unit_clusters, contour_shapes, click_spectra, network_cross_validation, density_clusters, new_class_candidates, grouped_folds, bootstrap_rows, pruned_rows, outlying_units, click_measures, whistle_frames, click_frames, window_features, stacked_cross_validation)}
+QUERIES = {f.__name__: f for f in (forest_cross_validation, cluster_verdicts, unit_clusters, contour_shapes, click_spectra, network_cross_validation, density_clusters, new_class_candidates, grouped_folds, bootstrap_rows, pruned_rows, outlying_units, click_measures, whistle_frames, click_frames, window_features, stacked_cross_validation, hybrid_clusters, leave_out_reclustered)}
 _FOLDS = """f AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, label || '_' || (vec_id % 7) AS grp FROM embeddings),
 gl AS (SELECT DISTINCT grp, label FROM f), fd AS (SELECT grp, CAST((row_number() OVER (ORDER BY label, md5(grp), grp) - 1) % 3 AS INTEGER) AS fold FROM gl)"""
 

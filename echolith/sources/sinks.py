@@ -60,10 +60,10 @@ def load_library(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame],
 def forest_nodes(spark: SparkSession, models: dict) -> DataFrame:
     """The nodes of fitted forests, a row each: what fit_folds() gives, as a table that any program can read."""
     rows = [
-        (None if fold is None else str(fold), k, i, int(t["left"][i]), int(t["right"][i]), int(t["feature"][i]), float(t["threshold"][i]), [float(p) for p in t["probs"][i]])
+        (None if fold is None else str(fold), k, i, int(t["left"][i]), int(t["right"][i]), int(t["feature"][i]), float(t["threshold"][i]), [float(p) for p in t["probs"][i]], int(t["size"][i]))
         for fold, (_, _, trees) in models.items() for k, t in enumerate(trees) for i in range(len(t["left"]))
     ]
-    return spark.createDataFrame(rows, "fold string, tree int, node int, left int, right int, feature int, threshold double, probs array<double>")
+    return spark.createDataFrame(rows, "fold string, tree int, node int, left int, right int, feature int, threshold double, probs array<double>, size long")
 
 
 def save_forest(spark: SparkSession, path: str, fitted: tuple, features: list[str]) -> None:
@@ -77,7 +77,7 @@ def load_forest(spark: SparkSession, path: str) -> tuple[dict, list[str]]:
     tables, manifest = load_library(spark, path)
     nodes = tables["nodes"].orderBy("tree", "node").toPandas()
     trees = [
-        {**{c: g[c].to_numpy() for c in ("left", "right", "feature", "threshold")}, "probs": np.stack([np.asarray(p) for p in g["probs"]])}
+        {**{c: g[c].to_numpy() for c in ("left", "right", "feature", "threshold", "size")}, "probs": np.stack([np.asarray(p) for p in g["probs"]])}
         for _, g in nodes.groupby("tree", sort=True)
     ]
     medians = np.array([np.nan if m is None else m for m in manifest["medians"]], np.float32)
