@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import models
@@ -140,6 +141,69 @@ def hybrid_clusters(df: DataFrame, key: str, vector: str, label: str, block: str
     return df.select(key, vector, label, block).limit(MAX_UNITS + 1).repartition(1).mapInPandas(run, f"`{key}` {kind}, cluster int")
 
 
+def freeze(df: DataFrame, key: str, vector: str, label: str, block: str, p: HybridParams | None = None) -> Frozen:
+    """The frozen clustering of a pool of at most MAX_UNITS units, made in one task; only it comes to the driver."""
+    p = p or HybridParams()
+
+    def run(batches):
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        d = pd.concat(got).sort_values(key).reset_index(drop=True)
+        if len(d) > MAX_UNITS:
+            raise ValueError(f"over {MAX_UNITS} units: sample before clustering")
+        yield pd.DataFrame({"f": [pickle.dumps(cluster(_matrix(d[vector]), d[label].to_numpy(object), d[block].to_numpy(), p)[1])]})
+
+    got = df.select(key, vector, label, block).limit(MAX_UNITS + 1).repartition(1).mapInPandas(run, "f binary").collect()
+    if not got:
+        raise ValueError("no units")
+    return pickle.loads(got[0]["f"])
+
+
+def assign_frozen(df: DataFrame, vector: str, frozen: Frozen) -> DataFrame:
+    """df with the cluster of each vector, any number of rows: the clustering is broadcast, rows are not shuffled; a null vector has -1."""
+    shared = df.sparkSession.sparkContext.broadcast(frozen)
+
+    @F.pandas_udf("int")
+    def of(x: pd.Series) -> pd.Series:
+        out, some = np.full(len(x), -1), x.notna().to_numpy()
+        if some.any():
+            out[some] = shared.value.assign(_matrix(x[some]))
+        return pd.Series(out)
+
+    return df.withColumn("cluster", of(vector))
+
+
+def self_check(df: DataFrame, key: str, vector: str, clusters: DataFrame, frozen: Frozen) -> DataFrame:
+    """(n, n_same, share): how many rows of a clustering the frozen one assigns as it did, unassigned ones included."""
+    again = assign_frozen(df.select(key, vector), vector, frozen).select(key, F.col("cluster").alias("_again"))
+    same = F.count_if(F.col("cluster") == F.col("_again"))
+    return clusters.join(again, key).agg(F.count("*").alias("n"), same.alias("n_same"), F.try_divide(same, F.count("*")).alias("share"))
+
+
+def frozen_tables(spark: SparkSession, frozen: Frozen) -> tuple[dict[str, DataFrame], dict]:
+    """(tables, manifest) for save_library(): a row for each centre and each member."""
+    edges = [None if np.isinf(e) else e for e in frozen.edges]
+    centres = [(c, len(frozen.members[c]), frozen.centres[c].tolist(), edges[c]) for c in range(len(frozen.centres))]
+    members = [(c, row.tolist()) for c, m in enumerate(frozen.members) for row in m]
+    tables = {
+        "centres": spark.createDataFrame(centres, "cluster int, n int, centre array<double>, edge double"),
+        "members": spark.createDataFrame(members, "cluster int, vector array<double>"),
+    }
+    return tables, {"mean": frozen.mean, "scale": frozen.scale, "weights": frozen.weights, "cut": frozen.cut}
+
+
+def frozen_from(tables: dict[str, DataFrame], manifest: dict) -> Frozen:
+    """What frozen_tables() wrote; refused over MAX_UNITS members."""
+    m = _pool(tables["members"], "cluster", "vector")
+    rows = tables["centres"].orderBy("cluster").collect()
+    width = len(manifest["mean"])
+    members = [_matrix(m["vector"][m["cluster"] == r["cluster"]]) if (m["cluster"] == r["cluster"]).any() else np.empty((0, width)) for r in rows]
+    centres = np.array([r["centre"] for r in rows], float).reshape(len(rows), width)
+    edges = [float("inf") if r["edge"] is None else r["edge"] for r in rows]
+    return Frozen(*(np.array(manifest[k], float) for k in ("mean", "scale", "weights")), manifest["cut"], centres, members, edges)
+
+
 def _shares(d: pd.DataFrame, clusters: dict, classes: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     """Blocks, their cluster shares by detector (the last of each is unassigned) and the most frequent truth, the least of equals."""
     keys = d[["unit", "block"]].drop_duplicates().sort_values(["unit", "block"]).reset_index(drop=True)

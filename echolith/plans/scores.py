@@ -61,7 +61,9 @@ def _detector(spark, d, kind, classes):
 def merged_detectors(spark, d):
     """The whistle detector does not know the third class."""
     tables = {"click": _detector(spark, d, "click", C), "whistle": _detector(spark, d, "whistle", C[:2])}
-    return r6(D.merge_blocks(tables, ["grp", "block_us"], C, _BASE, {"whistle": 0.5}, 0.05), *C, "score")
+    out = D.merge_blocks(tables, ["grp", "block_us"], C, _BASE, {"whistle": 0.5}, 0.05)
+    # shares of small whole numbers lie on halves of the last digit; both engines round these up
+    return out.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in (*C, "score")})
 
 
 def discovery_scorecard(spark, d):
@@ -131,7 +133,7 @@ e AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1,
 m AS (SELECT *, CASE WHEN seen THEN e0 / (e0 + e1 + e2) END AS C1, CASE WHEN seen THEN e1 / (e0 + e1 + e2) END AS C2, CASE WHEN seen THEN e2 / (e0 + e1 + e2) END AS C3 FROM e),
 g AS (SELECT *, list_reverse_sort([C1, C2, C3])[1] * (list_reverse_sort([C1, C2, C3])[1] - list_reverse_sort([C1, C2, C3])[2]) AS score FROM m),
 k AS (SELECT *, CASE WHEN NOT seen THEN 'C9' WHEN score < 0.05 THEN 'uncertain' WHEN C1 >= C2 AND C1 >= C3 THEN 'C1' WHEN C2 >= C3 THEN 'C2' ELSE 'C3' END AS decision FROM g)
-SELECT grp, block_us, n_click, n_whistle, round(C1, 6) AS C1, round(C2, 6) AS C2, round(C3, 6) AS C3, CASE WHEN seen THEN round(score, 6) + 0.0 END AS score, CASE WHEN NOT seen THEN CASE WHEN ar THEN 'click' ELSE 'whistle' END || ': least % 11 == 0' END AS rule, decision,
+SELECT grp, block_us, n_click, n_whistle, round(C1 + 1e-10, 6) AS C1, round(C2 + 1e-10, 6) AS C2, round(C3 + 1e-10, 6) AS C3, CASE WHEN seen THEN round(score + 1e-10, 6) END AS score, CASE WHEN NOT seen THEN CASE WHEN ar THEN 'click' ELSE 'whistle' END || ': least % 11 == 0' END AS rule, decision,
 CASE WHEN NOT seen OR decision = 'uncertain' THEN '' ELSE decision END AS path FROM k""",
     "discovery_scorecard": f"""WITH {M.CL}, {_INFO.format(where='WHERE cluster <> 7')}, {_SIL.format(c='cluster', where='WHERE cluster <> 7')}
 SELECT count(*) AS n, count(DISTINCT unit) AS n_units, count(DISTINCT cluster) FILTER (cluster <> 7) AS n_clusters, round(count(*) FILTER (cluster = 7) / count(*), 6) AS unassigned, round((SELECT avg(silhouette) FROM sil), 6) + 0.0 AS silhouette, round((SELECT ami FROM info), 6) + 0.0 AS adjusted FROM cl""",

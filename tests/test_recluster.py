@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from echolith.operators import models, recluster
+from echolith.sources import sinks
 
 
 def _blobs(units=4, per=12, seed=3):
@@ -63,3 +64,17 @@ def test_left_out_units_are_predicted(spark):
     assert np.allclose([sum(p) for p in out["probs"]], 1)
     alone = df.filter("u = 'u0'")
     assert recluster.leave_out_reclustered(alone, "d", "u", "b", "v", "c", P, trees=5).count() == 0
+
+
+def test_frozen_clustering_is_saved_and_assigns(spark, tmp_path):
+    df = spark.createDataFrame([(i, u, b, v.tolist(), c) for i, u, b, v, c in _blobs()], "id long, u string, b int, v array<double>, c string")
+    frozen = recluster.freeze(df, "id", "v", "c", "u", P)
+    sinks.save_library(spark, str(tmp_path / "lib"), *recluster.frozen_tables(spark, frozen))
+    again = recluster.frozen_from(*sinks.load_library(spark, str(tmp_path / "lib")))
+    x = np.stack([r[3] for r in _blobs(seed=8)])
+    assert (frozen.assign(x) == again.assign(x)).all() and (again.assign(x) >= 0).mean() > 0.5
+    check = recluster.self_check(df, "id", "v", recluster.hybrid_clusters(df, "id", "v", "c", "u", P), again).collect()[0]
+    assert check.n == 144 and check.share > 0.95
+    gone = recluster.assign_frozen(df.selectExpr("id", "IF(id = 0, NULL, v) AS v"), "v", again).filter("id = 0").collect()
+    assert gone[0].cluster == -1
+    assert recluster.assign_frozen(df.limit(0), "v", again).count() == 0
