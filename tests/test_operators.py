@@ -155,7 +155,7 @@ def test_project_reruns_only_what_changed(spark, tmp_path):
     assert ran == ["a", "b"]
     Project(path, stages, {"a": 2, "b": 5}).run(spark, ["b"])
     assert ran == ["a", "b", "b"]
-    assert Project(path, stages, {"a": 3}).status(spark) == {"a": "pending", "b": "pending", "c": "pending"}
+    assert Project(path, stages, {"a": 3}).status(spark) == {"a": "outdated", "b": "outdated", "c": "pending"}
 
 
 def test_settings(spark):
@@ -170,3 +170,32 @@ def test_filled_blocks(spark):
     n = spark.createDataFrame([(300, 2)], "block long, n long")
     got = windows.filled_blocks(p, n, "a", "b", "block", 300)
     assert got.count() == 288 and got.filter("n IS NULL").count() == 287
+
+
+def test_project_states(spark, tmp_path):
+    from echolith.plans.project import Project, Stage
+
+    source = tmp_path / "in" / "x.csv"
+    source.parent.mkdir()
+    source.write_text("a\n1\n")
+
+    def broken(s, c, up):
+        raise ValueError("no")
+
+    ran = []
+
+    def load(s, c, up):
+        ran.append(1)
+        return s.read.csv(c["file"], header=True)
+
+    stages = [Stage("load", load, settings=("file",)), Stage("maybe", load, ("load",), ("file",), enabled=lambda c: c.get("on", False)), Stage("bad", broken, ("load",))]
+    p = Project(str(tmp_path / "p"), stages, {"file": str(source)})
+    assert set(p.status(spark).values()) == {"pending", "skipped"}
+    with pytest.raises(ValueError):
+        p.run(spark)
+    assert p.status(spark) == {"load": "done", "maybe": "skipped", "bad": "failed"} and len(ran) == 1
+    p.run(spark, ["load"])
+    assert len(ran) == 1
+    source.write_text("a\n1\n2\n")
+    assert p.status(spark) == {"load": "outdated", "maybe": "skipped", "bad": "pending"}
+    assert p.run(spark, ["load"])["load"].count() == 2
