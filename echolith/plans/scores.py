@@ -52,8 +52,9 @@ def leave_out_skill(spark, d):
 
 def _detector(spark, d, kind, classes):
     """Mean probabilities of a day's detections of one kind; a day of one detection is decided by a rule."""
-    w = M.wide(spark, d).filter(F.col("voc_type") == kind).groupBy("grp", S.floor_to(F.col("t_us"), _DAY_US).alias("block_us"))
-    x = w.agg(*(F.avg(c).alias(c) for c in classes), F.count("*").alias("n"), F.min("detection_id").alias("least"))
+    w = M.predictions(spark, d).filter(F.col("voc_type") == kind).groupBy("grp", S.floor_to(F.col("t_us"), _DAY_US).alias("block_us"))
+    of = lambda c: F.when(F.col("class") == c, F.col("probability"))
+    x = w.agg(*(F.avg(of(c)).alias(c) for c in classes), F.count(of(C[0])).alias("n"), F.min("detection_id").alias("least"))
     ruled = F.col("least") % 11 == 0
     return x.withColumns({"rule": F.when(ruled, "least % 11 == 0"), "rule_decision": F.when(ruled, "C9")}).drop("least")
 
