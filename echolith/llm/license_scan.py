@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-A line that speaks of a licence is a candidate block. It is compressed plainly
-and with each template as a raw zstandard dictionary; templates are ranked by
+A line that speaks of a licence is a candidate; a long one is cut into
+overlapping blocks. A block is compressed plainly and with each template as a raw zstandard dictionary; templates are ranked by
 how much smaller the block becomes, and winners are confirmed by the exact
 differences in wording. Candidates are found by a built-in expression, so
 texts without one never reach Python.
@@ -44,6 +44,8 @@ CANDIDATE = r"(?i)licen[cs]|permission is hereby|redistribution and use|public d
 WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9]")
 #: Shares of a template's words that a winner must have, and the most templates that are confirmed.
 COVER, RANKS = 0.8, 3
+#: Words of a block; a longer line is cut into blocks that overlap by half, so any notice of half as many words lies whole in one.
+SIZE = 96
 
 
 class Scanner:
@@ -55,16 +57,27 @@ class Scanner:
             for _, t in templates
         ]
 
+    def blocks(self, line: str) -> list[str]:
+        at = [m.span() for m in WORD.finditer(line)] if len(line) > SIZE else []
+        if len(at) <= SIZE:
+            return [line]
+        return [line[at[k][0] : at[min(k + SIZE, len(at)) - 1][1]] for k in range(0, len(at) - SIZE // 2, SIZE // 2)]
+
+    def line(self, line: str) -> dict | None:
+        """What the block of the fewest differences in wording gives, the first of equals."""
+        hits = [hit for hit in map(self.block, self.blocks(line.lower())) if hit]
+        return min(hits, key=lambda h: h["missing"] + h["extra"], default=None)
+
     def block(self, line: str) -> dict | None:
-        data = line.lower().encode("utf-8", "replace")
+        data = line.encode("utf-8", "replace")
         size = len(self.plain.compress(data))
         saved = [size - len(c.compress(data)) for c in self.given]
-        words = WORD.findall(line.lower())
+        words = WORD.findall(line)
         for k in sorted(range(len(saved)), key=lambda k: (-saved[k], k))[:RANKS]:
             name, want = self.templates[k]
             kept = sum(m.size for m in difflib.SequenceMatcher(None, want, words, autojunk=False).get_matching_blocks())
             digits = [w for w in want if any(c.isdigit() for c in w)]
-            if saved[k] > 0 and kept >= COVER * len(want) and all(w in words for w in digits):
+            if kept >= COVER * len(want) and all(w in words for w in digits):
                 return {"license": name, "saved": saved[k] / size, "missing": len(want) - kept, "extra": len(words) - kept}
         return None
 
@@ -73,7 +86,7 @@ _SCANNER = Scanner()
 
 
 def confirmed(line: str) -> dict | None:
-    return _SCANNER.block(line)
+    return _SCANNER.line(line)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -242,6 +242,14 @@ def test_licenses(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_in_a_long_line(spark):
+    """Exact wording anywhere in a line of any length, also where a dictionary saves nothing."""
+    notice = "Released under the MIT License. "
+    texts = [prose(n, 70) + " " + notice + prose(m, 71) for n, m in ((10, 0), (3000, 3000), (0, 20_000), (20_000, 0), (47, 60), (95, 2))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(x.license for x in r.licenses) for r in license_scan.scan(d).collect()} == {("MIT",)}
+
+
 @data
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, name):
