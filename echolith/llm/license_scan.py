@@ -1,20 +1,25 @@
 """License scans by conditional compression.
 
-A line that speaks of a licence is a candidate; a long one is cut into
-overlapping blocks. A block is compressed plainly and with each template as a raw zstandard dictionary; templates are ranked by
-how much smaller the block becomes, and winners are confirmed by the exact
-differences in wording. Candidates are found by a built-in expression, so
-texts without one never reach Python.
+The words about each mark of a licence (CANDIDATE), over line ends and comment
+signs, are cut into overlapping blocks. A block is compressed plainly and with
+each template as a raw zstandard dictionary; templates are ranked by how much
+smaller the block becomes. The ranking rejects none: every template is aligned
+with the block's words, and each place in a text goes to the template that
+agrees best in wording, the higher ranked of equals. All places are returned.
+Candidates are found by a built-in expression, so texts without one never reach
+Python.
 
 Defined results: null and empty texts have no block; repeated rows get equal
-results; of equal reductions the template first in TEMPLATES wins; other
-columns pass through.
+results; a notice's line is that of its first word, ``missing`` counts the
+template's words that it lacks, ``extra`` other words between its own; words
+more than GAP apart for each kept word are not of one notice; other columns
+pass through.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_right
 
 import pandas as pd
 import zstandard
@@ -40,69 +45,136 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 into the public domain."),
 )
-CANDIDATE = r"(?i)licen[cs]|permission is hereby|redistribution and use|public domain"
+CANDIDATE = r"(?i)licen[cs]|permission[^a-z0-9]+is[^a-z0-9]+hereby|redistribution[^a-z0-9]+and[^a-z0-9]+use|public[^a-z0-9]+domain"
 WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9]")
-#: Shares of a template's words that a winner must have, and the most templates that are confirmed.
-COVER, RANKS = 0.8, 3
-#: Words of a block; a longer line is cut into blocks that overlap by half, so any notice of half as many words lies whole in one.
+#: Words that tell a licence from others; with those that hold digits, a notice must have all of its template's, and one of EITHER.
+NAMING, EITHER = frozenset("apache mit lesser affero by by-sa by-nc".split()), frozenset({"gnu", "general"})
+#: Share of a template's words that a notice must have.
+COVER = 0.8
+#: Words of a block; blocks overlap by half, so any notice of half as many words lies whole in one.
 SIZE = 96
+#: Other words that a kept word outweighs in an alignment.
+GAP = 8
 
 
 class Scanner:
     def __init__(self, templates=TEMPLATES):
-        self.templates = [(name, WORD.findall(t.lower())) for name, t in templates]
+        self.templates = []
+        for name, t in templates:
+            want = WORD.findall(t.lower())
+            at: dict[str, list[int]] = {}
+            for j, w in enumerate(want):
+                at.setdefault(w, []).insert(0, j)
+            must = {w for w in want if w in NAMING or any(c.isdigit() for c in w)}
+            bits = [sum(1 << j for j, w in enumerate(want) if w in own) for own in (must, EITHER)]
+            self.templates.append((name, len(want), at, bits, must))
         self.plain = zstandard.ZstdCompressor(level=19)
         self.given = [
             zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict((t + " " * max(0, 8 - len(t))).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for _, t in templates
         ]
 
-    def blocks(self, line: str) -> list[str]:
-        at = [m.span() for m in WORD.finditer(line)] if len(line) > SIZE else []
-        if len(at) <= SIZE:
-            return [line]
-        return [line[at[k][0] : at[min(k + SIZE, len(at)) - 1][1]] for k in range(0, len(at) - SIZE // 2, SIZE // 2)]
-
-    def line(self, line: str) -> dict | None:
-        """What the block of the fewest differences in wording gives, the first of equals."""
-        hits = [hit for hit in map(self.block, self.blocks(line.lower())) if hit]
-        return min(hits, key=lambda h: h["missing"] + h["extra"], default=None)
-
-    def block(self, line: str) -> dict | None:
-        data = line.encode("utf-8", "replace")
+    def saved(self, block: str, k: int | None = None) -> list[float]:
+        """Share of a block that each template, or the k-th, saves as a dictionary."""
+        data = block.encode("utf-8", "replace")
         size = len(self.plain.compress(data))
-        saved = [size - len(c.compress(data)) for c in self.given]
-        words = WORD.findall(line)
-        for k in sorted(range(len(saved)), key=lambda k: (-saved[k], k))[:RANKS]:
-            name, want = self.templates[k]
-            kept = sum(m.size for m in difflib.SequenceMatcher(None, want, words, autojunk=False).get_matching_blocks())
-            digits = [w for w in want if any(c.isdigit() for c in w)]
-            if kept >= COVER * len(want) and all(w in words for w in digits):
-                return {"license": name, "saved": saved[k] / size, "missing": len(want) - kept, "extra": len(words) - kept}
-        return None
+        return [(size - len(c.compress(data))) / size for c in (self.given if k is None else [self.given[k]])]
+
+    def align(self, k: int, words: list) -> tuple[int, int, int, int] | None:
+        """(kept less missing and extra, first, end, kept) of the best place of a template among words; None stands for words that are taken."""
+        _, n, at, (must, either), _ = self.templates[k]
+        need = COVER * n
+        # best alignment that ends at or before a word, by the template's words up to j: score, first word, bits of the kept ones
+        none = (0, 0, 0)
+        reach = [none] * (n + 1)
+        best = None
+        for i, w in enumerate(words):
+            if w is None:
+                reach = [none] * (n + 1)
+                continue
+            new = {}
+            for j in at.get(w, ()):
+                score, first, bits = reach[j]
+                new[j + 1] = (score + GAP, first if score else i, bits | 1 << j)
+            reach = [(s - 1, f, b) if s > 1 else none for s, f, b in reach]
+            for j, got in new.items():
+                for to in range(j, n + 1):
+                    if reach[to] < got:
+                        reach[to] = got
+                    else:
+                        break
+                kept = got[2].bit_count()
+                if kept >= need and got[2] & must == must and (not either or got[2] & either):
+                    value = (2 * kept - n - (i + 1 - got[1] - kept), got[1], i + 1, kept)
+                    if best is None or value[0] > best[0]:
+                        best = value
+        return best
+
+    def block(self, words: list, text: str) -> list[tuple[int, int, int, int]]:
+        """(template, first, end, kept) of all places in a block; words that are taken are None."""
+        held = {w for w in words if w}
+        likely = [k for k, (_, n, at, _, must) in enumerate(self.templates) if must <= held and sum(len(j) for w, j in at.items() if w in held) >= COVER * n]
+        if not likely:
+            return []
+        words, out = list(words), []
+        saved = self.saved(text)
+        likely.sort(key=lambda k: (-saved[k], k))
+        while True:
+            places = [(place, k) for k in likely if (place := self.align(k, words))]
+            if not places:
+                return out
+            (_, first, end, kept), k = max(places, key=lambda x: x[0][0])
+            out.append((k, first, end, kept))
+            words[first:end] = [None] * (end - first)
+
+    def notices(self, text: str) -> list[dict]:
+        """All notices of a text by place."""
+        text = text.lower()
+        spans = [m.span() for m in WORD.finditer(text)]
+        starts = [s for s, _ in spans]
+        words: list = [text[s:e] for s, e in spans]
+        regions: list[list[int]] = []
+        for m in re.finditer(CANDIDATE, text):
+            c = bisect_right(starts, m.start()) - 1
+            lo, hi = max(0, c - SIZE // 2), min(len(words), c + SIZE // 2)
+            if regions and lo <= regions[-1][1]:
+                regions[-1][1] = hi
+            else:
+                regions.append([lo, hi])
+        out = []
+        for lo, hi in regions:
+            for b in range(lo, max(lo + 1, hi - SIZE // 2), SIZE // 2):
+                e = min(b + SIZE, hi)
+                for k, first, end, kept in self.block(words[b:e], text[spans[b][0] : spans[e - 1][1]]):
+                    first, end = first + b, end + b
+                    if e < hi and first >= b + SIZE // 2:
+                        continue  # whole in the next block
+                    out.append((first, end, k, kept))
+                    words[first:end] = [None] * (end - first)
+        notices = []
+        for first, end, k, kept in sorted(out):
+            name, n = self.templates[k][:2]
+            (at, _), (_, to) = spans[first], spans[end - 1]
+            notices.append({"line": text.count("\n", 0, at), "license": name, "saved": self.saved(text[at:to], k)[0], "missing": n - kept, "extra": end - first - kept})
+        return notices
 
 
 _SCANNER = Scanner()
 
 
-def confirmed(line: str) -> dict | None:
-    return _SCANNER.line(line)
+def confirmed(text: str) -> list[dict]:
+    return _SCANNER.notices(text)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with licenses: array of (line, license, saved, missing, extra) in the order of lines."""
 
     @F.pandas_udf("array<struct<line:int,license:string,saved:double,missing:int,extra:int>>")
-    def found(lines: pd.Series) -> pd.Series:
-        out = []
-        for row in lines:
-            hits = [(x["line"], confirmed(x["text"])) for x in row]
-            out.append([{"line": k, **hit} for k, hit in hits if hit])
-        return pd.Series(out)
-
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    blocks = docs.withColumn("__el_b", F.filter(lines, lambda x: x["text"].rlike(CANDIDATE)))
-    return blocks.withColumn("licenses", found(F.col("__el_b"))).drop("__el_b")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([confirmed(t) if isinstance(t, str) else [] for t in texts], dtype=object)
+
+    some = docs.withColumn("__el_t", F.when(F.col(text_col).rlike(CANDIDATE), F.col(text_col)))
+    return some.withColumn("licenses", found(F.col("__el_t"))).drop("__el_t")
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,26 @@ def test_licenses(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+WRAPPED = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
+    "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this",
+)
+
+
+def test_all_licenses_of_wrapped_and_adjacent_notices():
+    names = lambda text: [(x["line"], x["license"]) for x in license_scan.confirmed(text)]
+    assert [names(t) for t in WRAPPED] == [[(0, "MIT")], [(0, "BSD-3-Clause")], [(0, "MPL-2.0")]]
+    assert names("\n".join(WRAPPED)) == [(0, "MIT"), (3, "BSD-3-Clause"), (5, "MPL-2.0")]
+    short = [(n, t) for n, t in license_scan.TEMPLATES]
+    assert names(" ".join(t for _, t in short)) == [(0, n) for n, _ in short]
+    assert names("\n".join(t for _, t in short * 3)) == [(k, n) for k, (n, _) in enumerate(short * 3)]
+    assert names("words\nReleased under the\nMIT License.\nReleased under the BSD License.") == [(1, "MIT")]
+    assert names("This work is licensed under the Other Public License, version 3.") == []
+    assert names("This work is licensed under the GNU Public License, version 3.") == [(0, "GPL-3.0")]
+    assert names("Licensed under the Apache License, Version 2.0, or released under the MIT License.") == [(0, "Apache-2.0"), (0, "MIT")]
+
+
 def test_license_in_a_long_line(spark):
     """Exact wording anywhere in a line of any length, also where a dictionary saves nothing."""
     notice = "Released under the MIT License. "
