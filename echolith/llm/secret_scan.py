@@ -2,7 +2,8 @@
 
 One projection finds candidate spans in every text. Candidate hashes are then
 counted by distinct owner and repository over the whole corpus: a value that
-many owners carry is a copied example, one that few carry looks live. Only
+many owners carry is a copied example, one that few carry looks live. A private
+key is one span from BEGIN through END and is counted by its body. Only
 candidates travel; texts stay where they were read. A value that a third of
 all rows hold is first reduced to its distinct (value, owner, repository)
 rows, then to (value, owner), so no task gathers its rows.
@@ -27,12 +28,26 @@ VENDOR = (
     r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35,}"
     r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 )
+# What follows the header of a private key, the last of VENDOR: all through END; without an END, headers and lines of base64.
+BODY = (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\\[nr]|\s)*+[A-Za-z-]+:\x20[^\n\\]*+)*+(?:(?:\\[nr]|[\s>*#|\"'+,])*+[A-Za-z0-9+/]{32,}+={0,2})*+(?:(?<=[A-Za-z0-9+/]{32})(?:\\[nr]|[\s>*#|\"'+,])++[A-Za-z0-9+/]{1,31}+(?:={1,2}|(?=\s*+(?:\n|\z))))?+)"
+)
+WHOLE = VENDOR + BODY
+#: What does not belong to a private key's own text, so that copies with other line ends are equal.
+AROUND = r"-----[A-Z ]*-----|\\[nr]|[^A-Za-z0-9+/=]"
 KINDS = ("assign", "access", "hex", "vendor")
 VALUE = "struct<k:int,s:int,e:int,h:string>"
 #: A value that more owners than this carry is a widely copied example.
 MAX_OWNERS = 3
 
 
+def _owned(value: Column) -> Column:
+    """What is counted by owner: of a private key the body, if it has one."""
+    body = F.regexp_replace(value, AROUND, "")
+    return F.when(value.startswith("-----BEGIN") & (F.length(body) > 0), body).otherwise(value)
+
+
 def _spans(text: Column, kind: int, pattern: str, value_group: int = 0, least: int = 1) -> Column:
     """Spans of the matches, from the lengths of what lies between them."""
 
@@ -44,7 +59,7 @@ def _spans(text: Column, kind: int, pattern: str, value_group: int = 0, least: i
             s = acc["at"] + F.length(F.get(gap, i))
             e = s + F.length(m)
             value = F.regexp_extract(m, pattern, value_group) if value_group else m
-            span = F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), F.sha2(value, 256).alias("h")).cast(VALUE)
+            span = F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), F.sha2(_owned(value) if pattern == WHOLE else value, 256).alias("h")).cast(VALUE)
             keep = F.length(value) >= least
             return F.struct(e.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
@@ -57,7 +72,7 @@ def _spans(text: Column, kind: int, pattern: str, value_group: int = 0, least: i
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, by start, then kind."""
     t = F.coalesce(text, F.lit(""))
-    found = F.concat(_spans(t, 0, ASSIGN, 2, 6), _spans(t, 1, ACCESS), _spans(t, 2, HEX), _spans(t, 3, VENDOR))
+    found = F.concat(_spans(t, 0, ASSIGN, 2, 6), _spans(t, 1, ACCESS), _spans(t, 2, HEX), _spans(t, 3, WHOLE))
     by_start = F.sort_array(F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["h"].alias("h"))))
     return F.transform(by_start, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h")))
 

@@ -192,6 +192,34 @@ def test_copied_example_is_not_live(spark):
     assert got[0] == (0, 0, 1) and got[9] == (1, 1, 0)
 
 
+def test_private_keys_are_told_apart_by_body(spark):
+    """Six owners of different keys: all live, and no line of a body stays; a copied key is an example, however its lines end."""
+    r = random.Random(8)
+    lines = lambda: ["".join(r.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(64)) for _ in range(25)] + ["abcdEFGH12=="]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    own, same = [lines() for _ in range(7)], lines()
+    texts = [f"see\n{head}\n" + "\n".join(k) + f"\n{tail}\nafter" for k in own[:5]]
+    texts.append(f"see\n{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n" + "\n".join(own[5]) + "\nafter these words")
+    texts.append(f"see\n{head}\nProc-Type: 4,ENCRYPTED\n\n" + "\n".join(own[6]) + f"\n{tail}\nafter")
+    shared = [f"example {head}{end}" + end.join(same) + f"{end}{tail}" for end in ("\n", "\r\n", "\\n", "\n  ")]
+    d = spark.createDataFrame([(k, t, f"owner{k}") for k, t in enumerate(texts + shared)], "doc_id long, text string, source string")
+    got = {x.doc_id: (len(x.spans), x.n_live, x.n_example) for x in secret_scan.scan(d).collect()}
+    assert all(got[k][1] and not got[k][2] for k in range(7)) and all(got[k] == (0, 0, 1) for k in range(7, 11))
+    hidden = {x.doc_id: x.text for x in secret_scan.redact(d).collect()}
+    assert all(hidden[k] == "see\n[secret]\nafter" + " these words" * (k == 5) for k in range(7))
+    assert hidden[7] == shared[0]
+
+
+def test_private_key_in_long_texts(spark):
+    """No recursion on long bodies or on dashes, and no END is borrowed from another key."""
+    head, tail = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    body = "\n".join(["Ab1/" * 16] * 20_000)
+    texts = [f"{head}\n{body}", f"{head}\n{body}\n{tail}", head + " a-b" * 100_000, f"{head} words here {head}\n{body}\n{tail} rest"]
+    d = spark.createDataFrame([(k, t, "one") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    hidden = {x.doc_id: x.text for x in secret_scan.redact(d).collect()}
+    assert hidden[0] == hidden[1] == "[secret]" and hidden[2] == "[secret]" + " a-b" * 100_000 and hidden[3] == "[secret] words here [secret] rest"
+
+
 def _toy(spark, bad: str):
     rows = [(k, prose(40, k) + (f" {bad}{'abc'[k % 3]} " + prose(20, k + 1000) + f" {bad}x") * (k % 4 == 0), "en") for k in range(400)]
     d = spark.createDataFrame(rows + [(1000, None, None), (1001, "", None), (0, rows[0][1], "en")], "doc_id long, text string, lang string")
