@@ -76,7 +76,7 @@ def contour_histogram(spark, d):
 
 
 def sample_rate_consensus(spark, d):
-    e = M.detections(spark, d).filter("grp < 100").select("grp", (F.col("t_us") / 1e6 - 1_704_000_000).alias("sec"))
+    e = M.detections(spark, d).select("grp", (F.col("t_us") / 1e6 - 1_704_000_000).alias("sec"))
     e = e.withColumn("sample", F.col("sec") * (96_000 + F.col("grp") % 3) + 5)
     return T.consensus(T.sample_rates(e, "grp", "sample", "sec"), "rate")
 

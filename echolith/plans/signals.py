@@ -69,7 +69,7 @@ def sliding_windows(spark, d):
 
 
 def frames_membership(spark, d):
-    det = M.detections(spark, d).filter("grp % 10 = 0").withColumn("day", S.floor_to(F.col("t_us"), 86_400 * S.US)).withColumn("key", F.concat_ws("@", "grp", "day"))
+    det = M.detections(spark, d).withColumn("day", S.floor_to(F.col("t_us"), 86_400 * S.US)).withColumn("key", F.concat_ws("@", "grp", "day"))
     return W.frames(det, "key", "t_us", "end_us", 4 * S.US, 2 * S.US).select("key", "detection_id", "frame", "frame_start")
 
 
