@@ -3,16 +3,79 @@
 from __future__ import annotations
 
 import math
+import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most units that are clustered at once, all pairs being held; callers sample above it.
+#: Most units that are clustered at once, all pairs being held; any more are assigned to the clusters of such a pool.
 MAX_UNITS = 8000
 
 
+def over_pool(df: DataFrame, key: str, columns: list[str], fit, kinds: str) -> DataFrame:
+    """(key, results of ``kinds``) of every row of df.
+
+    ``fit(rows)`` sees one pool, all rows or MAX_UNITS of them by a hash of the
+    key, sorted by key. It returns the pool's results, a table of the columns of
+    ``kinds``, and an object whose ``assign(rows)`` gives those of any others.
+    Both are broadcast; rows are not shuffled.
+    """
+    part = df.select(*dict.fromkeys([key, *columns]))
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, {kinds}"
+
+    def run(batches):
+        got = [b for b in batches if len(b)]
+        if got:
+            d = pd.concat(got).sort_values(key).reset_index(drop=True)
+            yield pd.DataFrame({"b": [pickle.dumps((d[key].tolist(), *fit(d)))]})
+
+    fitted = part.orderBy(F.xxhash64(key), key).limit(MAX_UNITS).repartition(1).mapInPandas(run, "b binary").collect()
+    if not fitted:
+        return df.sparkSession.createDataFrame([], schema)
+    shared = df.sparkSession.sparkContext.broadcast(bytes(fitted[0]["b"]))
+
+    def each(batches):
+        keys, known, model = pickle.loads(shared.value)
+        place = pd.Index(keys)
+        for b in batches:
+            if not len(b):
+                continue
+            b = b.reset_index(drop=True)
+            at = place.get_indexer(b[key])
+            old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            parts = [known.iloc[at[old]].set_index(old)]
+            if len(new):
+                parts.append(model.assign(b.iloc[new].reset_index(drop=True)).set_index(new))
+            out = pd.concat(parts).sort_index()
+            out.insert(0, key, b[key])
+            yield out
+
+    return part.mapInPandas(each, schema)
+
+
+@dataclass
+class Nearest:
+    """The nearest centre by cosine of standard vectors, -1 beyond the cut."""
+
+    vector: str
+    mean: np.ndarray
+    scale: np.ndarray
+    centres: np.ndarray
+    cut: float
+
+    def assign(self, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(self.centres):
+            return pd.DataFrame({"cluster": np.full(len(rows), -1)})
+        x = (np.stack([np.asarray(v, float) for v in rows[self.vector]]) - self.mean) / self.scale
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        far = 1 - x @ self.centres.T
+        best = far.argmin(1)
+        return pd.DataFrame({"cluster": np.where(far[np.arange(len(x)), best] <= self.cut, best, -1)})
+
+
 def beta_quantile(p: float, a: float, b: float) -> float:
     """Quantile of the Beta distribution by bisection on the continued fraction of its integral."""
     low, high = 0.0, 1.0
@@ -67,7 +130,7 @@ def binary_verdicts(df: DataFrame, cluster: str, unit: str, positive: str, cap:
 
 def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
     """Labels of average-linkage clusters cut at a distance, by chains of nearest neighbours."""
-    d = distance.astype(float).copy()
+    d = distance.astype(float)
     n = len(d)
     np.fill_diagonal(d, np.inf)
     size, alive, parent = np.ones(n), np.ones(n, bool), np.arange(n)
@@ -96,24 +159,20 @@ def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
 
 
 def cluster_units(df: DataFrame, key: str, vector: str, cut: float = 0.7, least: int = 15) -> DataFrame:
-    """(key, cluster): cosine average-linkage clusters renumbered by size, small ones -1; at most MAX_UNITS units."""
+    """(key, cluster): cosine average-linkage clusters of a pool, renumbered by size, small ones -1; rows beyond the pool go to the nearest centre."""
 
-    def run(batches):
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        d = pd.concat(got).sort_values(key).reset_index(drop=True)
-        if len(d) > MAX_UNITS:
-            raise ValueError(f"over {MAX_UNITS} units: sample before clustering")
+    def fit(d: pd.DataFrame):
         x = np.stack([np.asarray(v, float) for v in d[vector]])
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+        mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+        x = (x - mean) / scale
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         label = average_linkage(np.maximum(1 - x @ x.T, 0), cut)
         size = np.bincount(label)
         rank = np.full(len(size), -1)
         for k, c in enumerate(sorted(np.flatnonzero(size >= least), key=lambda c: (-size[c], c))):
             rank[c] = k
-        yield pd.DataFrame({key: d[key], "cluster": rank[label]})
+        out = rank[label]
+        centres = np.array([x[out == k].mean(0) for k in range(out.max() + 1)])
+        return pd.DataFrame({"cluster": out}), Nearest(vector, mean, scale, centres, cut)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, vector).limit(MAX_UNITS + 1).repartition(1).mapInPandas(run, f"`{key}` {kind}, cluster int")
+    return over_pool(df, key, [vector], fit, "cluster int")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clusters import MAX_UNITS
+from .clusters import over_pool
 
 #: Most features whose covariances are summed in one aggregate.
 MAX_FEATURES = 60
@@ -123,25 +125,67 @@ def density_labels(x: np.ndarray, least: int, samples: int | None = None, leaf:
     return np.array([rank.get(int(v), -1) for v in label])
 
 
+@dataclass
+class Chart:
+    """A pool's map, to which other rows are added: each takes the cluster of the pool unit nearest by mutual reachability,
+    or none where that is farther than the largest core distance of the cluster."""
+
+    features: list[str]
+    filled: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+    centre: np.ndarray
+    axes: np.ndarray
+    pool: np.ndarray
+    core: np.ndarray
+    labels: np.ndarray
+    edges: np.ndarray
+
+    def assign(self, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[self.features].to_numpy(float)
+        x = np.where(np.isfinite(x), x, self.filled)
+        vary = self.spread > 0
+        x = (x[:, vary] - self.mean[vary]) / self.spread[vary]
+        z = (x - self.centre) @ self.axes.T
+        z = np.pad(z, ((0, 0), (0, max(0, 2 - z.shape[1]))))
+        out = np.full(len(z), -1)
+        for i, row in enumerate(z[:, : self.pool.shape[1]]):
+            reach = np.maximum(np.sqrt(((self.pool - row) ** 2).sum(1)), self.core)
+            k = int(reach.argmin())
+            c = self.labels[k]
+            if c >= 0 and reach[k] <= self.edges[c]:
+                out[i] = c
+        return pd.DataFrame({"x": z[:, 0], "y": z[:, 1], "cluster": out})
+
+
 def map_and_cluster(df: DataFrame, key: str, features: list[str], share: float = 0.95, least: int = 25, samples: int | None = None, leaf: bool = True, dims: int = 2) -> DataFrame:
-    """(key, x, y, cluster): the map is the first two components, clusters are of the first ``dims``; at most MAX_UNITS units."""
-
-    def run(batches):
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        d = pd.concat(got).sort_values(key).reset_index(drop=True)
-        if len(d) > MAX_UNITS:
-            raise ValueError(f"over {MAX_UNITS} units: sample before clustering")
-        x = standard_matrix(d[features].to_numpy(float))
+    """(key, x, y, cluster): the map is the first two components of a pool, clusters are of the first ``dims``; rows beyond the pool are added to its map."""
+
+    def fit(d: pd.DataFrame):
+        raw = d[features].to_numpy(float)
+        x = standard_matrix(raw)
         if len(d) < 5 or not x.shape[1]:
             raise ValueError("under 5 units, or no feature varies")
         z = components(x, share)
-        z = np.pad(z, ((0, 0), (0, max(0, 2 - z.shape[1]))))
-        yield pd.DataFrame({key: d[key], "x": z[:, 0], "y": z[:, 1], "cluster": density_labels(z[:, :dims], min(least, len(d)), samples, leaf)})
+        kept = z.shape[1]
+        z = np.pad(z, ((0, 0), (0, max(0, 2 - kept))))
+        labels = density_labels(z[:, :dims], min(least, len(d)), samples, leaf)
+        raw = np.where(np.isfinite(raw), raw, np.nan)
+        known = ~np.isnan(raw).all(0)
+        filled = np.zeros(raw.shape[1])
+        filled[known] = np.nanmedian(raw[:, known], 0)
+        raw = np.where(np.isnan(raw), filled, raw)
+        _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+        pool = z[:, :dims]
+        near = min(samples or min(least, len(d)), len(d))
+        core = np.array([np.partition(np.sqrt(((pool - row) ** 2).sum(1)), near - 1)[near - 1] for row in pool])
+        edges = np.array([core[labels == c].max() for c in range(labels.max() + 1)])
+        chart = Chart(features, filled, raw.mean(0), raw.std(0), x.mean(0), axes[:kept], pool, core, labels, edges)
+        return pd.DataFrame({"x": z[:, 0], "y": z[:, 1], "cluster": labels}), chart
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *(F.col(f).cast("double").alias(f) for f in features)).limit(MAX_UNITS + 1).repartition(1).mapInPandas(run, f"`{key}` {kind}, x double, y double, cluster int")
+    cast = df.select(key, *(F.col(f).cast("double").alias(f) for f in features))
+    return over_pool(cast, key, features, fit, "x double, y double, cluster int")
 
 
 def prune_outliers(df: DataFrame, features: list[str], label: str, prune: float) -> DataFrame:
@@ -171,20 +215,35 @@ def prune_outliers(df: DataFrame, features: list[str], label: str, prune: float)
     return far.join(edge, label).filter("_d < _edge").select(*df.columns)
 
 
+@dataclass
+class Members:
+    """A pool's members and the edge of each cluster that has one."""
+
+    cluster: str
+    block: str
+    vector: str
+    held: dict
+
+    def assign(self, rows: pd.DataFrame) -> pd.DataFrame:
+        new = rows[self.cluster].to_numpy().copy()
+        for i, (c, b, v) in enumerate(zip(rows[self.cluster], rows[self.block], rows[self.vector], strict=True)):
+            if c in self.held:
+                x, blocks, edge = self.held[c]
+                other = blocks != b
+                if other.any() and np.sqrt(((x[other] - np.asarray(v, float)) ** 2).sum(1)).min() > edge:
+                    new[i] = -1
+        return pd.DataFrame({"_new": new})
+
+
 def outlying(df: DataFrame, cluster: str, block: str, key: str, vector: str, share: float = 0.95, least: int = 5) -> DataFrame:
     """df with cluster -1 where a unit's nearest member in another block is farther than the cluster's quantile.
 
-    Clusters with under ``least`` such distances stay whole. At most MAX_UNITS units, a pool of which the clusters are.
+    Clusters with under ``least`` such distances stay whole. Quantiles and
+    members are those of a pool; rows beyond it are judged by them.
     """
 
-    def run(batches):
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        d = pd.concat(got).sort_values(key).reset_index(drop=True)
-        if len(d) > MAX_UNITS:
-            raise ValueError(f"over {MAX_UNITS} units")
-        new = d[cluster].to_numpy().copy()
+    def fit(d: pd.DataFrame):
+        new, held = d[cluster].to_numpy().copy(), {}
         for c in np.unique(new[new >= 0]):
             at = np.flatnonzero(d[cluster] == c)
             x, b = np.stack([np.asarray(v, float) for v in d[vector].iloc[at]]), d[block].to_numpy()[at]
@@ -195,11 +254,11 @@ def outlying(df: DataFrame, cluster: str, block: str, key: str, vector: str, sha
                     near[i] = np.sqrt(((x[other] - x[i]) ** 2).sum(1)).min()
             known = np.isfinite(near)
             if known.sum() >= least:
-                new[at[known & (near > np.quantile(near[known], share))]] = -1
-        yield pd.DataFrame({key: d[key], "_new": new})
+                held[c] = (x, b, np.quantile(near[known], share))
+                new[at[known & (near > held[c][2])]] = -1
+        return pd.DataFrame({"_new": new}), Members(cluster, block, vector, held)
 
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, cluster)}
-    moved = df.select(key, cluster, block, vector).limit(MAX_UNITS + 1).repartition(1).mapInPandas(run, f"`{key}` {kinds[key]}, _new {kinds[cluster]}")
+    moved = over_pool(df, key, [cluster, block, vector], fit, f"_new {df.schema[cluster].dataType.simpleString()}")
     return df.join(moved, key).withColumn(cluster, F.col("_new")).drop("_new")
 
 

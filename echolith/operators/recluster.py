@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import models
-from .clusters import MAX_UNITS, average_linkage
+from .clusters import MAX_UNITS, average_linkage, over_pool
 
 
 @dataclass(frozen=True)
@@ -124,21 +124,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column])
 
 
+@dataclass
+class _Assigned:
+    vector: str
+    frozen: Frozen
+
+    def assign(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cluster": self.frozen.assign(_matrix(rows[self.vector]))})
+
+
 def hybrid_clusters(df: DataFrame, key: str, vector: str, label: str, block: str, p: HybridParams | None = None) -> DataFrame:
-    """(key, cluster) of a pool of at most MAX_UNITS units; null labels have no say in the weights."""
+    """(key, cluster) of a pool, and of rows beyond it by the pool's frozen clustering; null labels have no say in the weights."""
     p = p or HybridParams()
 
-    def run(batches):
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        d = pd.concat(got).sort_values(key).reset_index(drop=True)
-        if len(d) > MAX_UNITS:
-            raise ValueError(f"over {MAX_UNITS} units: sample before clustering")
-        yield pd.DataFrame({key: d[key], "cluster": cluster(_matrix(d[vector]), d[label].to_numpy(object), d[block].to_numpy(), p)[0]})
+    def fit(d: pd.DataFrame):
+        out, frozen = cluster(_matrix(d[vector]), d[label].to_numpy(object), d[block].to_numpy(), p)
+        return pd.DataFrame({"cluster": out}), _Assigned(vector, frozen)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, vector, label, block).limit(MAX_UNITS + 1).repartition(1).mapInPandas(run, f"`{key}` {kind}, cluster int")
+    return over_pool(df, key, [vector, label, block], fit, "cluster int")
 
 
 def freeze(df: DataFrame, key: str, vector: str, label: str, block: str, p: HybridParams | None = None) -> Frozen:
@@ -204,18 +207,22 @@ def frozen_from(tables: dict[str, DataFrame], manifest: dict) -> Frozen:
     return Frozen(*(np.array(manifest[k], float) for k in ("mean", "scale", "weights")), manifest["cut"], centres, members, edges)
 
 
+#: Units whose frozen clusterings are broadcast together.
+UNITS_AT_ONCE = 8
+
+
 def _shares(d: pd.DataFrame, clusters: dict, classes: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """Blocks, their cluster shares by detector (the last of each is unassigned) and the most frequent truth, the least of equals."""
+    """Of counts n: blocks, their cluster shares by detector (the last of each is unassigned) and the most frequent truth, the least of equals."""
     keys = d[["unit", "block"]].drop_duplicates().sort_values(["unit", "block"]).reset_index(drop=True)
     row = keys.reset_index().merge(d, on=["unit", "block"], how="right")["index"].to_numpy()
     parts = []
     for name, k in clusters.items():
         m = np.zeros((len(keys), k + 1))
         own = (d["detector"] == name).to_numpy()
-        np.add.at(m, (row[own], np.where(d["cluster"][own] < 0, k, d["cluster"][own])), 1)
+        np.add.at(m, (row[own], np.where(d["cluster"][own] < 0, k, d["cluster"][own])), d["n"][own])
         parts.append(m / np.maximum(m.sum(1, keepdims=True), 1))
     truth = np.zeros((len(keys), len(classes)))
-    np.add.at(truth, (row, np.searchsorted(classes, d["label"].astype(str))), 1)
+    np.add.at(truth, (row, np.searchsorted(classes, d["label"].astype(str))), d["n"])
     return keys, np.hstack(parts), truth.argmax(1)
 
 
@@ -227,51 +234,65 @@ def leave_out_reclustered(
     A task for each unit: every detector's pool is clustered without the unit,
     all labelled rows are assigned to those clusters, and a forest over the
     other units' cluster shares scores the unit's blocks. ``probs`` follow the
-    sorted classes. The pool, of at most MAX_UNITS rows of all detectors, is
-    broadcast. A unit without which one class or none is left has no rows.
+    sorted classes. The pool, all rows of all detectors or MAX_UNITS of them by
+    a hash, is broadcast; the assigned rows are not limited and travel as
+    counts. A unit without which one class or none is left has no rows.
     """
     p = p or HybridParams()
     spark = df.sparkSession
     names = {detector: "detector", unit: "unit", block: "block", vector: "vector", label: "label"}
-    pool = _pool(df, *(F.col(c).cast("string").alias(n) if n in ("detector", "unit", "label") else F.col(c).alias(n) for c, n in names.items()))
+    rows = df.select(*(F.col(c).cast("string").alias(n) if n in ("detector", "unit", "label") else F.col(c).alias(n) for c, n in names.items()))
+    labelled = rows.filter("label IS NOT NULL")
+    pool = rows.orderBy(F.xxhash64(*names.values())).limit(MAX_UNITS).toPandas()
     pool = pool.iloc[np.lexsort((pool["block"], pool["unit"], pool["detector"]))].reset_index(drop=True)
-    known = pool["label"].notna()
-    classes = sorted(pool["label"][known].unique())
-    units = sorted(pool["unit"][known].unique())
+    classes = sorted(r[0] for r in labelled.select("label").distinct().collect())
+    units = sorted(r[0] for r in labelled.select("unit").distinct().collect())
     shared = spark.sparkContext.broadcast(pool)
 
-    def one(u: str):
-        d = shared.value
-        rows, clusters = [], {}
-        for name, part in d.groupby("detector", sort=True):
-            rest = part[part["unit"] != u]
-            if rest["label"].isna().all():
-                continue
-            _, frozen = cluster(_matrix(rest["vector"]), rest["label"].to_numpy(object), (rest["unit"] + "@" + rest["block"].astype(str)).to_numpy(), p)
-            lab = part[part["label"].notna()]
-            rows.append(lab.assign(cluster=frozen.assign(_matrix(lab["vector"]))))
-            clusters[name] = len(frozen.centres)
-        if not rows:
-            return None
-        keys, x, truth = _shares(pd.concat(rows, ignore_index=True), clusters, classes)
-        test = (keys["unit"] == u).to_numpy()
+    def fit(batches):
+        for b in batches:
+            for u in b["out"]:
+                found = {}
+                for name, part in shared.value.groupby("detector", sort=True):
+                    rest = part[part["unit"] != u]
+                    if rest["label"].notna().any():
+                        found[name] = cluster(_matrix(rest["vector"]), rest["label"].to_numpy(object), (rest["unit"] + "@" + rest["block"].astype(str)).to_numpy(), p)[1]
+                yield pd.DataFrame({"out": [u], "f": [pickle.dumps(found)]})
+
+    def counted(frozen):
+        def run(batches):
+            for b in batches:
+                for u, f in frozen.value.items():
+                    for name, clustering in pickle.loads(f).items():
+                        own = b[b["detector"] == name]
+                        if len(own):
+                            own = own.drop(columns="vector").assign(out=u, k=len(clustering.centres), cluster=clustering.assign(_matrix(own["vector"])))
+                            yield own.groupby(keys).size().rename("n").reset_index()[[*keys, "n"]]
+
+        return run
+
+    def one(d: pd.DataFrame) -> pd.DataFrame:
+        u = d["out"].iloc[0]
+        clusters = dict(sorted(zip(d["detector"], d["k"], strict=True)))
+        blocks, x, truth = _shares(d, clusters, classes)
+        test = (blocks["unit"] == u).to_numpy()
         seen = np.unique(truth[~test])
         if not test.any() or len(seen) < 2:
-            return None
+            return pd.DataFrame({"unit": [], "block": [], "truth": [], "predicted": [], "probs": []})
         forest = _forest(x[~test].astype(np.float32), truth[~test], len(classes), trees, node_size, p.seed)
         probs = models.score(forest, x[test])
         return pd.DataFrame({
-            "unit": u, "block": keys["block"][test].to_numpy(), "truth": [classes[k] for k in truth[test]],
+            "unit": u, "block": blocks["block"][test].to_numpy(), "truth": [classes[k] for k in truth[test]],
             "predicted": [classes[k] for k in probs.argmax(1)], "probs": probs.tolist(),
         })
 
-    def run(batches):
-        for b in batches:
-            for u in b["unit"]:
-                out = one(u)
-                if out is not None:
-                    yield out
-
     kind = df.schema[block].dataType.simpleString()
-    tasks = spark.createDataFrame([(u,) for u in units], "unit string").repartition(max(len(units), 1), "unit")
-    return tasks.mapInPandas(run, f"unit string, block {kind}, truth string, predicted string, probs array<double>")
+    keys = ["out", "detector", "k", "unit", "block", "label", "cluster"]
+    counts = spark.createDataFrame([], f"out string, detector string, k int, unit string, block {kind}, label string, cluster int, n long")
+    for at in range(0, len(units), UNITS_AT_ONCE):
+        some = units[at : at + UNITS_AT_ONCE]
+        tasks = spark.createDataFrame([(u,) for u in some], "out string").repartition(len(some), "out")
+        frozen = spark.sparkContext.broadcast({r["out"]: bytes(r["f"]) for r in tasks.mapInPandas(fit, "out string, f binary").collect()})
+        counts = counts.unionByName(labelled.select("detector", "unit", "block", "vector", "label").mapInPandas(counted(frozen), counts.schema))
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    return total.groupBy("out").applyInPandas(one, f"unit string, block {kind}, truth string, predicted string, probs array<double>")

@@ -30,8 +30,8 @@ def cluster_verdicts(spark, d):
 
 
 def unit_clusters(spark, d):
-    """Clusters of a sample of units that is drawn by a hash, as large as all pairs allow."""
-    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000)
+    """Clusters of all units, of a pool as large as all pairs allow first."""
+    e = M.read(spark, d, "embeddings")
     return clusters.cluster_units(e, "vec_id", "embedding", 0.7, 5)
 
 
@@ -127,8 +127,8 @@ def pruned_rows(spark, d):
 
 
 def outlying_units(spark, d):
-    """Clusters of a sample without the units whose nearest member in another block is too far."""
-    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000)
+    """Clusters without the units whose nearest member in another block is too far."""
+    e = M.read(spark, d, "embeddings")
     units = e.select("vec_id", "embedding", F.col("label").alias("cluster"), (F.col("vec_id") % 9).alias("block"))
     return density.outlying(units, "cluster", "block", "vec_id", "embedding").select("vec_id", "cluster")
 
@@ -143,22 +143,22 @@ def network_cross_validation(spark, d):
 
 
 def density_clusters(spark, d):
-    """Map and density clusters of a sample of units that is drawn by a hash, as large as all pairs allow."""
-    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000)
+    """Map and density clusters of all units, of a pool as large as all pairs allow first."""
+    e = M.read(spark, d, "embeddings")
     wide = e.select("vec_id", *(F.get("embedding", F.lit(k)).alias(f"f{k}") for k in range(16)))
     return density.map_and_cluster(wide, "vec_id", [f"f{k}" for k in range(16)], 0.95, 15, 5)
 
 
 def hybrid_clusters(spark, d):
-    """Clusters of a sample of units on features weighted by their labels, as large as all pairs allow."""
-    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000)
+    """Clusters of all units on features weighted by their labels, of a pool as large as all pairs allow first."""
+    e = M.read(spark, d, "embeddings")
     units = e.select("vec_id", "embedding", F.when(F.col("vec_id") % 3 > 0, F.col("label").cast("string")).alias("label"), (F.col("vec_id") % 9).alias("block"))
     return recluster.hybrid_clusters(units, "vec_id", "embedding", "label", "block", recluster.HybridParams(cut=0.8, least=5, trees=30))
 
 
 def leave_out_reclustered(spark, d):
     """Two detectors' units, clustered anew without each day, predicted by forests of the other days."""
-    e = M.read(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(1000)
+    e = M.read(spark, d, "embeddings")
     units = e.select(
         F.when(F.col("vec_id") % 2 == 0, "click").otherwise("whistle").alias("detector"), (F.col("vec_id") % 5).alias("unit"), F.col("label").alias("block"), "embedding",
         F.concat(F.lit("L"), F.col("label") % 3).alias("label"),
