@@ -44,10 +44,24 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 CLOSES_P = BLOCKS - {"br", "body", "html"}
 
+#: Elements that no attribute of their own makes noise, and words before a word of NOISE that make it a trait of the element.
+OWN = frozenset({"html", "body", "main", "article"})
+TRAIT = frozenset("has have with without no not non".split())
+
+
+def _named(name: str) -> bool:
+    """Whether a class, id or role names noise: not has-sidebar, with-nav, no-header."""
+    for part in re.split(r"[^a-z]+", name):
+        if part in TRAIT:
+            return False
+        if part in NOISE:
+            return True
+    return False
+
 
 def _noisy(attributes: str) -> bool:
     for _, a, b, c in ATTRIBUTE.findall(attributes):
-        if not NOISE.isdisjoint(re.split(r"[^a-z]+", (a or b or c).lower())):
+        if any(map(_named, (a or b or c).lower().split())):
             return True
     return "hidden" in attributes and bool(re.search(r"(^|\s)hidden(\s|=|$)|display\s*:\s*none", attributes))
 
@@ -116,7 +130,7 @@ class Page:
                     skipped = name in SKIPPED and not (name in ("header", "figure") and in_article)
                     self.names.append(name)
                     self.parents.append(parent)
-                    self.noise.append(self.noise[parent] or skipped or _noisy(m[3]))
+                    self.noise.append(self.noise[parent] or skipped or (name not in OWN and _noisy(m[3])))
                     stack.append(len(self.names) - 1)
         text(html[at:])
 

@@ -160,6 +160,19 @@ def test_html(spark):
         assert html_extract.main_text(page) == want
 
 
+def test_traits_of_a_page_are_no_noise():
+    """Classes of whole pages and articles, and those that say what an element has, take no text away."""
+    words = "plain words of the article that go on for a while and a bit longer still"
+    bar = "<div class='sidebar widget'>menu words here</div><div id='comments'>a comment of words</div>"
+    for outer, inner in (
+        ("body class='has-sidebar'", "article"), ("body class='header nav'", "div"), ("html class='no-banner with-nav'", "article"), ("body", "article class='post related'"),
+        ("body", "main id=social role='alert'"), ("body", "div class='content has-sidebar'"), ("body", "section class='page without-cookie-notice'"),
+    ):
+        end = inner.split()[0]
+        page = f"<{outer}><{inner}><p>{words}</p><p>{words}</p>{bar}</{end}>{bar}</{outer.split()[0]}>"
+        assert html_extract.main_text(page) == f"{words}\n{words}", page
+
+
 def test_best_region_is_optimal():
     r = random.Random(1)
     for _ in range(200):
