@@ -39,13 +39,18 @@ T = 128  # minhash coordinates
 MEAN = 1 / THRESHOLD  # tokens that a path selects
 #: Of a pair at the threshold, the chance to share a token and then a selected one.
 _SHARE = THRESHOLD * (1 - math.exp(-MEAN * THRESHOLD))
-TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - _SHARE))
 LIMIT = 256  # sets of a bucket that one task compares
-SPLITS = 3  # further tokens on which a large bucket is split
+SPLITS = 5  # further tokens on which a large bucket is split
+ROUNDS = 4  # splits of a bucket, one after the other
+#: Matches of 4-bit minhashes: 4.3 deviations below what the threshold gives, and the chance of a pair at the threshold to have fewer.
+_MATCH = THRESHOLD + (1 - THRESHOLD) / 16
+LEAST = int(T * _MATCH - 4.3 * math.sqrt(T * _MATCH * (1 - _MATCH)))
+_UNLIKE = sum(math.comb(T, k) * _MATCH**k * (1 - _MATCH) ** (T - k) for k in range(LEAST))
+#: Of such a pair, the chance that a tree finds it after all splits; TREES give the recall where every split happens.
+_FOUND = _SHARE * (1 - math.exp(-SPLITS * _MATCH)) ** ROUNDS
+TREES = math.ceil(math.log(1 - RECALL - _UNLIKE) / math.log(1 - _FOUND))
 BLOCK = 256  # sets of a block; a task verifies two blocks
 SKETCH_BLOCK = 1024  # sketches of a block; a task compares two blocks
-#: Matches of 4-bit minhashes: 3.6 deviations below what the threshold gives.
-LEAST = int(T * (THRESHOLD + (1 - THRESHOLD) / 16) - 3.6 * math.sqrt(T * 0.8125 * 0.1875))
 
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 1 << 32, T, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -221,7 +226,7 @@ def similar_edges(reps: DataFrame) -> DataFrame:
     rows = durable(rows, "buckets")
     edges = _edges(rows.filter(F.col("n") <= LIMIT), "n")
     large = rows.filter(F.col("n") > LIMIT)
-    for _ in range(4):
+    for _ in range(ROUNDS):
         if large.isEmpty():
             return edges
         longer = durable(large.mapInArrow(_split, "path long, was long, node binary, sketch binary").distinct(), "split")

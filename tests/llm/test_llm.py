@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -145,6 +146,14 @@ def test_jaccard_splits_and_blocks(spark, monkeypatch):
     assert {got[i][1] for i in range(120)} == {0}
 
 
+def test_recall_with_every_split():
+    """A pair at similarity 0.8 in a bucket that is split four times, compared by sketches of 128 minhashes."""
+    token, match = 0.8 * (1 - math.exp(-1.25 * 0.8)), 0.8 + 0.2 / 16
+    found = token * (1 - math.exp(-jaccard.SPLITS * match)) ** 4
+    unlike = sum(math.comb(128, k) * match**k * (1 - match) ** (128 - k) for k in range(jaccard.LEAST))
+    assert (1 - (1 - found) ** jaccard.TREES) * (1 - unlike) >= 0.9999
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [(1, None), (2, ""), (3, "<p></p>"), (4, html_extract.LABELLED[0]), (4, html_extract.LABELLED[0]), (5, "<article><p>a &amp; b\n c<p>d<br>e<aside>no</aside><div class='comments'>no</div></article>"), (6, "<div" * 3000), (7, "plain words only")],
