@@ -59,14 +59,14 @@ def term_frequencies(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return out
 
 
-def anchored(windows: DataFrame, cf: DataFrame) -> DataFrame:
-    """Each window with the offsets of its rarest and second rarest term; windows with an absent term go."""
+def anchored(windows: DataFrame, cf: DataFrame, whole: bool = True) -> DataFrame:
+    """Each window with the offsets of its rarest and second rarest term that occur; windows with an absent term go, if asked whole."""
     terms = windows.select("wtext", "ws", "items", F.posexplode("ws").alias("off", "term"))
     both = terms.join(cf, "term").groupBy("wtext").agg(
         F.first("ws").alias("ws"), F.first("items").alias("items"), F.sort_array(F.collect_list(F.struct("cf", "off", "term"))).alias("by")
     )
     a, b = F.col("by")[0], F.get(F.col("by"), 1)
-    return both.filter(F.size("by") == F.size("ws")).select(
+    return (both.filter(F.size("by") == F.size("ws")) if whole else both).select(
         "wtext", "items", F.size("ws").alias("len"), a["term"].alias("term"), a["off"].alias("off"),
         F.coalesce(b["term"], a["term"]).alias("term2"), F.coalesce(b["off"], a["off"]).alias("off2"),
     )
@@ -97,11 +97,11 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, wtext, items, start, stretch): windows whose two rarest terms occur in a document
+    """(id, wtext, items, start, stretch): windows whose two rarest terms, of those that the corpus has, occur in a document
     with an offset that differs by at most slop from theirs in the window."""
     tokens = docs.select(id_col, words(F.col(text_col)).alias("ws"))
     windows = test_windows(items, item_id, item_text)
-    anchors = durable(anchored(windows, term_frequencies(tokens, windows.select(F.explode("ws").alias("term")).distinct())), "anchors").filter("off <> off2")
+    anchors = durable(anchored(windows, term_frequencies(tokens, windows.select(F.explode("ws").alias("term")).distinct()), whole=False), "anchors").filter("off <> off2")
     postings = tokens.select(id_col, "ws", F.posexplode_outer("ws").alias("pos", "term"))
     out = None
     for block in _blocks(anchors, "wtext", anchors.count()):

@@ -99,6 +99,13 @@ def test_decontamination(docs, empty, spark):
     assert {i for r in near.collect() for i in r["items"]} >= {"1", "5"}
 
 
+def test_near_passage_with_an_absent_word(docs, spark):
+    """A word of the test item that no document has does not hide the rest of its windows."""
+    ws = ITEM.split()
+    items = spark.createDataFrame([(7, " ".join([*ws[:4], "zzabsentzz", *ws[5:10]]))], "item_id long, text string")
+    assert [tuple(r["items"]) for r in decontaminate.proximity(docs.filter("doc_id = 8"), items, 2).collect()][:1] == [("7",)]
+
+
 def test_decontamination_in_blocks(docs, spark, monkeypatch):
     items = spark.createDataFrame([(1, ITEM), (2, "word")], "item_id long, text string")
     key = lambda: ordered((r.asDict() for r in decontaminate.report(decontaminate.occurrences(docs, items)).collect()), ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "copies"])
