@@ -5,8 +5,11 @@ whole text of one row, so the plan is a scan and a projection; nothing is
 shuffled, and a hot source or group of copies costs no more than other rows.
 
 Defined results: a null text has no words and fails; an empty text likewise;
-repeated rows each get their own equal result; other columns pass through
-``rate`` untouched unless a measure has the same name, which replaces them.
+an empty table gives no row; repeated rows each get their own equal result; a
+ratio equal to a bound lies within it; a text or word of any length is one row,
+read in time linear in its length but for the sort of its word windows; other
+columns pass through ``rate`` untouched unless a measure has the same name,
+which replaces them.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def measures(text: Column) -> Column:
             _repeat_words(words).cast("long").alias("n_repeat_words"),
             share(F.size(F.filter(words, lambda w: w.isin(stops)))).alias("stop_word_share"),
             share(F.size(F.filter(words, lambda w: w.rlike("[#*$%&|<>]|!!")))).alias("marked_words"),
-            share(F.size(F.filter(words, lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$")))).alias("upper_words"),
+            share(F.size(F.filter(words, lambda w: ~w.rlike(r"\p{Ll}") & w.rlike(r"\p{Lu}\P{Lu}*+\p{Lu}")))).alias("upper_words"),
         )
 
     return let(_words(text), lambda w: let(lines, lambda x: of(w, x)))

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -203,6 +204,18 @@ def test_quality_rules(docs, empty):
     assert quality_rules.rate(empty).count() == 0
 
 
+def test_quality_rules_of_long_texts(spark):
+    """One word of 200,000 capitals, a text of 300,000 words, and one of 100,000 equal lines, each within seconds."""
+    texts = ["A" * 200_000 + "b", "A" * 200_000, "b" + "A" * 200_000, "aB" * 100_000, prose(300_000, 6), "the same line\n" * 100_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).cache()
+    d.count()
+    began = time.time()
+    got = {r.doc_id: r for r in quality_rules.rate(d).collect()}
+    assert time.time() - began < 60
+    assert [got[k].upper_words for k in range(4)] == [0.0, 1.0, 0.0, 0.0]
+    assert got[4].n_words == 300_000 and (got[5].n_dup_lines, got[5].n_repeat_words) == (99_999, 300_000)
+
+
 def test_secrets(docs, empty):
     few = docs.select("doc_id", "text", "source")
     names, want = sql("op8_secret_scans", documents=few)
