@@ -2,20 +2,23 @@
 
 Texts are split into words; each distinct word of the corpus is encoded once
 by the tokenizer (the distinct-word table, written to the shared folder). The
-most frequent words, HOT at most, are broadcast and met while the texts are
-read; every other occurrence travels as (document, position, word), is joined
-with the distinct-word table and joins its document's ids at its position. So
-the broadcast has a fixed bound and rare words have an exact way at any size.
-Decoding joins ids with the pieces of the vocabulary, whose size is fixed.
+most frequent words, HOT at most and none of over HOT_BYTES, are broadcast and
+met while the texts are read; every other occurrence travels as (document,
+position, word), is joined with the distinct-word table and joins its
+document's ids at its position. So the broadcast has a fixed bound and all
+other words have an exact way at any size; occurrences of one that is frequent
+all the same (a long one) are dealt over several tasks. Decoding joins ids with
+the pieces of the vocabulary, whose size is fixed.
 
 A text of ASCII and Latin-1 letters only is split as the tokenizer splits it
 (lower case, contractions, letters, digits, marks); any other text at blanks,
 and the tokenizer works on what lies between. Either way no merge crosses a
 word's end.
 
-Defined results: null is empty; an empty text has no ids; repeated rows get
-equal results; a very long text is one row throughout; columns besides id and
-text are not read.
+Defined results: null is empty; an empty text has no ids; an empty table gives
+no row; repeated rows get equal results; a very long text is one row
+throughout; equally frequent words are hot by their hashes, which no result
+shows; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,15 +32,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, with_key
+from .common import dealt_join, durable, heavy_keys, table, with_key
 
-#: Most words that are broadcast.
+#: Most words that are broadcast, and the most bytes of one.
 HOT = 1 << 18
-#: Words that a task counts before it passes the counts on.
+HOT_BYTES = 64
+#: Hashes by which equally frequent words are told apart.
+TIES = 1 << 20
+#: Words that a task counts before it passes the counts on, and characters that it reads.
 FLUSH = 300_000
+FLUSH_CHARS = 1 << 26
 
 LETTERS = [c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)] + [c for c in range(128) if chr(c).isalpha()]
 PROSE = bytes([*b" \t\n\r.,", *LETTERS])
@@ -82,6 +89,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        size = 0
 
         def rows():
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
@@ -90,8 +98,11 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for b in batches:
             for text in b.column(0):
-                seen.update(split(text.as_py()))
-                if len(seen) > FLUSH:
+                t = text.as_py() or ""
+                seen.update(split(t))
+                size += len(t)
+                if len(seen) > FLUSH or size > FLUSH_CHARS:
+                    size = 0
                     yield rows()
         yield rows()
 
@@ -114,19 +125,40 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return words.select("word", "n").mapInArrow(encode, "word string, n long, ids binary")
 
 
-def hot_words(words: DataFrame, most: int = HOT) -> tuple[DataFrame, int]:
-    """The words at least as frequent as the count returned, most of them at the most."""
-    cap = 2000
-    histogram = {r["c"]: r["k"] for r in words.groupBy(F.least("n", F.lit(cap)).alias("c")).agg(F.count("*").alias("k")).collect()}
-    least, total = cap + 1, 0
-    for c in range(cap, 0, -1):
-        total += histogram.get(c, 0)
-        if total > most:
-            break
-        least = c
-    if least > cap:  # even words this frequent are too many: take none of them
-        least = 1 << 62
-    return words.filter(F.col("n") >= least), least
+def _boundary(rows: DataFrame, value: str, most: int) -> tuple[int, int]:
+    """(least, above): the rows whose value is least or more are ``most`` or fewer, ``above`` of them, and with those of least - 1 they are more.
+
+    Values are whole numbers from 0. The range is cut into at most 4096 parts until one value is left, so little comes to the driver.
+    """
+    low, high, above = 0, int(rows.agg(F.max(value)).head()[0] or 0) + 1, 0
+    while high > low:
+        step = -(-(high - low) // 4096)
+        inside = rows.filter((F.col(value) >= low) & (F.col(value) < high))
+        parts = {r["p"]: r["k"] for r in inside.groupBy(F.expr(f"int(({value} - {low}) div {step})").alias("p")).agg(F.count("*").alias("k")).collect()}
+        for p in sorted(parts, reverse=True):
+            if above + parts[p] > most:
+                if step == 1:
+                    return low + p + 1, above
+                low, high = low + p * step, min(high, low + (p + 1) * step)
+                break
+            above += parts[p]
+        else:
+            return low, above
+    return low, above
+
+
+def hot_words(words: DataFrame, most: int = HOT) -> Column:
+    """Whether a word is among the most frequent ones of at most HOT_BYTES, ``most`` of them.
+
+    Of words with the count at which the number is reached, those of some hashes
+    are taken, so the number comes near ``most`` also where a great many words
+    have one count.
+    """
+    short = words.filter(F.octet_length("word") <= HOT_BYTES).select("n", F.pmod(F.xxhash64("word"), F.lit(TIES)).alias("slot"))
+    least, above = _boundary(short, "n", most)
+    first, _ = _boundary(short.filter(F.col("n") == least - 1), "slot", most - above)
+    tie = (F.col("n") == least - 1) & (F.pmod(F.xxhash64("word"), F.lit(TIES)) >= first)
+    return (F.octet_length("word") <= HOT_BYTES) & ((F.col("n") >= least) | tie)
 
 
 def _lookup(words: DataFrame):
@@ -247,11 +279,12 @@ def _whole(shared, id_col: str):
 def _met(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, hot: int):
     """The packed texts and the ids of their rare words, sorted for _whole, and the broadcast words."""
     words = durable(encode_words(count_words(docs, text_col), vocabulary), "words")
-    frequent, least = hot_words(words, hot)
-    shared = docs.sparkSession.sparkContext.broadcast(_lookup(frequent))
+    is_hot = hot_words(words, hot)
+    shared = docs.sparkSession.sparkContext.broadcast(_lookup(words.filter(is_hot)))
     keyed = with_key(docs.select(id_col, text_col), id_col, text_col)
-    others = words.filter(F.col("n") < least).select("word", F.col("ids").alias("data"))
-    rare = _rare(keyed, shared, id_col, text_col).join(others, "word").select(id_col, "__el_k", "pos", "data")
+    others = words.filter(~is_hot).select("word", "n", F.col("ids").alias("data"))
+    heavy = heavy_keys(others, "word")
+    rare = dealt_join(_rare(keyed, shared, id_col, text_col), others.drop("n"), "word", heavy, ["__el_k", "pos"]).select(id_col, "__el_k", "pos", "data")
     rows = _known(keyed, shared, id_col, text_col).unionByName(rare)
     return rows.repartition(id_col, "__el_k").sortWithinPartitions(id_col, "__el_k", "pos"), shared
 

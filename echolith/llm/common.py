@@ -60,3 +60,40 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Add __el_k: rows with the same id and text share it, and so share every result."""
     return docs.withColumn("__el_k", F.xxhash64(F.col(id_col), F.col(text_col)))
+
+
+#: A key of more rows than this, and of more than 1 / KEYS of all rows, is dealt over several tasks.
+ROWS = 2000
+#: Most keys that are dealt so; their hashes are broadcast.
+KEYS = 1 << 16
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame | None:
+    """(__el_h, __el_s): the hashes of the keys that are too frequent for a task, and into how many parts each goes.
+
+    counts has one row for each key with its number of rows. At most KEYS keys can
+    have more than 1 / KEYS of all rows, so the result has that proven bound.
+    """
+    total, most = counts.agg(F.sum(n), F.max(n)).head()
+    least = max(ROWS, (total or 0) // KEYS)
+    if (most or 0) <= least:
+        return None
+    parts = F.least(F.ceil(F.col(n) / least), F.lit(1 << 20)).cast("int")
+    rows = counts.filter(F.col(n) > least).groupBy(F.xxhash64(key).alias("__el_h")).agg(F.max(parts).alias("__el_s")).collect()
+    return counts.sparkSession.createDataFrame(rows, "__el_h long, __el_s int")
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, key), where left's rows of a heavy key are dealt into parts by a hash of the columns ``by``.
+
+    right's rows of a heavy key are repeated for each part. Keys with the hash of
+    a heavy one are dealt alike on both sides, so no match is lost.
+    """
+    if heavy is None:
+        return left.join(right, key, how)
+    at = lambda df: df.withColumn("__el_h", F.xxhash64(key)).join(F.broadcast(heavy), "__el_h", "left").drop("__el_h")
+    part = F.coalesce(F.pmod(F.xxhash64(*by, F.lit(7)), F.col("__el_s").cast("long")), F.lit(0))
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("__el_s", F.lit(1)) - 1))
+    rows = at(left).withColumn("__el_part", part.cast("int")).drop("__el_s")
+    copies = at(right).withColumn("__el_part", parts).drop("__el_s")
+    return rows.join(copies, [key, "__el_part"], how).drop("__el_part")

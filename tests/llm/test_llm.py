@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echolith.llm import bpe, decontaminate, html_extract, jaccard, language, license_scan, quality_model, quality_rules, secret_scan, toxicity
+from echolith.llm import bpe, common, decontaminate, html_extract, jaccard, language, license_scan, quality_model, quality_rules, secret_scan, toxicity
 from echolith.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _k string, words int, node string, spans string"
@@ -85,6 +85,30 @@ def test_bpe(docs, empty, vocabulary):
     assert bpe.decode(bpe.encode(empty, vocabulary), vocabulary).count() == 0
 
 
+def test_hot_words_of_any_number(spark, monkeypatch):
+    """The most frequent words are taken also where more than that many share one high count; long ones never."""
+    rows = [(f"w{k}", 2500) for k in range(3000)] + [(f"v{k}", 9_000_000 + k) for k in range(50)] + [("x" * 65, 10**9)]
+    words = spark.createDataFrame(rows, "word string, n long").cache()
+    for most in (0, 10, 50, 700, 3049, 3050, 5000):
+        got = {r.word for r in words.filter(bpe.hot_words(words, most)).collect()}
+        assert max(0, min(most, 3050) - 2) <= len(got) <= most
+        assert got >= {f"v{k}" for k in range(max(0, 50 - most), 50)}
+    assert not words.limit(0).filter(bpe.hot_words(words.limit(0), 5)).collect()
+
+
+def test_bpe_with_frequent_long_words(spark, vocabulary, monkeypatch):
+    """Occurrences of words that are frequent but not broadcast are dealt over tasks and keep their places."""
+    monkeypatch.setattr(common, "ROWS", 20)
+    long = ["日本語の長い段落" * 20, "-" * 90]
+    r = random.Random(11)
+    texts = [" ".join(r.choice([*long, *VOCABULARY[:3]]) for _ in range(30)) for _ in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    t = vocabulary.tokenizer()
+    for hot in (2, bpe.HOT):
+        got = {x.doc_id: x.ids_text for x in bpe.encode_decode(d, vocabulary, hot=hot).collect()}
+        assert got == {k: " ".join(map(str, t.encode(x, add_special_tokens=False).ids)) for k, x in enumerate(texts)}
+
+
 def test_decontamination(docs, empty, spark):
     items = spark.createDataFrame([(1, ITEM), (2, "Word"), (3, None), (4, "..."), (5, ITEM), (6, " ".join(BASE.split()[5:9]))], "item_id long, text string")
     few = docs.select("doc_id", "text")
