@@ -7,7 +7,8 @@ gives pairs of the wanted similarity the target recall. Sets that meet on a
 path are compared by sketches when the bucket is small; a larger bucket is
 split on further tokens, and where sampled tokens no longer split it (near
 copies) it is compared block by block in many tasks. A bucket yields a
-spanning forest of its similar sets, never its pairs. Within the connected
+spanning forest of its similar sets, never its pairs; rows of a path, of a
+class or of a text that very many share are dealt over several tasks. Within the connected
 sets of all buckets every pair is then verified exactly on the full shingle
 sets, block by block, and counted; no bucket, partner or candidate is capped.
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import dealt_join, durable, heavy_keys, table
 from .fitting import Memo
 
 WORDS = 5
@@ -40,14 +41,15 @@ MEAN = 1 / THRESHOLD  # tokens that a path selects
 #: Of a pair at the threshold, the chance to share a token and then a selected one.
 _SHARE = THRESHOLD * (1 - math.exp(-MEAN * THRESHOLD))
 LIMIT = 256  # sets of a bucket that one task compares
-SPLITS = 5  # further tokens on which a large bucket is split
+SPLITS = 5  # further tokens on which every large bucket is split
 ROUNDS = 4  # splits of a bucket, one after the other
 #: Matches of 4-bit minhashes: 4.3 deviations below what the threshold gives, and the chance of a pair at the threshold to have fewer.
 _MATCH = THRESHOLD + (1 - THRESHOLD) / 16
 LEAST = int(T * _MATCH - 4.3 * math.sqrt(T * _MATCH * (1 - _MATCH)))
 _UNLIKE = sum(math.comb(T, k) * _MATCH**k * (1 - _MATCH) ** (T - k) for k in range(LEAST))
-#: Of such a pair, the chance that a tree finds it after all splits; TREES give the recall where every split happens.
-_FOUND = _SHARE * (1 - math.exp(-SPLITS * _MATCH)) ** ROUNDS
+#: Of such a pair, the chance that a tree finds it after all splits, each of which it survives if it agrees on one of the tokens; the runs
+#: are repeated, TREES of them, until the recall is reached where every split happens.
+_FOUND = _SHARE * (1 - (1 - _MATCH) ** SPLITS) ** ROUNDS
 TREES = math.ceil(math.log(1 - RECALL - _UNLIKE) / math.log(1 - _FOUND))
 BLOCK = 256  # sets of a block; a task verifies two blocks
 SKETCH_BLOCK = 1024  # sketches of a block; a task compares two blocks
@@ -188,19 +190,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of large buckets on their paths longer by a token. Columns: path, n, node, sketch."""
-    most = np.uint64(int(SPLITS / T * (1 << 64)))
+    """Rows of large buckets on their paths longer by a token: each path selects SPLITS of the tokens, so none loses its rows. Columns: path, n, node, sketch."""
     for b in batches:
-        path = b.column(0).to_numpy().view(np.uint64)
+        path, at = np.unique(b.column(0).to_numpy().view(np.uint64), return_inverse=True)
         s = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, T // 2)
-        rows, out = [], []
-        for j in range(T):
-            r = np.flatnonzero(_mix(path ^ _SEED[j]) < most)
-            value = (s[r, j // 2] >> (0 if j % 2 else 4)) & 15
-            rows.append(r)
-            out.append(_mix(path[r] * np.uint64(0x9E3779B97F4A7C15) + _SEED[j] + value))
-        row = pa.array(np.concatenate(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), b.column(1).take(row), b.column(2).take(row), b.column(3).take(row)], ["path", "was", "node", "sketch"])
+        tokens = np.argsort(_mix(path[:, None] ^ _SEED[None, :]), axis=1, kind="stable")[:, :SPLITS] if len(path) else np.zeros((0, SPLITS), np.int64)
+        j = tokens[at]
+        value = (np.take_along_axis(s, j // 2, 1) >> np.where(j % 2, 0, 4).astype(np.uint8)) & 15
+        out = _mix(path[at][:, None] * np.uint64(0x9E3779B97F4A7C15) + _SEED[j] + value)
+        row = pa.array(np.repeat(np.arange(len(at)), SPLITS))
+        yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), b.column(1).take(row), b.column(2).take(row), b.column(3).take(row)], ["path", "was", "node", "sketch"])
 
 
 def _in_blocks(rows: DataFrame, size: Column, most: int) -> DataFrame:
@@ -218,11 +217,16 @@ def _edges(rows: DataFrame, size: str) -> DataFrame:
     return ready.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(_compare, "u binary, v binary")
 
 
+def _sized(rows: DataFrame, name: str) -> DataFrame:
+    """rows of the paths that several nodes share, with their number n; a path of very many is met in several tasks."""
+    several = durable(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), name)
+    return dealt_join(rows, several, "path", heavy_keys(several, "path"), ["node"])
+
+
 def similar_edges(reps: DataFrame) -> DataFrame:
     """(u, v): a spanning forest of the sets that meet on a chosen path and have similar sketches."""
     met = reps.select(F.explode("paths").alias("path"), "node").distinct()
-    several = met.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = met.join(several, "path").join(reps.select("node", "sketch"), "node").select("path", "n", "node", "sketch")
+    rows = _sized(met, "paths").join(reps.select("node", "sketch"), "node").select("path", "n", "node", "sketch")
     rows = durable(rows, "buckets")
     edges = _edges(rows.filter(F.col("n") <= LIMIT), "n")
     large = rows.filter(F.col("n") > LIMIT)
@@ -230,8 +234,7 @@ def similar_edges(reps: DataFrame) -> DataFrame:
         if large.isEmpty():
             return edges
         longer = durable(large.mapInArrow(_split, "path long, was long, node binary, sketch binary").distinct(), "split")
-        several = longer.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = longer.join(several, "path")
+        rows = _sized(longer, "paths")
         hard = (F.col("n") > LIMIT) & (F.col("n") > 0.5 * F.col("was"))
         edges = edges.unionByName(_edges(rows.filter((F.col("n") <= LIMIT) | hard), "n"))
         large = durable(rows.filter((F.col("n") > LIMIT) & ~hard).select("path", "n", "node", "sketch"), "large")
@@ -247,8 +250,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = dealt_join(both.filter("v > u"), low.drop("n"), "u", heavy_keys(low, "u"), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = durable(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -327,7 +330,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     once = seen.filter("sketch IS NOT NULL").join(texts.select(F.col("rep.id").alias("__el_i"), F.col("node").alias("_n")), F.col("id").eqNullSafe(F.col("__el_i")) & (F.col("node") == F.col("_n")))
     reps = durable(once.dropDuplicates(["id", "node"]).select("node", "sketch", "paths"), "reps")
     found = durable(components(similar_edges(reps)), "candidates")
-    sized = found.join(found.groupBy("root").agg(F.count("*").alias("size")), "root").join(texts.select("node", F.col("rep.id").alias("rep_id")), "node")
+    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
+    sized = dealt_join(found, sizes, "root", heavy_keys(sizes, "root", "size"), ["node"]).join(texts.select("node", F.col("rep.id").alias("rep_id")), "node")
     wanted = sized.select("root", "size", F.col("node").alias("_n"), "rep_id")
     texts_in = base.join(wanted, base["id"].eqNullSafe(wanted["rep_id"]) & (base["node"] == wanted["_n"])).dropDuplicates(["id", "node"])
     sets = texts_in.select("root", "size", "node", text_col).mapInArrow(_sets, "root binary, size long, node binary, set binary")
@@ -335,9 +339,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = durable(blocks.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_verify, "node binary, links long, v binary"), "links")
     joined = components(links.select(F.col("node").alias("u"), "v"))
     count = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    every = texts.join(joined, "node", "left").join(count, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keep = every.groupBy("root").agg(F.min("rep").alias("keep"))
-    out = every.join(keep, "root").select("node", F.col("keep.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", "keep")
+    every = durable(texts.join(joined, "node", "left").join(count, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
+    keep = every.groupBy("root").agg(F.min("rep").alias("keep"), F.count("*").alias("n"))
+    both = dealt_join(every, keep.drop("n"), "root", heavy_keys(keep, "root"), ["node"])
+    out = both.select("node", F.col("keep.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", "keep")
     return seen.select("id", "node"), out
 
 
@@ -351,4 +356,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, texts = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.join(texts, "node").select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+    return dealt_join(rows, texts, "node", heavy_keys(texts, "node", "n_copies"), ["id"]).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")

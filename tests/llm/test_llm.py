@@ -8,8 +8,11 @@ import os
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,11 +184,94 @@ def test_jaccard_splits_and_blocks(spark, monkeypatch):
 def test_recall_with_every_split():
     """A pair at similarity 0.8 in a bucket that is split four times, compared by sketches of 128 minhashes."""
     token, match = 0.8 * (1 - math.exp(-1.25 * 0.8)), 0.8 + 0.2 / 16
-    found = token * (1 - math.exp(-jaccard.SPLITS * match)) ** 4
+    found = token * (1 - (1 - match) ** jaccard.SPLITS) ** 4
     unlike = sum(math.comb(128, k) * match**k * (1 - match) ** (128 - k) for k in range(jaccard.LEAST))
     assert (1 - (1 - found) ** jaccard.TREES) * (1 - unlike) >= 0.9999
 
 
+def test_a_split_loses_no_path():
+    """Every row of a large bucket goes on to SPLITS longer paths, rows that agree on the tokens to the same ones."""
+    n = 4000
+    path = pa.array(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, n))
+    sketch = pa.array([bytes(64)] * n, pa.binary())
+    node = pa.array([b"%d" % k for k in range(n)], pa.binary())
+    one = pa.RecordBatch.from_arrays([path, pa.array([300] * n), node, sketch], ["path", "n", "node", "sketch"])
+    two = pa.RecordBatch.from_arrays([path.take(pa.array(range(n)[::-1])), pa.array([300] * n), node, sketch], ["path", "n", "node", "sketch"])
+    first, second = jaccard._split(iter([one, two]))
+    assert first.num_rows == n * jaccard.SPLITS and len(set(first.column(0).to_pylist())) == n * jaccard.SPLITS
+    assert sorted(first.column(0).to_pylist()) == sorted(second.column(0).to_pylist())
+
+
+def _links(texts: list[str], asked: list[int]) -> dict[int, int]:
+    """For each asked text the number of other texts of similarity 0.8 or more, by way of all shingles."""
+    sets = [np.unique(jaccard.shingles(t)) for t in texts]
+    where: dict[int, list[int]] = {}
+    for k, s in enumerate(sets):
+        for x in s.tolist():
+            where.setdefault(x, []).append(k)
+    out = {}
+    for i in asked:
+        both = Counter(k for x in sets[i].tolist() for k in where[x])
+        out[i] = sum(1 for k, n in both.items() if k != i and texts[k] != texts[i] and n >= 0.8 * (len(sets[i]) + len(sets[k]) - n))
+    return out
+
+
+def test_recall_in_split_buckets(spark):
+    """3,000 texts that share a passage of 150 words, so that buckets are over LIMIT: 1,500 planted pairs near the threshold, all found."""
+    r = random.Random(17)
+    shared = prose(150, 900)
+    texts = []
+    for k in range(1500):
+        own = prose(75, 1000 + k).split()
+        other = list(own)
+        for _ in range(4):
+            other[r.randrange(75)] = f"new{r.randrange(10**6)}"
+        texts += [shared + " " + " ".join(own), shared + " " + " ".join(other)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows, out = jaccard.classes(d)
+    got = {x.id: x.n_links for x in rows.join(out, "node").collect()}
+    want = _links(texts, range(0, 3000, 20))
+    assert sum(want.values()) > 100 and sum(got[k] for k in want) >= 0.9999 * sum(want.values()) - 1
+    assert sum(got.values()) >= 0.999 * 2 * sum(1 for k in range(0, 3000, 2) if _near(texts[k], texts[k + 1]))
+
+
+def _near(a: str, b: str) -> bool:
+    x, y = set(jaccard.shingles(a).tolist()), set(jaccard.shingles(b).tolist())
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_links_of_a_whole_table(spark):
+    """Ids divisible by 20 against all rows: every link of an exact join."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    texts = {}
+    for r in rows:
+        texts.setdefault((r.text or ""), r.doc_id)
+    plain = list(texts)
+    asked = [k for k, t in enumerate(plain) if texts[t] % 20 == 0]
+    got = {r.doc_id: r.n_links for r in QUERIES["op4_jaccard_join"](spark, "/root/testdata/sf0.1").collect()}
+    assert {texts[plain[k]]: n for k, n in _links(plain, asked).items()} == {texts[plain[k]]: got[texts[plain[k]]] for k in asked}
+
+
+def test_jaccard_of_hot_groups(spark, monkeypatch):
+    """Groups over ROWS are dealt over tasks: copies of one text, near copies, and a passage that all share."""
+    monkeypatch.setattr(common, "ROWS", 8)
+    words = prose(100, 50).split()
+    near = [" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(60)]
+    texts = [near[0]] * 50 + near + [prose(60, 60) + " " + prose(40, 100 + k) for k in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "LIMIT", 16)
+    rows, out = jaccard.classes(d)
+    got = {x.id: (x.n_links, x.class_id, x.n_copies) for x in rows.join(out, "node").collect()}
+    want = _links(texts, range(len(texts)))
+    plain = {t: want[k] for k, t in enumerate(texts)}
+    for k, t in enumerate(texts):
+        links = sum(1 for u in set(texts) if u != t and _near(t, u))
+        assert got[k][0] == links and plain[t] >= links
+    assert {got[k][1] for k in range(110)} == {0} and got[0][2] == 51
+    assert jaccard.one_of_each(d).filter("doc_id < 110").count() == 1
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [(1, None), (2, ""), (3, "<p></p>"), (4, html_extract.LABELLED[0]), (4, html_extract.LABELLED[0]), (5, "<article><p>a &amp; b\n c<p>d<br>e<aside>no</aside><div class='comments'>no</div></article>"), (6, "<div" * 3000), (7, "plain words only")],
