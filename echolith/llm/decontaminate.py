@@ -1,18 +1,22 @@
 """Benchmark decontamination over a positional inverted index.
 
-The postings of a document stay in the partition that holds the document
-(a document-partitioned index); of these, only postings of the rarest term of
-each test window leave the scan. Each is shifted by the term's offset in the
-window, met with the postings of the second rarest term, then held against
-the exact wording, all in the task that reads the document, so nothing but
-true occurrences is shuffled. Term frequencies are counted over the whole
-corpus. The test windows are the query set: they are counted first and sent
-to the executors in blocks of at most BLOCK rows.
+Term frequencies of the test windows' words are counted over the corpus. Then
+one scan writes the index: the postings (term, document, position) of each
+window's rarest and second rarest term, as a table in the shared folder, those
+of the rarest with the words around them. The lists of the two terms are
+shifted by their offsets and intersected in a shuffle join on (terms,
+document, position); what is left is held against the exact wording. A
+``proximity`` match lets the two offsets differ. Only hashes of the terms are
+broadcast, BLOCK of them a scan; windows, items and postings meet by shuffles,
+and postings of a frequent term or passages that very many documents share are
+dealt over several tasks.
 
 Defined results: null and empty texts have no words and no hit; an item
-without words has no window; equal windows of several items count for each;
+without words has no window; an empty table of either side gives no hit; equal
+windows of several items count for each, windows with equally rare words give
+the same hits whichever is looked up; a very long text is one row of words;
 rows with the same id and text each get the same result; columns besides id
-and text are not read.
+and text are not read, and ``clean`` passes them on.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, with_key
+from .common import dealt_join, durable, heavy_keys, table, with_key
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Most rows that one broadcast of windows or terms may have.
-BLOCK = 100_000
+#: Most hashes of terms that are broadcast; each further block of them is a scan.
+BLOCK = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,92 +41,122 @@ def words(text: Column) -> Column:
 
 
 def test_windows(items: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
-    """(wtext, ws, items): the distinct windows, their words and the items that have them."""
+    """(wtext, ws, item): the windows of each item and their words."""
     ws = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).filter(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - size + 1, F.lit(1)))
     cut = ws.select("item", F.explode(F.transform(starts, lambda i: F.slice("ws", i, size))).alias("ws"))
-    return cut.groupBy("ws").agg(F.collect_set("item").alias("items")).withColumn("wtext", F.array_join("ws", " "))
+    return cut.select(F.array_join("ws", " ").alias("wtext"), "ws", "item").dropDuplicates(["wtext", "item"])
 
 
-def _blocks(df: DataFrame, by: str, n: int) -> list[DataFrame]:
-    """df in blocks of about BLOCK rows at most, each small enough to broadcast."""
+def _blocks(terms: DataFrame, n: int) -> list[DataFrame]:
+    """terms (with their hash h) in blocks of about BLOCK rows at most."""
     k = -(-n // BLOCK)
-    return [df] if k <= 1 else [df.filter(F.pmod(F.xxhash64(by), F.lit(2 * k)) == i) for i in range(2 * k)]
+    return [terms] if k <= 1 else [terms.filter(F.pmod("h", F.lit(2 * k)) == i) for i in range(2 * k)]
 
 
 def term_frequencies(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, cf): how often each test term occurs in the corpus; tokens has column ws."""
-    out = None
-    for block in _blocks(terms, "term", terms.count()):
-        rows = tokens.select(F.explode_outer("ws").alias("term")).join(F.broadcast(block), "term").groupBy("term").agg(F.count("*").alias("cf"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(term, cf): how often each test term occurs in the corpus, in one scan; tokens has column ws."""
+    rows = tokens.select(F.explode("ws").alias("term"))
+    hashed = terms.select(F.xxhash64("term").alias("h")).distinct()
+    if hashed.count() <= BLOCK:  # other terms need not be counted; where there are more, they are
+        rows = rows.join(F.broadcast(hashed), F.xxhash64("term") == F.col("h"), "left_semi")
+    return rows.groupBy("term").agg(F.count("*").alias("cf")).join(terms, "term")
 
 
 def anchored(windows: DataFrame, cf: DataFrame, whole: bool = True) -> DataFrame:
     """Each window with the offsets of its rarest and second rarest term that occur; windows with an absent term go, if asked whole."""
-    terms = windows.select("wtext", "ws", "items", F.posexplode("ws").alias("off", "term"))
-    both = terms.join(cf, "term").groupBy("wtext").agg(
-        F.first("ws").alias("ws"), F.first("items").alias("items"), F.sort_array(F.collect_list(F.struct("cf", "off", "term"))).alias("by")
-    )
+    terms = windows.select("wtext", F.size("ws").alias("len"), F.posexplode("ws").alias("off", "term"))
+    both = terms.join(cf, "term").groupBy("wtext", "len").agg(F.sort_array(F.collect_list(F.struct("cf", "off", "term"))).alias("by"))
     a, b = F.col("by")[0], F.get(F.col("by"), 1)
-    return (both.filter(F.size("by") == F.size("ws")) if whole else both).select(
-        "wtext", "items", F.size("ws").alias("len"), a["term"].alias("term"), a["off"].alias("off"),
-        F.coalesce(b["term"], a["term"]).alias("term2"), F.coalesce(b["off"], a["off"]).alias("off2"),
+    out = (both.filter(F.size("by") == F.col("len")) if whole else both).select(
+        "wtext", "len", a["term"].alias("term"), a["off"].alias("off"), a["cf"].alias("cf"),
+        F.coalesce(b["term"], a["term"]).alias("term2"), F.coalesce(b["off"], a["off"]).alias("off2"), F.coalesce(b["cf"], a["cf"]).alias("cf2"),
     )
+    return out.withColumn("shift", F.col("off2") - F.col("off")).withColumn("pair", F.xxhash64("term", "term2", "shift"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, __el_k, n_words, start, len, items) of every exact occurrence, and for each row of docs a row with len 0."""
-    spark = docs.sparkSession
-    tokens = with_key(docs.select(id_col, text_col), id_col, text_col).select(id_col, "__el_k", words(F.col(text_col)).alias("ws"))
-    windows = durable(test_windows(items, item_id, item_text), "windows")
-    terms = windows.select(F.explode("ws").alias("term")).distinct()
-    anchors = durable(anchored(windows, term_frequencies(tokens, terms)), "anchors")
-    mark = spark.range(1).select(F.lit("").alias("wtext"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("len"), F.lit("").alias("term"), F.lit(0).alias("off"), F.lit("").alias("term2"), F.lit(0).alias("off2"))
-    #: Position 0 of each document holds the empty term, which finds the mark.
-    postings = tokens.select(id_col, "__el_k", "ws", F.size("ws").alias("n_words"), F.explode_outer(F.sequence(F.lit(0), F.size("ws"))).alias("pos"))
-    postings = postings.withColumn("term", F.when(F.col("pos") == 0, F.lit("")).otherwise(F.get("ws", F.col("pos") - 1)))
-    start = F.col("pos") - F.col("off")
-    second = F.get(F.col("ws"), start + F.col("off2") - 1) == F.col("term2")
-    exact = F.array_join(F.slice("ws", F.greatest(start, F.lit(1)), F.col("len")), " ") == F.col("wtext")
-    fits = (start >= 1) & (start + F.col("len") - 1 <= F.col("n_words"))
+def index(tokens: DataFrame, terms: DataFrame, id_col: str, size: int = WINDOW) -> DataFrame:
+    """The stored index of (id, __el_k, ws): postings (term, id, __el_k, pos) of the terms (term, around), and for each document one of the empty term with n_words.
+
+    pos counts from 1. Where a term has ``around``, near has the size - 1 words on either side of a posting, and the word itself.
+    """
+    wanted = terms.groupBy(F.xxhash64("term").alias("h")).agg(F.max("around").alias("around"))
+    mark = tokens.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("h"), F.lit(False).alias("around"))
+    rows = tokens.select(id_col, "__el_k", "ws", F.explode(F.sequence(F.lit(0), F.size("ws"))).alias("pos"))
+    rows = rows.withColumn("term", F.when(F.col("pos") == 0, F.lit("")).otherwise(F.get("ws", F.col("pos") - 1)))
+    near = F.array_join(F.slice("ws", F.greatest(F.col("pos") - (size - 1), F.lit(1)), F.least(F.col("pos") - 1, F.lit(size - 1)) + size), " ")
     out = None
-    for k, block in enumerate(_blocks(anchors, "wtext", anchors.count())):
+    for k, block in enumerate(_blocks(wanted, wanted.count())):
         block = block.unionByName(mark) if k == 0 else block
-        rows = postings.join(F.broadcast(block), "term").filter((F.col("len") == 0) | (fits & second & exact))
-        rows = rows.select(id_col, "__el_k", "n_words", start.alias("start"), "len", "items")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        found = rows.join(F.broadcast(block), F.xxhash64("term") == F.col("h"))
+        found = found.select("term", id_col, "__el_k", "pos", F.when(F.col("pos") == 0, F.size("ws")).alias("n_words"), F.when(F.col("around"), near).alias("near"))
+        out = found if out is None else out.unionByName(found)
+    return durable(out, "postings")
+
+
+def _list(postings: DataFrame, pairs: DataFrame, term: str, cf: str, columns: list[str]) -> DataFrame:
+    """The postings of one of the terms of each pair."""
+    counts = pairs.groupBy(F.col(term).alias("term")).agg(F.max(cf).alias("n"))
+    right = pairs.select(F.col(term).alias("term"), "pair", "shift")
+    return dealt_join(postings.select("term", *columns), right, "term", heavy_keys(counts, "term"), ["__el_k", "pos"])
+
+
+def _searched(docs: DataFrame, items: DataFrame, names: tuple[str, str, str, str], whole: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """windows by item, anchors, stored postings, and the pairs of terms that are looked up."""
+    id_col, text_col, item_id, item_text = names
+    tokens = with_key(docs.select(id_col, text_col), id_col, text_col).select(id_col, "__el_k", words(F.col(text_col)).alias("ws"))
+    having = durable(test_windows(items, item_id, item_text), "windows")
+    windows = having.dropDuplicates(["wtext"]).select("wtext", "ws")
+    terms = windows.select(F.explode("ws").alias("term")).distinct()
+    anchors = durable(anchored(windows, term_frequencies(tokens, terms), whole), "anchors")
+    used = anchors.select("term", F.lit(True).alias("around")).unionByName(anchors.select(F.col("term2").alias("term"), F.lit(False).alias("around")))
+    postings = index(tokens, used, id_col)
+    pairs = anchors.groupBy("pair", "term", "term2", "shift").agg(F.max("cf").alias("cf"), F.max("cf2").alias("cf2"))
+    return having, anchors, postings, pairs
+
+
+def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, __el_k, n_words, start, len, item): for each row of docs one with n_words, for each exact occurrence one with start and len, for each item that occurs in a document one with it."""
+    having, anchors, postings, pairs = _searched(docs, items, (id_col, text_col, item_id, item_text), True)
+    first = _list(postings.filter("near IS NOT NULL"), pairs, "term", "cf", [id_col, "__el_k", "pos", "near"])
+    second = _list(postings, pairs.filter("shift <> 0"), "term2", "cf2", ["__el_k", "pos"]).select("pair", "__el_k", (F.col("pos") - F.col("shift")).alias("pos"))
+    met = first.filter("shift <> 0").join(second, ["pair", "__el_k", "pos"], "left_semi").unionByName(first.filter("shift = 0"))
+    met = durable(met.select("pair", id_col, "__el_k", "pos", "near"), "intersected")
+    counts = met.groupBy("pair").agg(F.count("*").alias("n"))
+    both = dealt_join(met, anchors.select("pair", "wtext", "len", "off"), "pair", heavy_keys(counts, "pair"), ["__el_k", "pos"])
+    before = F.least(F.col("pos") - 1, F.lit(WINDOW - 1))
+    exact = F.array_join(F.slice(F.split("near", " "), F.greatest(before - F.col("off"), F.lit(0)) + 1, F.col("len")), " ") == F.col("wtext")
+    hits = both.filter((F.col("off") <= before) & exact).select(id_col, "__el_k", (F.col("pos") - F.col("off")).alias("start"), "len", "wtext")
+    hits = durable(hits, "hits")
+    seen = hits.select(id_col, "__el_k", "wtext").distinct()
+    often = hits.groupBy("wtext").agg(F.count("*").alias("n"))
+    of = dealt_join(seen, having.select("wtext", "item"), "wtext", heavy_keys(often, "wtext"), ["__el_k"]).select(id_col, "__el_k", "item").distinct()
+    rows = postings.filter("pos = 0").select(id_col, "__el_k", "n_words")
+    spans = hits.select(id_col, "__el_k", "start", "len").distinct()
+    return rows.unionByName(spans, True).unionByName(of, True).fillna(0, ["len"])
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, wtext, items, start, stretch): windows whose two rarest terms, of those that the corpus has, occur in a document
     with an offset that differs by at most slop from theirs in the window."""
-    tokens = docs.select(id_col, words(F.col(text_col)).alias("ws"))
-    windows = test_windows(items, item_id, item_text)
-    anchors = durable(anchored(windows, term_frequencies(tokens, windows.select(F.explode("ws").alias("term")).distinct()), whole=False), "anchors").filter("off <> off2")
-    postings = tokens.select(id_col, "ws", F.posexplode_outer("ws").alias("pos", "term"))
-    out = None
-    for block in _blocks(anchors, "wtext", anchors.count()):
-        near = postings.join(F.broadcast(block), "term")
-        start = F.col("pos") - F.col("off")
-        at = F.sequence(start + F.col("off2") - slop, start + F.col("off2") + slop)
-        shifts = F.filter(at, lambda i: F.coalesce((i >= 0) & (F.get(F.col("ws"), i) == F.col("term2")), F.lit(False)))
-        stretch = F.array_min(F.transform(shifts, lambda i: F.abs(i - start - F.col("off2"))))
-        rows = near.select(id_col, "wtext", "items", start.alias("start"), stretch.alias("stretch")).filter("stretch IS NOT NULL")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    having, anchors, postings, pairs = _searched(docs, items, (id_col, text_col, item_id, item_text), False)
+    first = _list(postings, pairs.filter("shift <> 0"), "term", "cf", [id_col, "__el_k", "pos"]).select("pair", id_col, "__el_k", "pos")
+    second = _list(postings, pairs.filter("shift <> 0"), "term2", "cf2", ["__el_k", "pos"])
+    off = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
+    second = second.select("pair", "__el_k", "pos", "shift", off.alias("by")).select("pair", "__el_k", (F.col("pos") - F.col("shift") + F.col("by")).alias("pos"), F.abs("by").alias("by"))
+    near = first.join(second.groupBy("pair", "__el_k", "pos").agg(F.min("by").alias("stretch")), ["pair", "__el_k", "pos"])
+    texts = having.groupBy("wtext").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = near.join(anchors.select("pair", "wtext", "off"), "pair").join(texts, "wtext")
+    return out.select(id_col, "wtext", "items", (F.col("pos") - F.col("off") - 1).alias("start"), "stretch")
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs, from the rows of occurrences()."""
-    hit = F.col("len") > 0
+    """One row for each different row of docs, which copies counts, from the rows of occurrences()."""
     by_doc = found.groupBy(id_col, "__el_k").agg(
         F.max("n_words").cast("long").alias("n_words"),
-        F.count_if(~hit).cast("int").alias("copies"),
-        F.sort_array(F.collect_set(F.when(hit, F.struct("start", "len")))).alias("at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items")))))).alias("items"),
+        F.count("n_words").cast("int").alias("copies"),
+        F.sort_array(F.collect_set(F.when(F.col("len") > 0, F.struct("start", "len")))).alias("at"),
+        F.array_sort(F.collect_set("item")).alias("items"),
     )
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     merge = lambda a, x: F.struct(F.greatest(a["end"], x["start"] + x["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["start"] + x["len"] - F.greatest(x["start"], a["end"]))).alias("n"))
