@@ -130,7 +130,10 @@ def _boundary(rows: DataFrame, value: str, most: int) -> tuple[int, int]:
 
     Values are whole numbers from 0. The range is cut into at most 4096 parts until one value is left, so little comes to the driver.
     """
-    low, high, above = 0, int(rows.agg(F.max(value)).head()[0] or 0) + 1, 0
+    top, n = rows.agg(F.max(value), F.count("*")).head()
+    if n <= most:
+        return 0, n
+    low, high, above = 0, int(top) + 1, 0
     while high > low:
         step = -(-(high - low) // 4096)
         inside = rows.filter((F.col(value) >= low) & (F.col(value) < high))
@@ -156,6 +159,8 @@ def hot_words(words: DataFrame, most: int = HOT) -> Column:
     """
     short = words.filter(F.octet_length("word") <= HOT_BYTES).select("n", F.pmod(F.xxhash64("word"), F.lit(TIES)).alias("slot"))
     least, above = _boundary(short, "n", most)
+    if not least:
+        return F.octet_length("word") <= HOT_BYTES
     first, _ = _boundary(short.filter(F.col("n") == least - 1), "slot", most - above)
     tie = (F.col("n") == least - 1) & (F.pmod(F.xxhash64("word"), F.lit(TIES)) >= first)
     return (F.octet_length("word") <= HOT_BYTES) & ((F.col("n") >= least) | tie)
