@@ -4,13 +4,15 @@ One projection finds candidate spans in every text. Candidate hashes are then
 counted by distinct owner and repository over the whole corpus: a value that
 many owners carry is a copied example, one that few carry looks live. A private
 key is one span from BEGIN through END and is counted by its body. Only
-candidates travel; texts stay where they were read. A value that a third of
-all rows hold is first reduced to its distinct (value, owner, repository)
-rows, then to (value, owner), so no task gathers its rows.
-
-Defined results: a null or empty text has no span; repeated rows (same id and
-text) get equal results; ties of a start are ordered by kind; columns besides
-the named ones are not read.
+candidates travel; texts stay where they were read. Counts are summed before
+they are shuffled, and the rows of a value that very many hold are dealt over
+several tasks when they meet its verdict.
+
+Defined results: a null or empty text has no span; an empty table gives no
+row; repeated rows (same id and text) get equal results; ties of a start are
+ordered by kind; a null owner is one owner, a null repository one repository;
+a text of any length is one row, its matches summed in runs; columns besides
+the named ones are not read, and ``redact`` passes them on.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, let, table, with_key
+from .common import dealt_join, durable, heavy_keys, let, table, with_key
 
 # The patterns of the three base kinds and of well-known key formats.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,6 +42,8 @@ KINDS = ("assign", "access", "hex", "vendor")
 VALUE = "struct<k:int,s:int,e:int,h:string>"
 #: A value that more owners than this carry is a widely copied example.
 MAX_OWNERS = 3
+#: Matches of a text whose lengths are summed at once.
+RUN = 256
 
 
 def _owned(value: Column) -> Column:
@@ -49,21 +53,36 @@ def _owned(value: Column) -> Column:
 
 
 def _spans(text: Column, kind: int, pattern: str, value_group: int = 0, least: int = 1) -> Column:
-    """Spans of the matches, from the lengths of what lies between them."""
+    """Spans of the matches, from the lengths of what lies between them.
+
+    Lengths are summed within runs of RUN matches and then over the runs, so that
+    no array grows by one element for each match of a long text.
+    """
+
+    def prefix(lengths: Column) -> Column:
+        """The sum of the elements before each, and behind it the sum of all."""
+        start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("out"))
+
+        def step(acc: Column, n: Column) -> Column:
+            return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
+
+        return F.aggregate(lengths, start, step)["out"]
 
     def of(match: Column, gap: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{VALUE}>").alias("out"))
+        sizes = F.transform(match, lambda m, i: F.length(F.get(gap, i)) + F.length(m))
+        runs = let(sizes, lambda x: F.transform(F.sequence(F.lit(1), F.size(x), F.lit(RUN)), lambda i: prefix(F.slice(x, i, RUN))))
 
-        def step(acc: Column, i: Column) -> Column:
-            m = F.get(match, i)
-            s = acc["at"] + F.length(F.get(gap, i))
-            e = s + F.length(m)
-            value = F.regexp_extract(m, pattern, value_group) if value_group else m
-            span = F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), F.sha2(_owned(value) if pattern == WHOLE else value, 256).alias("h")).cast(VALUE)
-            keep = F.length(value) >= least
-            return F.struct(e.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        def placed(inner: Column, outer: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                e = F.get(outer, F.floor(i / RUN).cast("int")) + F.get(F.get(inner, F.floor(i / RUN).cast("int")), i % RUN + 1)
+                value = F.regexp_extract(m, pattern, value_group) if value_group else m
+                return F.struct(F.lit(kind).alias("k"), (e - F.length(m)).alias("s"), e.alias("e"), F.sha2(_owned(value) if pattern == WHOLE else value, 256).alias("h"), F.length(value).alias("n"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(match) - 1), start, step)["out"]
+            kept = F.filter(F.transform(match, span), lambda x: x["n"] >= least)
+            return F.transform(kept, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h")).cast(VALUE))
+
+        ends = lambda r: prefix(F.transform(r, lambda x: F.element_at(x, -1)))
+        return let(runs, lambda r: let(ends(r), lambda o: placed(r, o)))
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern), lambda g: of(m, g)))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{VALUE}>"))
@@ -77,19 +96,29 @@ def candidates(text: Column) -> Column:
     return F.transform(by_start, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h")))
 
 
-def ownership(found: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
-    """(h, n_owners, n_repos, live) for each candidate hash; found has array column cands."""
-    rows = found.filter(F.size("cands") > 0).select(
-        F.explode(F.array_distinct(F.transform("cands", lambda x: x["h"]))).alias("h"), F.col(owner_col).alias("o"), F.col(repo_col).alias("r")
-    )
-    by_owner = rows.groupBy("h", "o", "r").agg(F.lit(1).alias("x")).groupBy("h", "o").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos")).withColumn("live", F.col("n_owners") <= MAX_OWNERS)
+def ownership(found: DataFrame, repo_col: str, owner_col: str, max_owners: int = MAX_OWNERS, max_repos: int | None = None) -> DataFrame:
+    """(h, n_owners, n_repos, n, live) for each candidate hash; found has array column cands.
+
+    A value is live that at most max_owners owners carry, in at most max_repos
+    repositories where that is given: an owner who copies an example into all of
+    their repositories does not make it a credential. n counts its occurrences.
+    """
+    rows = found.filter(F.size("cands") > 0).select(F.explode(F.transform("cands", lambda x: x["h"])).alias("h"), F.col(owner_col).alias("o"), F.col(repo_col).alias("r"))
+    by_owner = rows.groupBy("h", "o", "r").agg(F.count("*").alias("n")).groupBy("h", "o").agg(F.count("*").alias("r"), F.sum("n").alias("n"))
+    out = by_owner.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"), F.sum("n").alias("n"))
+    few = F.lit(True) if max_repos is None else F.col("n_repos") <= max_repos
+    return out.withColumn("live", (F.col("n_owners") <= max_owners) & few)
 
 
 def judged(found: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
-    """(id, __el_k, spans, n_live, n_example) of the rows that have candidates."""
+    """(id, __el_k, spans, n_live, n_example) of the rows that have candidates.
+
+    Only the values that are not live are looked up; occurrences of one that very many rows hold are dealt over tasks.
+    """
+    copied = durable(verdicts.filter(~F.col("live")).select("h", "n"), "examples")
     rows = found.filter(F.size("cands") > 0).dropDuplicates([id_col, "__el_k"]).select(id_col, "__el_k", F.explode("cands").alias("c"))
-    marked = rows.withColumn("h", F.col("c.h")).join(verdicts.select("h", "live"), "h")
+    rows = rows.withColumn("h", F.col("c.h"))
+    marked = dealt_join(rows, copied.select("h", F.lit(False).alias("live")), "h", heavy_keys(copied, "h"), [id_col, "__el_k", "c"], "left").fillna(True, ["live"])
     keep = (F.col("c.k") < 3) | F.col("live")
     span = F.struct(F.col("c.s").alias("s"), F.col("c.k").alias("k"), F.col("c.e").alias("e"))
     return marked.groupBy(id_col, "__el_k").agg(
@@ -99,11 +128,11 @@ def judged(found: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_repos: int | None = None) -> DataFrame:
     """One row per row of docs: id, _k, cands, spans, n_live, n_example."""
     names = list(dict.fromkeys([id_col, owner_col, repo_col, "__el_k"]))
     found = durable(with_key(docs, id_col, text_col).select(*names, candidates(F.col(text_col)).alias("cands")), "secrets")
-    marks = judged(found, ownership(found, repo_col, owner_col), id_col).withColumnsRenamed({id_col: "__el_i", "__el_k": "__el_j"})
+    marks = judged(found, ownership(found, repo_col, owner_col, max_repos=max_repos), id_col).withColumnsRenamed({id_col: "__el_i", "__el_k": "__el_j"})
     joined = found.join(marks, found[id_col].eqNullSafe(marks["__el_i"]) & (found["__el_k"] == marks["__el_j"]), "left").drop("__el_i", "__el_j")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     return joined.withColumn("spans", F.coalesce("spans", none)).fillna(0, ["n_live", "n_example"])

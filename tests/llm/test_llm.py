@@ -337,6 +337,29 @@ def test_secrets(docs, empty):
     assert secret_scan.redact(empty).count() == 0 and secret_scan.scan(empty).count() == 0
 
 
+def test_many_matches_of_a_text(spark):
+    """Spans of 60,000 matches in one row, in about linear time, and where runs meet."""
+    text = " ".join("token=%08d é" % k for k in range(60_000))
+    d = spark.createDataFrame([(1, text, "a"), (2, text[: 17 * 256 - 1], "b"), (3, text[: 17 * 257 - 1], "c"), (4, text[:11], "d")], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: [(x.s, x.e) for x in r.spans] for r in secret_scan.scan(d).collect()}
+    assert time.time() - began < 60
+    want = [m.span() for m in re.finditer(r"token=\d+", text)]
+    assert got[1] == want and got[2] == want[:256] and got[3] == want[:257] and got[4] == []
+
+
+def test_ownership_of_hot_values(spark, monkeypatch):
+    """A value of very many rows is dealt over tasks; owners and repositories both count."""
+    monkeypatch.setattr(common, "ROWS", 10)
+    keys = ["ghp_" + c * 40 for c in "XYZ"]
+    rows = [(k, f"see {keys[0]} and password=hunter{k:04d}", f"owner{k % 7}") for k in range(90)] + [(100 + k, keys[1] + " words", "one") for k in range(30)] + [(200, keys[2], "two")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: (r.n_live, r.n_example, len(r.spans)) for r in secret_scan.scan(d).collect()}
+    assert all(got[k] == (1, 1, 1) for k in range(90)) and got[100] == got[200] == (1, 0, 1)
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secret_scan.scan(d, max_repos=20).collect()}
+    assert got[100] == (0, 1) and got[200] == (1, 0) and got[0] == (1, 1)
+
+
 def test_copied_example_is_not_live(spark):
     key = "ghp_" + "a1B2" * 10
     d = spark.createDataFrame([(k, f"see {key} here", f"owner{k}") for k in range(6)] + [(9, "own ghp_" + "z9Y8" * 10, "owner0")], "doc_id long, text string, source string")
