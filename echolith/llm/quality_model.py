@@ -7,9 +7,12 @@ predecessor. Training is sequential over a bounded sample of labelled rows
 (PER_CLASS of each label) in one task; the weights (BINS floats) are
 broadcast, and a score is a sparse dot product. Whole texts are read.
 
-Defined results: a null or empty text has only the bias and gets its score;
-repeated rows get equal scores; without any labelled row all weights are 0
-and every score is 0.5; of several labels of an id one is taken.
+Defined results: a null or empty text has only the bias and gets its score; an
+empty table gives no row; repeated rows get equal scores; without any labelled
+row all weights are 0 and every score is 0.5; of several labels or texts of an
+id the least is learned from; a score equal to the threshold passes; a very
+long text is one row of features; a column named score is replaced, others pass
+through.
 """
 
 from __future__ import annotations

@@ -3,18 +3,25 @@
 Units are words and their prefixes of 3 to 8 letters, so inflected forms of a
 stem count together. Each unit's log-odds between toxic and other texts has a
 Dirichlet prior in proportion to its frequency; units whose z-score reaches
-MIN_Z make up the lexicon (at most LEXICON units). An occurrence counts once
-for each distinct pair of neighbours, so copied texts don't vote many times.
-All other words score OTHER. A linear scan finds all maximal segments; their
-scores get extreme-value p-values by the length of the text, and a logistic
-calibration maps the text's evidence to 0..1.
-
-The model is fit on a bounded sample (PER_CLASS labelled rows of each label)
-in one task and broadcast. Whole texts are scored.
+MIN_Z make up the lexicon, whose size the sample bounds. An occurrence counts
+once for each distinct pair of neighbours, so copied texts don't vote many
+times. All other words score OTHER. A linear scan finds all maximal segments;
+their scores get extreme-value p-values by the length of the text, with lambda
+solved from the word scores and the constant K, a bound that makes p-values
+conservative (K fitted to the best scores of other texts is far less, and
+held-out texts are then told apart worse); a logistic calibration maps the
+text's evidence to 0..1.
+
+The model is fit on a bounded sample (PER_CLASS labelled rows of each label, of
+SAMPLE_CHARS characters at most) in one task and broadcast. Whole texts are
+scored.
 
 Defined results: null and empty texts have no segment and get the score of no
-evidence; repeated rows get equal scores; without labels every score is the
-same; labels other than 0 and 1 are not read.
+evidence; an empty table gives no row; repeated rows get equal scores; without
+labels every score is the same; labels other than 0 and 1 are not read, of
+several labels or texts of an id the least is learned from; a very long text
+is one scan; of equal segments the earlier stays apart; columns named score or
+passages are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -30,10 +37,10 @@ from .common import fold, table
 from .fitting import LETTERS, Memo, fit_once, labelled_sample, sigmoid
 
 PER_CLASS = 3000
-LEXICON = 20_000
 PRIOR = 0.05
 MIN_Z = 2.5
 OTHER = -0.5
+K = 0.5
 SIGNIFICANT = 0.05
 
 
@@ -75,11 +82,9 @@ def fit(data: pd.DataFrame) -> dict:
         logit = lambda c, n: np.log((c + prior) / np.maximum(n + prior0 - c - prior, 1e-9))
         delta = logit(y[:, 0], total[0]) - logit(y[:, 1], total[1])
         z = delta / np.sqrt(1 / (y[:, 0] + prior) + 1 / (y[:, 1] + prior))
-        top = np.flatnonzero((z >= MIN_Z) & (delta > 1.5))
-        top = top[np.argsort(-z[top], kind="stable")][:LEXICON]
         names = list(by_unit)
-        lexicon = {names[i]: float(delta[i]) for i in top}
-    model = {"lexicon": lexicon, "lam": 1.0, "k": 0.5, "a": 1.0, "b": -3.0}
+        lexicon = {names[i]: float(delta[i]) for i in np.flatnonzero((z >= MIN_Z) & (delta > 1.5))}
+    model = {"lexicon": lexicon, "lam": 1.0, "k": K, "a": 1.0, "b": -3.0}
     score = Memo(lambda w: max((lexicon[u] for u in units(w) if u in lexicon), default=OTHER), 10**7)
     values = np.array([score[w] for w in ids])
     weight = both[1, 1:] + 1e-3 * (both[0, 1:] > 0)

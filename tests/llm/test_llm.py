@@ -8,16 +8,18 @@ import os
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echolith.llm import bpe, common, decontaminate, html_extract, jaccard, language, license_scan, quality_model, quality_rules, secret_scan, toxicity
+from echolith.llm import bpe, common, decontaminate, fitting, html_extract, jaccard, language, license_scan, quality_model, quality_rules, secret_scan, toxicity
 from echolith.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _k string, words int, node string, spans string"
@@ -411,6 +413,48 @@ def test_toxicity(spark, empty):
     assert toxicity.scores(d, toxicity.train(d, labels.limit(0))).filter("score >= 0.5").count() == 0
 
 
+def test_lexicon_and_evidence_by_plain_counts():
+    """Log-odds with Dirichlet priors, lambda and p-values, each anew from their definitions."""
+    r = random.Random(12)
+    texts = [prose(30, k) + (" vileword rotten " + prose(10, 500 + k)) * (k % 3 == 0) for k in range(120)]
+    data_ = pd.DataFrame({"doc_id": range(120), "y": [int(k % 3 == 0) for k in range(120)], "text": texts})
+    model = toxicity.fit(data_)
+    count = {0: Counter(), 1: Counter()}
+    for y in (0, 1):
+        seen = set()
+        for t in data_[data_.y == y].text:
+            w = t.split()
+            for a, b, c in zip([None, *w[:-1]], w, [*w[1:], None], strict=True):
+                if (a, b, c) not in seen:
+                    seen.add((a, b, c))
+                    count[y][b] += 1
+    units = {0: Counter(), 1: Counter()}
+    for y in (0, 1):
+        for w, n in count[y].items():
+            for u in [w, *("^" + w[:k] for k in range(3, min(len(w), 8) + 1))]:
+                units[y][u] += n
+    n = [sum(count[y].values()) for y in (0, 1)]
+    want = {}
+    for u in {*units[0], *units[1]}:
+        prior = 0.05 * (units[0][u] + units[1][u])
+        odds = [math.log((units[y][u] + prior) / max(n[y] + 0.05 * sum(n) - units[y][u] - prior, 1e-9)) for y in (0, 1)]
+        delta = odds[1] - odds[0]
+        if delta > 1.5 and delta / math.sqrt(1 / (units[0][u] + prior) + 1 / (units[1][u] + prior)) >= 2.5:
+            want[u] = delta
+    assert model["lexicon"] == pytest.approx(want) and {"vileword", "rotten"} <= set(want)
+    value = {w: max((want[u] for u in toxicity.units(w) if u in want), default=-0.5) for t in texts for w in t.split()}
+    weight = {w: count[0][w] + 1e-3 * (count[1][w] > 0) for w in value}
+    assert sum(weight[w] * math.exp(model["lam"] * v) for w, v in value.items()) == pytest.approx(sum(weight.values()), rel=1e-6)
+    for _ in range(30):
+        words = r.choice(texts).split()
+        full = [value[w] for w in words]
+        x, found = toxicity.evidence(words, model, toxicity.Memo(value.__getitem__))
+        best = max([0.0] + [sum(full[i:j]) for i in range(len(full)) for j in range(i + 1, len(full) + 1)])
+        p = lambda s: -math.expm1(-0.5 * len(words) * math.exp(-model["lam"] * s))
+        assert all(sum(full[b:e]) == pytest.approx(s) and p(s) <= 0.05 for s, b, e in found)
+        assert x == pytest.approx(math.log1p(max(sum(-math.log(p(s)) for s, _, _ in found), -math.log(p(best)) if best else 0.0)))
+
+
 def test_segments_are_maximal():
     r = random.Random(2)
     for _ in range(200):
@@ -431,6 +475,93 @@ def test_quality_model(spark, docs, empty):
     assert quality_model.keep_good(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_model_by_plain_rules():
+    """The sparse fit against follow-the-regularised-leader over dictionaries, feature by feature."""
+    texts = [prose(8, k) + " ##" * (k % 2) for k in range(40)]
+    data_ = pd.DataFrame({"doc_id": range(40), "y": [1 - k % 2 for k in range(40)], "text": texts})
+    w, bias = quality_model.fit(data_, epochs=2)
+    memo = quality_model.Memo(quality_model._pair)
+    rows = []
+    for t, y in zip(texts, data_.y, strict=True):
+        ids, n = quality_model.features(t, memo)
+        x = {int(i): 16.0 * c / n for i, c in Counter(ids.tolist()).items()}
+        rows.append(({**x, "bias": 1.0}, y))
+    z, g2 = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 1e-4 else (math.copysign(1e-4, z[i]) - z[i]) / ((1.0 + math.sqrt(g2[i])) / 0.5 + 1e-5)
+
+    rng, last = np.random.default_rng(7), {}
+    for _ in range(2):
+        for k in rng.permutation(40):
+            x, y = rows[k]
+            now = {i: weight(i) for i in x}
+            last.update(now)
+            p = 1 / (1 + math.exp(-sum(now[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(g2[i] + g * g) - math.sqrt(g2[i])) / 0.5 * now[i]
+                g2[i] += g * g
+    assert bias == pytest.approx(last["bias"], rel=1e-6)
+    assert {i: float(w[i]) for i in np.flatnonzero(w)} == pytest.approx({i: v for i, v in last.items() if i != "bias" and v}, rel=1e-4)
+    one = quality_model.features("Ab ab  12 ab ab", memo)
+    assert one[1] == 5 and len(one[0]) == 5 + 5 + 4 + 4 + 3 + 2
+
+
+def test_samples_of_repeated_and_contradictory_rows(spark):
+    """One row an id, the least label and text, however often the task runs; texts over the bound are not learned from."""
+    d = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "x" * 300_000), (4, "y"), (None, "z")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 1), (4, 2), (4, None), (None, 1)], "doc_id long, toxic int")
+    got = fitting.labelled_sample(d, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.y, r.text) for r in got) == [(1, 0, "a"), (2, 1, None)]
+
+
+def test_long_and_clashing_rows(spark, empty):
+    """Very long texts, and columns that have the names of results."""
+    d, labels = _toy(spark, "vilest")
+    long = prose(200_000, 40)
+    hard = spark.createDataFrame([(1, long, 7.0, "xx", "p", "l"), (1, long, 7.0, "xx", "p", "l"), (2, None, None, None, None, None)], "doc_id long, text string, score double, lang_pred string, passages string, licenses string")
+    tox = toxicity.scores(hard, toxicity.train(d, labels)).collect()
+    assert [r.doc_id for r in tox].count(1) == 2 and tox[0].score <= 1 and len({r.score for r in tox if r.doc_id == 1}) == 1
+    good = quality_model.scores(hard, quality_model.train(d, labels)).collect()
+    assert all(0 <= r.score <= 1 and r.lang_pred in ("xx", None) for r in good)
+    lang = {r.doc_id: (r.lang_pred, r.passages) for r in language.predict(hard, language.train(d)).collect()}
+    assert lang == {1: ("en", "p"), 2: ("und", None)}
+    lic = license_scan.scan(hard).collect()
+    assert all(r.licenses == [] and r.passages in ("p", None) for r in lic)
+    pages = spark.createDataFrame([("<p>" + long + "</p>", "mine", 5)], "html string, text string, n_chars long")
+    assert [(r.text, r.n_chars) for r in html_extract.extract(pages).collect()] == [(long, len(long))]
+    for out in (toxicity.scores(empty, toxicity.train(empty, labels)), language.predict(empty, language.train(empty)), license_scan.scan(empty), html_extract.extract(pages.limit(0))):
+        assert out.count() == 0
+
+
+def test_language_by_plain_bayes(spark):
+    """Multinomial naive Bayes over dictionaries of n-grams' bins, on texts that are scored in pieces too; ties and letters."""
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice(["aba", "cab", "bad", "dab"] if k % 3 else ["xyz", "zyx", "bad", "cab"]) for _ in range(6)), "q" if k % 3 else "p") for k in range(90)]
+    d = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string, lang string")
+    model = language.train(d)
+    train = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    twice = [x for x in rows[:5] if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    count = {lang: Counter() for lang in "pq"}
+    for _, t, lang in train:
+        count[lang].update(language.ngrams(t).tolist())
+    total = {lang: sum(c.values()) for lang, c in count.items()}
+    prior = {lang: math.log(sum(x[2] == lang for x in [*train, *twice]) / len([*train, *twice])) for lang in "pq"}
+    texts = [t for _, t, _ in rows] + ["", "bad", "q" * 5, "1 2", "ab " * 100_000, None]
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), model).collect()
+    for g in got:
+        t = texts[g.k]
+        if not t or not any(c.isalpha() for c in t):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        x = {lang: prior[lang] + sum(n * math.log((count[lang][b] + 0.1) / (total[lang] + 0.1 * language.BINS)) for b, n in Counter(language.ngrams(t).tolist()).items()) for lang in "pq"}
+        best = max(sorted(x), key=lambda v: x[v])
+        assert g.lang_pred == best and g.score == pytest.approx(1 / sum(math.exp(v - x[best]) for v in x.values()), rel=1e-3)
+    same = language.predict(spark.createDataFrame([(1, "½ ² Ⅷ ①"), (2, "½ a"), (3, "ª")], "k long, text string"), model).collect()
+    assert [r.lang_pred == "und" for r in sorted(same, key=lambda r: r.k)] == [True, False, False]
+
+
 def test_language(spark, empty):
     rows = [(k, ("the house and the garden of a man " if k % 2 else "der garten und das haus eines mannes ") * (1 + k % 3), "en" if k % 2 else "de") for k in range(80)]
     d = spark.createDataFrame([*rows, (90, None, None), (91, "", "en"), (92, "123 !", None)], "doc_id long, text string, lang string")
