@@ -302,6 +302,62 @@ def test_traits_of_a_page_are_no_noise():
         assert html_extract.main_text(page) == f"{words}\n{words}", page
 
 
+TEXT = "plain words of the article that go on for a while and a bit longer still"
+
+
+@pytest.mark.parametrize("page, last", [
+    ('<article><p>%s</p><section class="related-work"><p>kept</p></section></article>', "kept"), ('<article><p>%s</p><div class="related"><p>no</p></div></article>', None),
+    ('<article><p>%s</p><section id="notice-period"><p>kept</p></section></article>', "kept"), ('<article><p>%s</p><div class="cookie-notice">no</div></article>', None),
+    ('<article><p>%s</p><p style="color: red; display:none">no</p></article>', None), ("<article><p>%s</p><p hidden>no</p></article>", None),
+    ('<article><p>%s</p><p>kept <span style="display: none">no</span> too</p></article>', "kept too"), ('<article><p>%s</p><p style="color: red">kept</p></article>', "kept"),
+    ('<div class="page-wrapper"><div class="col-md-8"><p>%s</p><p>kept</p></div></div>', "kept"), ('<div id="wrapper"><div id="content"><p>%s</p><table><tr><td>kept</td></tr></table></div></div>', "kept"),
+    ('<main><p>%s</p><div class="comment-list"><p>no</p></div></main>', None), ('<article><p>%s</p><section class="comment"><p>no</p></section></article>', None),
+    ('<article><p>%s</p><div class="ad-slot">no</div></article>', None), ('<article><p>%s</p><div class="sidebar-left"><div class="content">no</div></div></article>', None),
+    ('<div class="post-content"><p>%s</p><div class="social-share-bar">no</div></div>', None), ('<article><p>%s</p><div class="share">no</div><p>kept</p></article>', "kept"),
+    ("<article><p>%s</p><nav><a href=x>no</a></nav><form><input><button>no</button></form><aside>no</aside></article><footer>no</footer>", None), ("<article><p>%s</p><p><a href=x>kept</a></p></article>", "kept"),
+    ('<body><nav><a href=x>no</a></nav><p>%s</p><div class="advert">no no no no no no no no no</div><p>kept until the end of the page</p></body>', "kept until the end of the page"),
+])
+def test_named_and_hidden_parts(page, last):
+    assert html_extract.main_text(page % TEXT) == "\n".join([TEXT, *([last] if last else [])])
+
+
+def test_learned_weights_decide():
+    """Labelled pages come back but for a few; with constant weights, or without those of any kind, results change."""
+    weights = html_extract.fit()
+    pages = html_extract.labelled_pages()
+    assert len(pages) > 400
+
+    def want(page):
+        inner = "".join(re.findall(r"<!--content-->(.*?)<!--/content-->", page, re.S))
+        parts = re.split(r"</?(?:p|h\d|br|ul|li|blockquote|section|header|figure|figcaption|img)\b[^>]*>", re.sub(r"</?[ab]\b[^>]*>", "", inner))
+        return "\n".join(" ".join(x.split()) for x in parts if x.strip())
+
+    right = [p for p in pages if html_extract.main_text(p) == want(p)]
+    assert len(right) >= 0.93 * len(pages)
+    for some in (lambda k: True, lambda k: k.startswith("is:"), lambda k: k.startswith("of:"), lambda k: not k.startswith(("is:", "of:", "<"))):
+        other = {k: (-0.1 if k.startswith("<") else 1.0 if k == "base" else 0.0) if some(k) else v for k, v in weights.items()}
+        assert sum(html_extract.main_text(p, other) != html_extract.main_text(p) for p in right) > 20
+    own = set(random.Random(3).sample(range(len(pages)), len(pages) * 3 // 4))
+    most = html_extract.fit(tuple(p for k, p in enumerate(pages) if k in own))
+    rest = [p for k, p in enumerate(pages) if k not in own]
+    assert sum(html_extract.main_text(p, most) == want(p) for p in rest) >= 0.75 * len(rest)
+
+
+def test_weights_by_plain_counts():
+    """Log-odds of blocks, counted again with a parser of the standard library on a page that is well formed."""
+    page = "<html><body><div class='x-ad'><p>no</p><p>no no</p></div><div><!--content--><p>a b c</p><p>d</p><!--/content--></div></body></html>"
+    w = html_extract.fit((page,))
+    assert w["is:ad"] == w["of:x"] == pytest.approx(math.log(0.5 / 3) - math.log(2.5 / 3))
+    assert w["base"] == 1.0 and w["<p"] == max(min(math.log(2.5 / 5) - math.log(2.5 / 4), -0.1), -1.0)
+
+
+def test_long_pages_in_linear_time():
+    began = time.time()
+    for part, n in (("<div>", 50_000), ("<a ", 200_000), ('<a "', 100_000), ("<![CDATA[", 100_000), ("<!", 100_000), ("<p>x", 100_000), ("<li>x", 100_000), ("<b>", 100_000), ("</p>", 100_000), ("<ul><li>x", 20_000)):
+        html_extract.main_text(part * n + "end")
+    assert time.time() - began < 30
+
+
 def test_best_region_is_optimal():
     r = random.Random(1)
     for _ in range(200):
