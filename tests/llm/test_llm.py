@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter
@@ -652,6 +653,46 @@ def test_all_licenses_of_wrapped_and_adjacent_notices():
     assert names("Licensed under the Apache License, Version 2.0, or released under the MIT License.") == [(0, "Apache-2.0"), (0, "MIT")]
 
 
+def test_whole_license_texts_and_identifiers():
+    """Whole texts wrapped as files have them, told apart by wording; headers in comments; identifiers."""
+    names = lambda text: [(x["line"], x["license"], x["missing"], x["extra"]) for x in license_scan.confirmed(text)]
+    whole = {n: t for n, t in license_scan.TEMPLATES if len(t) > 200}
+    for n, t in whole.items():
+        assert names("Copyright (c) 2020 A. Person\n\n" + "\n".join(textwrap.wrap(t, 70, break_on_hyphens=False)) + "\n\nwords after it")[:1] == [(2, n, 0, 0)], n
+        assert names(" * " + "\n * ".join(textwrap.wrap(t, 60, break_on_hyphens=False))) == [(0, n, 0, 0)], n
+        assert names(prose(700, 3) + "\n" + "\n".join(textwrap.wrap(t.upper(), 40, break_on_hyphens=False)) + "\n" + prose(700, 4)) == [(1, n, 0, 0)], n
+    bsd = "1. Redistributions of source code must retain"
+    three = whole["BSD-3-Clause"].replace(bsd[3:], bsd)
+    assert names(three)[0][1] == "BSD-3-Clause" and names(whole["BSD-2-Clause"].replace("COPYRIGHT HOLDERS", "REGENTS"))[0][1:3] == ("BSD-2-Clause", 2)
+    assert names("# SPDX-License-Identifier: MIT\nimport os\n// SPDX-License-Identifier: GPL-2.0-or-later") == [(0, "MIT", 0, 0), (2, "GPL-2.0-or-later", 0, 0)]
+    assert names("SPDX-License-Identifier: Other") == []
+
+
+def test_alignment_by_brute_force():
+    """Places of a short template among few words, from all ways to keep its words in order: one is found where there is one, an exact one if there is one, and it is as good as it says."""
+    scanner = license_scan.Scanner((("X", "alpha beta gamma delta epsilon"),))
+    want = "alpha beta gamma delta epsilon".split()
+    r = random.Random(9)
+    for _ in range(300):
+        words = [r.choice([*want, "other", None] if r.random() < 0.3 else [*want, *want, "other"]) for _ in range(9)]
+        best, seen = None, set()
+        for m in range(1, 1 << 9):
+            at = [i for i in range(9) if m >> i & 1]
+            if not 4 <= len(at) <= 5 or None in words[at[0] : at[-1] + 1]:
+                continue
+            j = 0
+            for i in at:
+                while j < 5 and want[j] != words[i]:
+                    j += 1
+                j += 1
+            if j <= 5:
+                value = 2 * len(at) - 5 - (at[-1] + 1 - at[0] - len(at))
+                best = value if best is None else max(best, value)
+                seen.add((value, at[0], at[-1] + 1, len(at)))
+        got = scanner.align(0, words)
+        assert (got is None) == (best is None) and (got is None or got in seen) and (best != 5 or got[0] == 5), words
+
+
 def test_license_in_a_long_line(spark):
     """Exact wording anywhere in a line of any length, also where a dictionary saves nothing."""
     notice = "Released under the MIT License. "
