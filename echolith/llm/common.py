@@ -71,16 +71,16 @@ KEYS = 1 << 16
 def heavy_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame | None:
     """(__el_h, __el_s): the hashes of the keys that are too frequent for a task, and into how many parts each goes.
 
-    counts has one row for each key with its number of rows. At most KEYS keys can
-    have more than 1 / KEYS of all rows, so the result has that proven bound.
+    counts has one row for each key with its number of rows; it is read again
+    where the result is used. At most KEYS keys can have more than 1 / KEYS of all
+    rows, so the result has that proven bound.
     """
     total, most = counts.agg(F.sum(n), F.max(n)).head()
     least = max(ROWS, (total or 0) // KEYS)
     if (most or 0) <= least:
         return None
     parts = F.least(F.ceil(F.col(n) / least), F.lit(1 << 20)).cast("int")
-    rows = counts.filter(F.col(n) > least).groupBy(F.xxhash64(key).alias("__el_h")).agg(F.max(parts).alias("__el_s")).collect()
-    return counts.sparkSession.createDataFrame(rows, "__el_h long, __el_s int")
+    return counts.filter(F.col(n) > least).groupBy(F.xxhash64(key).alias("__el_h")).agg(F.max(parts).alias("__el_s"))
 
 
 def dealt_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
