@@ -49,18 +49,26 @@ def decide(probs: list[Column], classes: list[str], min_score: float) -> Column:
     return F.when(score.isNull(), "no_data").when(score < min_score, "uncertain").otherwise(argmax_class(probs, classes))
 
 
-def merge_evidence(by_detector: list[list[Column]], base: list[float], weights: list[float] | None = None) -> list[Column]:
-    """Product over detectors of (p / base)^weight, normalised in logarithms; null where no detector has probabilities."""
+def merge_evidence(by_detector: list[list[Column]], bases: list[list[float | None]], weights: list[float] | None = None) -> list[Column]:
+    """Classes of blocks by the evidence of all detectors: products of (p / base)^weight, normalised in logarithms.
+
+    Each detector has its own bases; a class without a base or probability there
+    is neutral. A lone detector's probabilities stay as they are, 0 for classes
+    that it does not know; null where no detector has any.
+    """
     weights = weights or [1.0] * len(by_detector)
-    some = reduce(lambda a, b: a | b, [d[0].isNotNull() for d in by_detector])
-    logs = []
-    for k, b in enumerate(base):
-        parts = [F.when(d[k].isNotNull(), F.lit(w) * F.ln(F.greatest(d[k], F.lit(1e-9)) / F.lit(b))).otherwise(F.lit(0.0)) for d, w in zip(by_detector, weights, strict=True)]
-        logs.append(F.ln(F.lit(b)) + reduce(lambda x, y: x + y, parts))
+    has = [reduce(lambda a, b: a | b, [c.isNotNull() for c in d]) for d in by_detector]
+    n = reduce(lambda a, b: a + b, [h.cast("int") for h in has])
+    logs, lone = [], []
+    for k in range(len(by_detector[0])):
+        known = [(d[k], b[k], w) for d, b, w in zip(by_detector, bases, weights, strict=True) if b[k] is not None]
+        parts = [F.when(p.isNotNull(), F.lit(float(w)) * F.ln(F.greatest(p, F.lit(1e-9)) / F.lit(b))).otherwise(F.lit(0.0)) for p, b, w in known]
+        logs.append(reduce(lambda x, y: x + y, parts, F.lit(0.0)))
+        lone.append(F.coalesce(*(F.when(h, F.coalesce(d[k], F.lit(0.0))) for h, d in zip(has, by_detector, strict=True))))
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     exps = [F.exp(x - top) for x in logs]
     total = reduce(lambda x, y: x + y, exps)
-    return [F.when(some, e / total) for e in exps]
+    return [F.when(n == 1, p).when(n > 1, e / total) for p, e in zip(lone, exps, strict=True)]
 
 
 def smooth(x: Column, width: int) -> Column:

@@ -12,14 +12,15 @@ from echolith.functions import scalars as S
 
 
 def merge_blocks(
-    tables: Mapping[str, DataFrame], keys: list[str], classes: list[str], base: list[float], weights: Mapping[str, float] | None = None, min_score: float = 0.0
+    tables: Mapping[str, DataFrame], keys: list[str], classes: list[str], bases: Mapping[str, Mapping[str, float]], weights: Mapping[str, float] | None = None, min_score: float = 0.0
 ) -> DataFrame:
     """One row a block that any detector has: evidence multiplied, decision and score.
 
     A table has the keys, a probability column for each class it knows, and may
     have ``n`` (windows), ``rule`` (text of a rule that matched) and
-    ``rule_decision``. A class that a detector does not know is neutral there; a
-    block that a rule decided gives no evidence, and the rule of the first
+    ``rule_decision``. ``bases`` has the rates of each detector's classes; a class
+    that a detector does not know is neutral there, and a block of one detector
+    keeps its probabilities; a block that a rule decided gives no evidence, and the rule of the first
     detector decides where no evidence is left. All detectors meet in one
     aggregation, each key once from each.
     """
@@ -42,10 +43,11 @@ def merge_blocks(
 
     def evidence(k: int) -> list[Column]:
         known = F.col(f"_r{k}").isNull() & F.exists(f"_p{k}", lambda v: v.isNotNull())
-        return [F.when(known, F.coalesce(F.get(f"_p{k}", F.lit(i)), F.lit(b))) for i, b in enumerate(base)]
+        return [F.when(known, F.get(f"_p{k}", F.lit(i))) for i in range(len(classes))]
 
     by = [evidence(k) for k in range(len(names))]
-    merged = S.merge_evidence(by, base, [(weights or {}).get(n, 1.0) for n in names])
+    rates = [[bases.get(n, {}).get(c) for c in classes] for n in names]
+    merged = S.merge_evidence(by, rates, [(weights or {}).get(n, 1.0) for n in names])
     x = x.select(*x.columns, *(m.alias(c) for m, c in zip(merged, classes, strict=True)))
     probs = [F.col(c) for c in classes]
     first = lambda c: F.coalesce(*(F.when(F.col(f"_r{k}").isNotNull(), F.col(f"_{c}{k}")) for k in range(len(names))))
@@ -69,9 +71,10 @@ def deepen(parent: DataFrame, child: DataFrame, keys: list[str], group: str) ->
     return x.withColumns({"decision": F.when(sure, F.col("_d")).otherwise(F.col("decision")), "path": path}).select(*parent.columns)
 
 
-def merge_held_out(tables: Mapping[str, DataFrame], unit: str, block: str, truth: str, classes: list[str], base: list[float], weights: Mapping[str, float] | None = None) -> DataFrame:
+def merge_held_out(tables: Mapping[str, DataFrame], unit: str, block: str, truth: str, classes: list[str], bases: Mapping[str, Mapping[str, float]], weights: Mapping[str, float] | None = None) -> DataFrame:
     """Held-out window predictions of detectors as blocks: means multiplied, the most frequent truth (least of equals), windows counted."""
     keys = [unit, block]
-    means = {n: t.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in classes), F.count(classes[0]).alias("n")) for n, t in tables.items()}
+    known = {n: [c for c in classes if c in t.columns] for n, t in tables.items()}
+    means = {n: t.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in known[n]), F.count(known[n][0]).alias("n")) for n, t in tables.items()}
     truths = reduce(DataFrame.unionByName, [t.select(*keys, truth) for t in tables.values()]).groupBy(*keys).agg(F.mode(truth, True).alias("truth"))
-    return merge_blocks(means, keys, classes, base, weights).join(truths, keys)
+    return merge_blocks(means, keys, classes, bases, weights).join(truths, keys)

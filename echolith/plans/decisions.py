@@ -136,8 +136,10 @@ def requires_na(spark, d):
 
 def merge_evidence(spark, d):
     v = P.block_vectors(M.predictions(spark, d), [F.col("grp"), S.floor_to(F.col("t_us"), 86_400 * S.US).alias("block_us")], ["click", "whistle"], C)
-    by = [[F.when(F.col(f"has_{t}") > 0, F.col(f"{t}|{c}")) for c in C] for t in ("click", "whistle")]
-    merged = S.merge_evidence(by, [0.3, 0.3, 0.4])
+    click = [F.when(F.col("has_click") > 0, F.col(f"click|{c}")) for c in C]
+    two = F.col("whistle|C1") + F.col("whistle|C2")  # whistles do not know the third class
+    whistle = [*(F.when(F.col("has_whistle") > 0, F.col(f"whistle|{c}") / two) for c in C[:2]), F.lit(None).cast("double")]
+    merged = S.merge_evidence([click, whistle], [[0.3, 0.3, 0.4], [0.45, 0.55, None]], [1.0, 0.5])
     return v.select("grp", "block_us", *(F.round(m, 9).alias(c) for m, c in zip(merged, C, strict=True)))
 
 
@@ -209,10 +211,8 @@ _TYPES = ", ".join(
 _AVGS = ", ".join(f"""coalesce(avg({c}) FILTER (voc_type = '{t}'), 0) AS "a_{t}_{c}" """ for t in M.TYPES for c in C)
 _NS = ", ".join(f"count(*) FILTER (voc_type = '{t}') AS n_{t}" for t in M.TYPES)
 _DAY = "t_us // 86400000000 * 86400000000"
-_ML = ", ".join(
-    f"(ln({b}) + CASE WHEN n_click > 0 THEN ln(greatest(\"a_click_{c}\", 1e-9) / {b}) ELSE 0 END + CASE WHEN n_whistle > 0 THEN ln(greatest(\"a_whistle_{c}\", 1e-9) / {b}) ELSE 0 END) AS l_{c}"
-    for c, b in zip(C, (0.3, 0.3, 0.4), strict=True)
-)
+_ML = """CASE WHEN n_click > 0 THEN ln(greatest(ck1, 1e-9) / 0.3) ELSE 0 END + CASE WHEN n_whistle > 0 THEN 0.5 * ln(greatest(wh1, 1e-9) / 0.45) ELSE 0 END AS l1,
+CASE WHEN n_click > 0 THEN ln(greatest(ck2, 1e-9) / 0.3) ELSE 0 END + CASE WHEN n_whistle > 0 THEN 0.5 * ln(greatest(wh2, 1e-9) / 0.55) ELSE 0 END AS l2, CASE WHEN n_click > 0 THEN ln(greatest(ck3, 1e-9) / 0.4) ELSE 0 END AS l3"""
 
 _DESC = f"""{M.EVENTS_PRED}, l1 AS (SELECT grp, true_class, C1 AS a, C2 + C3 AS b, C2 / (C2 + C3) AS c, C3 / (C2 + C3) AS d FROM e),
 l2 AS (SELECT grp, true_class, CASE WHEN greatest(a, b) * abs(a - b) < 0.02 THEN 'uncertain' WHEN a >= b THEN 'C1' ELSE 'rest' END AS top, CASE WHEN greatest(c, d) * abs(c - d) < 0.01 THEN 'uncertain' WHEN c >= d THEN 'C2' ELSE 'C3' END AS low FROM l1),
@@ -261,9 +261,10 @@ SELECT block_us, n_all, n_click, round(m, 6) AS mean_value, CASE WHEN n_click >=
     "requires_na": f"""WITH {M.EV}, b AS (SELECT t_us // 3600000000 * 3600000000 AS block_us, count(*) FILTER (voc_type = 'click') AS n_click, avg(value) AS m FROM ev GROUP BY 1)
 SELECT block_us, CASE WHEN n_click >= 3 THEN 'toothed' ELSE 'baleen' END AS species, CASE WHEN n_click < 3 THEN 'n/a' WHEN m > 50 THEN 'A' ELSE 'B' END AS ecotype FROM b""",
     "merge_evidence": f"""WITH {M.PRED}, a0 AS (SELECT grp, {_DAY} AS block_us, {_AVGS}, {_NS} FROM wide GROUP BY grp, 2),
-a AS (SELECT grp, block_us, n_click, n_whistle, {', '.join(f'"a_{t}_{c}" / nullif("a_{t}_C1" + "a_{t}_C2" + "a_{t}_C3", 0) AS "a_{t}_{c}"' for t in ('click', 'whistle') for c in C)} FROM a0),
-l AS (SELECT grp, block_us, n_click + n_whistle > 0 AS seen, {_ML} FROM a), x AS (SELECT grp, block_us, seen, exp(l_C1 - greatest(l_C1, l_C2, l_C3)) AS a, exp(l_C2 - greatest(l_C1, l_C2, l_C3)) AS b, exp(l_C3 - greatest(l_C1, l_C2, l_C3)) AS c FROM l)
-SELECT grp, block_us, CASE WHEN seen THEN round(a / (a + b + c), 9) END AS C1, CASE WHEN seen THEN round(b / (a + b + c), 9) END AS C2, CASE WHEN seen THEN round(c / (a + b + c), 9) END AS C3 FROM x""",
+a AS (SELECT grp, block_us, n_click, n_whistle, {', '.join(f'"a_click_{c}" / nullif("a_click_C1" + "a_click_C2" + "a_click_C3", 0) AS ck{c[1]}' for c in C)}, {', '.join(f'"a_whistle_{c}" / nullif("a_whistle_C1" + "a_whistle_C2", 0) AS wh{c[1]}' for c in C[:2])} FROM a0),
+l AS (SELECT *, {_ML} FROM a), x AS (SELECT *, exp(l1 - greatest(l1, l2, l3)) AS a, exp(l2 - greatest(l1, l2, l3)) AS b, exp(l3 - greatest(l1, l2, l3)) AS c FROM l)
+SELECT grp, block_us, CASE WHEN n_click > 0 AND n_whistle > 0 THEN round(a / (a + b + c), 9) WHEN n_click > 0 THEN round(ck1, 9) WHEN n_whistle > 0 THEN round(wh1, 9) END AS C1,
+CASE WHEN n_click > 0 AND n_whistle > 0 THEN round(b / (a + b + c), 9) WHEN n_click > 0 THEN round(ck2, 9) WHEN n_whistle > 0 THEN round(wh2, 9) END AS C2, CASE WHEN n_click > 0 AND n_whistle > 0 THEN round(c / (a + b + c), 9) WHEN n_click > 0 THEN round(ck3, 9) WHEN n_whistle > 0 THEN 0 END AS C3 FROM x""",
     "cap_per_group": f"WITH {M.EV}, r AS (SELECT grp, detection_id, row_number() OVER (PARTITION BY grp ORDER BY detection_id * 7919 % 10007, detection_id) AS k FROM ev) SELECT grp, detection_id FROM r WHERE k <= 5",
     "top_labels": f"WITH {M.CL}, p AS (SELECT cluster, label, count(*) AS n FROM cl GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS k FROM p) SELECT cluster, label, n FROM r WHERE k <= 5",
     "year_share": "WITH o AS (SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderpriority, CAST(year AS BIGINT) AS year, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share FROM o",

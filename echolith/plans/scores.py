@@ -12,7 +12,7 @@ from . import mapping as M
 from .decisions import r6
 
 C = M.CLASSES
-_BASE = [0.3, 0.3, 0.4]
+_BASES = {"click": {"C1": 0.3, "C2": 0.3, "C3": 0.4}, "whistle": {"C1": 0.45, "C2": 0.55}}
 _DAY_US = 86_400 * S.US
 
 
@@ -62,7 +62,7 @@ def _detector(spark, d, kind, classes):
 def merged_detectors(spark, d):
     """The whistle detector does not know the third class."""
     tables = {"click": _detector(spark, d, "click", C), "whistle": _detector(spark, d, "whistle", C[:2])}
-    out = D.merge_blocks(tables, ["grp", "block_us"], C, _BASE, {"whistle": 0.5}, 0.05)
+    out = D.merge_blocks(tables, ["grp", "block_us"], C, _BASES, {"whistle": 0.5}, 0.05)
     # shares of small whole numbers lie on halves of the last digit; both engines round these up
     return out.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in (*C, "score")})
 
@@ -115,10 +115,8 @@ def _side(kind: str, classes: list[str]) -> str:
     return f"SELECT grp, t_us - t_us % {_DAY_US} AS block_us, {means}, count(*) AS n, min(detection_id) % 11 = 0 AS ruled FROM wide WHERE voc_type = '{kind}' GROUP BY ALL"
 
 
-_LOGS = ", ".join(
-    f"ln({b}) + CASE WHEN NOT a.ruled THEN ln(greatest(a.{c}, 1e-9) / {b}) ELSE 0 END" + (f" + CASE WHEN NOT b.ruled THEN 0.5 * ln(greatest(b.{c}, 1e-9) / {b}) ELSE 0 END" if c != "C3" else "") + f" AS l{k}"
-    for k, (c, b) in enumerate(zip(C, _BASE, strict=True))
-)
+_LOGS = """CASE WHEN sa THEN ln(greatest(a0, 1e-9) / 0.3) ELSE 0 END + CASE WHEN sb THEN 0.5 * ln(greatest(b0, 1e-9) / 0.45) ELSE 0 END AS l0,
+CASE WHEN sa THEN ln(greatest(a1, 1e-9) / 0.3) ELSE 0 END + CASE WHEN sb THEN 0.5 * ln(greatest(b1, 1e-9) / 0.55) ELSE 0 END AS l1, CASE WHEN sa THEN ln(greatest(a2, 1e-9) / 0.4) ELSE 0 END AS l2"""
 
 SQL = {
     "class_scores": f"WITH {_CS} SELECT label, n, n_predicted, n_correct, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM cs",
@@ -129,9 +127,10 @@ SQL = {
     "leave_out_skill": f"""WITH {_DEC}, v AS (SELECT t, CASE WHEN greatest(C1, C2, C3) < 0.5 THEN 'uncertain' WHEN C1 >= C2 THEN 'C1' ELSE 'C2' END AS v FROM x WHERE t <> 'C3'), y AS (SELECT t, count(*) AS n, count(*) FILTER (v <> 'uncertain') AS d, count(*) FILTER (v = t) AS c FROM v GROUP BY t),
 z AS (SELECT *, c / nullif(d, 0) AS r, d / n * coalesce(c / nullif(d, 0), 0.5) + (1 - d / n) * 0.5 AS gain FROM y) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(d) / sum(n), 6) AS coverage, round(avg(r), 6) AS balanced_accuracy, round((avg(gain) - 0.5) / 0.5, 6) + 0.0 AS skill FROM z""",
     "merged_detectors": f"""WITH {M.PRED}, a0 AS ({_side('click', C)}), b0 AS ({_side('whistle', C[:2])}),
-j AS (SELECT coalesce(a.grp, b.grp) AS grp, coalesce(a.block_us, b.block_us) AS block_us, coalesce(a.n, 0) AS n_click, coalesce(b.n, 0) AS n_whistle, a.ruled AS ar, b.ruled AS br, coalesce(NOT a.ruled, false) OR coalesce(NOT b.ruled, false) AS seen, {_LOGS} FROM a0 a FULL JOIN b0 b ON a.grp = b.grp AND a.block_us = b.block_us),
-e AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1, exp(l2 - greatest(l0, l1, l2)) AS e2 FROM j),
-m AS (SELECT *, CASE WHEN seen THEN e0 / (e0 + e1 + e2) END AS C1, CASE WHEN seen THEN e1 / (e0 + e1 + e2) END AS C2, CASE WHEN seen THEN e2 / (e0 + e1 + e2) END AS C3 FROM e),
+j AS (SELECT coalesce(a.grp, b.grp) AS grp, coalesce(a.block_us, b.block_us) AS block_us, coalesce(a.n, 0) AS n_click, coalesce(b.n, 0) AS n_whistle, a.ruled AS ar, coalesce(NOT a.ruled, false) AS sa, coalesce(NOT b.ruled, false) AS sb, sa OR sb AS seen,
+a.C1 AS a0, a.C2 AS a1, a.C3 AS a2, b.C1 AS b0, b.C2 AS b1 FROM a0 a FULL JOIN b0 b ON a.grp = b.grp AND a.block_us = b.block_us), lg AS (SELECT *, {_LOGS} FROM j),
+e AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1, exp(l2 - greatest(l0, l1, l2)) AS e2 FROM lg),
+m AS (SELECT *, CASE WHEN sa AND sb THEN e0 / (e0 + e1 + e2) WHEN sa THEN a0 WHEN sb THEN b0 END AS C1, CASE WHEN sa AND sb THEN e1 / (e0 + e1 + e2) WHEN sa THEN a1 WHEN sb THEN b1 END AS C2, CASE WHEN sa AND sb THEN e2 / (e0 + e1 + e2) WHEN sa THEN a2 WHEN sb THEN 0 END AS C3 FROM e),
 g AS (SELECT *, list_reverse_sort([C1, C2, C3])[1] * (list_reverse_sort([C1, C2, C3])[1] - list_reverse_sort([C1, C2, C3])[2]) AS score FROM m),
 k AS (SELECT *, CASE WHEN NOT seen THEN 'C9' WHEN score < 0.05 THEN 'uncertain' WHEN C1 >= C2 AND C1 >= C3 THEN 'C1' WHEN C2 >= C3 THEN 'C2' ELSE 'C3' END AS decision FROM g)
 SELECT grp, block_us, n_click, n_whistle, round(C1 + 1e-10, 6) AS C1, round(C2 + 1e-10, 6) AS C2, round(C3 + 1e-10, 6) AS C3, CASE WHEN seen THEN round(score + 1e-10, 6) END AS score, CASE WHEN NOT seen THEN CASE WHEN ar THEN 'click' ELSE 'whistle' END || ': least % 11 == 0' END AS rule, decision,

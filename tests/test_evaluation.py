@@ -114,13 +114,13 @@ def test_typical_units_do_not_overlap(spark):
 def test_merged_detectors(spark):
     a = spark.createDataFrame([(1, 0.8, 0.2, 3, None, None), (2, 0.9, 0.1, 1, "x < 1", "q"), (3, 0.5, 0.5, 1, None, None)], "k int, A double, B double, n int, rule string, rule_decision string")
     w = spark.createDataFrame([(1, 0.6), (4, 0.9)], "k int, A double")
-    out = {r.k: r for r in detectors.merge_blocks({"x": a, "y": w}, ["k"], ["A", "B"], [0.5, 0.5], min_score=0.01).collect()}
-    p = 0.8 * 0.6 / (0.8 * 0.6 + 0.2 * 0.5)
+    out = {r.k: r for r in detectors.merge_blocks({"x": a, "y": w}, ["k"], ["A", "B"], {"x": {"A": 0.4, "B": 0.6}, "y": {"A": 0.5}}, min_score=0.01).collect()}
+    p = 2.0 * 1.2 / (2.0 * 1.2 + 0.2 / 0.6)
     assert out[1].A == pytest.approx(p) and out[1].decision == "A" and (out[1].n_x, out[1].n_y) == (3, 1)
     assert out[2].decision == "q" and out[2].rule == "x: x < 1" and out[2].A is None and out[2].path == ""
-    assert out[3].decision == "uncertain" and out[4].A == pytest.approx(0.9 / 1.4) and out[4].n_x == 0
+    assert out[3].decision == "uncertain" and (out[4].A, out[4].B) == (0.9, 0.0) and out[4].n_x == 0
     child = spark.createDataFrame([(1, "A1", "A1"), (3, "B1", "B1"), (4, "uncertain", "")], "k int, decision string, path string")
-    parent = detectors.merge_blocks({"x": a, "y": w}, ["k"], ["A", "B"], [0.5, 0.5], min_score=0.01)
+    parent = detectors.merge_blocks({"x": a, "y": w}, ["k"], ["A", "B"], {"x": {"A": 0.4, "B": 0.6}, "y": {"A": 0.5}}, min_score=0.01)
     deep = {r.k: (r.decision, r.path) for r in detectors.deepen(parent, child, ["k"], "A").collect()}
     assert deep == {1: ("A1", "A > A1"), 2: ("q", ""), 3: ("uncertain", ""), 4: ("A", "A")}
 
@@ -128,6 +128,6 @@ def test_merged_detectors(spark):
 def test_merged_held_out(spark):
     a = spark.createDataFrame([("u", 0, "A", 0.8, 0.2), ("u", 0, "B", 0.6, 0.4)], "u string, k int, t string, A double, B double")
     w = spark.createDataFrame([("u", 0, "B", 0.5, 0.5), ("v", 1, "B", None, None)], "u string, k int, t string, A double, B double")
-    out = {r.u: r for r in detectors.merge_held_out({"x": a, "y": w}, "u", "k", "t", ["A", "B"], [0.5, 0.5]).collect()}
+    out = {r.u: r for r in detectors.merge_held_out({"x": a, "y": w}, "u", "k", "t", ["A", "B"], {"x": {"A": 0.5, "B": 0.5}, "y": {"A": 0.5, "B": 0.5}}).collect()}
     assert out["u"].truth == "B" and out["u"].A == pytest.approx(0.7) and out["u"].n_x == 2
     assert out["v"].A is None and out["v"].n_y == 0 and out["v"].decision == "no_detections"

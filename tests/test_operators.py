@@ -32,12 +32,29 @@ def test_array_transforms(spark):
 
 def test_merge_evidence_one_detector(spark):
     none = F.lit(None).cast("double")
-    a, b = S.merge_evidence([[F.lit(0.7), F.lit(0.3)], [none, none]], [0.5, 0.5])
-    assert one(spark, a) == pytest.approx(0.7)
-    a, b = S.merge_evidence([[none, none]], [0.5, 0.5])
+    a, b = S.merge_evidence([[F.lit(0.7), F.lit(0.3)], [none, none]], [[0.1, 0.9]] * 2, [0.5, 1])
+    assert (one(spark, a), one(spark, b)) == (0.7, 0.3)
+    a, b = S.merge_evidence([[none, none]], [[0.5, 0.5]])
     assert one(spark, b) is None
 
 
+def test_merge_evidence_of_two_detectors(spark):
+    """Whistles know X and Y, clicks X and Z; unequal bases leave the base rate out of the product."""
+    none = F.lit(None).cast("double")
+    whistle, click = [F.lit(0.8), F.lit(0.2), none], [F.lit(0.6), none, F.lit(0.4)]
+    bases = [[0.5, 0.5, None], [0.5, None, 0.5]]
+    got = [one(spark, c) for c in S.merge_evidence([whistle, click], bases)]
+    e = np.array([1.6 * 1.2, 0.4, 0.8])
+    assert got == pytest.approx(list(e / e.sum()))
+    got = [one(spark, c) for c in S.merge_evidence([whistle, click], bases, [1, 0])]
+    assert got == pytest.approx([1.6 / 3, 0.4 / 3, 1 / 3])
+    got = [one(spark, c) for c in S.merge_evidence([[none] * 3, click], bases)]
+    assert got == [0.6, 0, 0.4]
+    p, q = [F.lit(0.6), F.lit(0.3), F.lit(0.1)], [F.lit(0.5), F.lit(0.3), F.lit(0.2)]
+    got = [one(spark, c) for c in S.merge_evidence([p, q], [[0.3, 0.3, 0.4]] * 2)]
+    assert got == pytest.approx([0.748, 0.224, 0.028], abs=5e-4)
+
+
 def test_frames(spark):
     d = spark.createDataFrame([("k", 0, 100), ("k", 3900, 4200)], "key string, s long, e long")
     got = sorted((r.s, r.frame) for r in windows.frames(d, "key", "s", "e", 4000, 4000).collect())
