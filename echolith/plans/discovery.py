@@ -118,7 +118,7 @@ d AS (SELECT vec_id, c, round(1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m *
 SELECT vec_id, CASE WHEN d > 0.9 THEN -1 ELSE c END AS cluster, round(d, 6) + 0.0 AS distance FROM r WHERE n = 1""",
     "prepared_contours": f"WITH {_CON} SELECT vec_id, count(*) AS n_points, round(max(t) - min(t) + 0.01, 6) AS duration_s FROM con WHERE f >= 5000 AND f <= 11000 GROUP BY vec_id HAVING count(*) >= 3 AND max(t) - min(t) + CAST(0.01 AS DOUBLE) >= 0.5",
     "contour_histogram": f"WITH {_CON}, h AS (SELECT vec_id, CAST(floor((f - 2000) / 500) AS INTEGER) AS bin, count(*) AS c FROM con WHERE floor((f - 2000) / 500) BETWEEN 0 AND 23 GROUP BY ALL) SELECT vec_id, bin, round(c / sum(c) OVER (PARTITION BY vec_id), 6) AS share FROM h",
-    "sample_rate_consensus": f"""WITH {M.EV}, x AS (SELECT grp, t_us / 1e6 - 1704000000 AS sec FROM ev WHERE grp < 100), s AS (SELECT grp, regr_slope(sec * (96000 + grp % 3) + 5, sec) AS s FROM x GROUP BY 1), p AS (SELECT CASE WHEN abs(s - 96000) <= 480 THEN 96000.0 ELSE round(s) END AS v, count(*) AS c FROM s GROUP BY 1)
+    "sample_rate_consensus": f"""WITH {M.EV}, x AS (SELECT grp, t_us / 1e6 - 1704000000 AS sec FROM ev), s AS (SELECT grp, regr_slope(sec * (96000 + grp % 3) + 5, sec) AS s FROM x GROUP BY 1), p AS (SELECT CASE WHEN abs(s - 96000) <= 480 THEN 96000.0 ELSE round(s) END AS v, count(*) AS c FROM s GROUP BY 1)
 SELECT (SELECT CAST(v AS DOUBLE) FROM p ORDER BY c DESC, v LIMIT 1) AS value, count(*) AS n_values FROM p""",
     "timeline_cells": f"WITH {M.EV} SELECT strftime(make_timestamp(t_us), '%Y%m%d') AS day, t_us % 86400000000 // 3600000000 AS hour, voc_type, count(*) AS n FROM ev GROUP BY ALL",
     "feature_stats": "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY 1",
