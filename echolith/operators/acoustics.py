@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The measures' names.
 CONTOUR = (
-    "duration_s start_freq_hz end_freq_hz min_freq_hz max_freq_hz freq_range_hz mean_freq_hz std_freq_hz q1_freq_hz q2_freq_hz q3_freq_hz"
-    " time_of_min_freq_rel time_of_max_freq_rel slope_hz_s linreg_slope_hz_s quad_curvature mean_abs_slope_hz_s std_slope_hz_s frac_up frac_down n_inflections inflections_per_s"
+    "duration_s start_freq_hz end_freq_hz min_freq_hz max_freq_hz freq_range_hz mean_freq_hz std_freq_hz freq_at_quarter_hz freq_at_half_hz freq_at_threequarter_hz"
+    " time_of_min_freq_rel time_of_max_freq_rel overall_slope_hz_s linreg_slope_hz_s quad_curvature mean_abs_slope_hz_s std_slope_hz_s frac_up frac_down n_inflections inflections_per_s"
 ).split()
 
 
@@ -29,7 +30,7 @@ def contour_measures(t: np.ndarray, f: np.ndarray, slice_s: float) -> list[float
     share = lambda m: float(m.mean()) if len(m) else 0.0
     return [
         long, float(f[0]), float(f[-1]), float(f.min()), float(f.max()), float(f.max() - f.min()), float(f.mean()), float(f.std()), *q,
-        rel(int(f.argmin())), rel(int(f.argmax())), (float(f[-1]) - float(f[0])) / span if span else 0.0, line, quad,
+        rel(int(f.argmin())), rel(int(f.argmax())), (float(f[-1]) - float(f[0])) / long if long else 0.0, line, quad,
         share(np.abs(slopes)), float(slopes.std()) if len(slopes) else 0.0, share(slopes > 0), share(slopes < 0), float(inflections), inflections / long if long else 0.0,
     ]
 

@@ -108,22 +108,27 @@ def _incomplete(x: float, a: float, b: float) -> float:
 
 
 def binary_verdicts(df: DataFrame, cluster: str, unit: str, positive: str, cap: int = 50, prior: float = 10.0, ci: float = 0.9, min_units: int = 2) -> DataFrame:
-    """Verdict of each cluster on a yes/no label: shrunk share, Beta interval against the base rate, support."""
-    per = df.groupBy(cluster, unit, positive).agg(F.least(F.count("*"), F.lit(cap)).alias("c"))
+    """Verdict of each cluster on a yes/no label: share as it is (raw) and shrunk, Beta interval against the base rate, support.
+
+    Rows without cluster (-1) or label count nowhere; a cluster without labelled rows has the base rate and is uncertain.
+    """
+    held = df.filter(F.col(cluster) >= 0)
+    per = held.filter(F.col(positive).isNotNull()).groupBy(cluster, unit, positive).agg(F.least(F.count("*"), F.lit(cap)).alias("_c"))
     stats = per.groupBy(cluster).agg(
-        F.sum(F.when(F.col(positive), F.col("c")).otherwise(0)).alias("k"), F.sum("c").alias("n"),
+        F.sum(F.when(F.col(positive), F.col("_c")).otherwise(0)).alias("k"), F.sum("_c").alias("n"),
         F.countDistinct(F.when(F.col(positive), F.col(unit))).alias("units_yes"), F.countDistinct(F.when(~F.col(positive), F.col(unit))).alias("units_no"),
     )
-    base = per.agg((F.sum(F.when(F.col(positive), F.col("c")).otherwise(0)) / F.sum("c")).alias("base"))
-    stats = stats.crossJoin(F.broadcast(base))  # one row
+    base = per.agg((F.sum(F.when(F.col(positive), F.col("_c")).otherwise(0)) / F.sum("_c")).alias("base"))
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("k", "n", "units_yes", "units_no")]
+    stats = held.select(cluster).distinct().join(stats, cluster, "left").select(cluster, *counts).crossJoin(F.broadcast(base))  # one row
 
     @F.pandas_udf("low double, high double")
     def interval(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        ends = [(beta_quantile((1 - ci) / 2, x, y), beta_quantile(1 - (1 - ci) / 2, x, y)) for x, y in zip(a, b, strict=True)]
+        ends = [(beta_quantile((1 - ci) / 2, x, y), beta_quantile(1 - (1 - ci) / 2, x, y)) if x > 0 and y > 0 else (None, None) for x, y in zip(a, b, strict=True)]
         return pd.DataFrame(ends, columns=["low", "high"])
 
     a, b = F.col("k") + prior * F.col("base"), F.col("n") - F.col("k") + prior * (1 - F.col("base"))
-    out = stats.withColumn("p", a / (a + b)).withColumn("_i", interval(a, b)).select("*", "_i.low", "_i.high").drop("_i")
+    out = stats.withColumns({"raw": F.try_divide("k", "n"), "p": a / (a + b)}).withColumn("enrichment", F.try_divide("p", "base")).withColumn("_i", interval(a, b)).select("*", "_i.low", "_i.high").drop("_i")
     verdict = F.when((F.col("low") > F.col("base")) & (F.col("units_yes") >= min_units), "yes").when((F.col("high") < F.col("base")) & (F.col("units_no") >= min_units), "no")
     return out.withColumn("verdict", verdict.otherwise("uncertain"))
 

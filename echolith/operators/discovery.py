@@ -54,8 +54,9 @@ def spans(df: DataFrame, event: str, start: str, end: str, label: str) -> DataFr
 
 
 def class_shares(df: DataFrame, cluster: str, unit: str, label: str, cap: int = 50, prior: float = 10.0) -> DataFrame:
-    """(cluster, label, n, n_units, weight, p): capped counts, balanced by class and shrunk to equal shares."""
-    per = df.groupBy(cluster, unit, label).agg(F.least(F.count("*"), F.lit(cap)).alias("_c"))
+    """(cluster, label, n, n_units, weight, p): capped counts, balanced by class and shrunk to equal shares; rows without cluster (-1) or label don't count."""
+    held = df.filter((F.col(cluster) >= 0) & F.col(label).isNotNull())
+    per = held.groupBy(cluster, unit, label).agg(F.least(F.count("*"), F.lit(cap)).alias("_c"))
     n = per.groupBy(cluster, label).agg(F.sum("_c").alias("n"), F.count("*").alias("n_units"))
     total = n.groupBy(label).agg(F.sum("n").alias("_t"))
     k = F.count("*").over(Window.partitionBy())  # a row for each class
@@ -66,7 +67,10 @@ def class_shares(df: DataFrame, cluster: str, unit: str, label: str, cap: int =
 
 
 def class_verdicts(shares: DataFrame, cluster: str, label: str, prior: float = 10.0, ci: float = 0.9, min_units: int = 2) -> DataFrame:
-    """The class of each cluster whose lower Beta bound is above an equal share, with enough units; else uncertain."""
+    """The class of the greatest share, the least of equals, of those in a cluster whose lower Beta bound is above an equal share and that have enough units.
+
+    ``uncertain``, with p and low of the greatest share, where no class passes.
+    """
 
     @F.pandas_udf("double")
     def low(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -75,9 +79,10 @@ def class_verdicts(shares: DataFrame, cluster: str, label: str, prior: float = 1
     every = shares.select(label).distinct().count()
     total = F.sum(F.col("n") * F.col("weight")).over(Window.partitionBy(cluster)) + prior
     x = shares.withColumn("_a", F.col("p") * total).withColumn("low", low(F.col("_a"), total - F.col("_a")))
-    best = x.groupBy(cluster).agg(F.min(F.struct((-F.col("p")).alias("p"), F.col(label), F.col("low"), F.col("n_units"))).alias("b"))
-    ok = (F.col("b.low") > 1 / every) & (F.col("b.n_units") >= min_units)
-    return best.select(cluster, F.when(ok, F.col("b")[label].cast("string")).otherwise("uncertain").alias("verdict"), (-F.col("b.p")).alias("p"), "b.low")
+    ok = (F.col("low") > 1 / every) & (F.col("n_units") >= min_units)
+    one = F.struct((~ok).alias("other"), (-F.col("p")).alias("p"), F.col(label), F.col("low"))
+    best = x.groupBy(cluster).agg(F.min(one).alias("b"))
+    return best.select(cluster, F.when(F.col("b.other"), "uncertain").otherwise(F.col("b")[label].cast("string")).alias("verdict"), (-F.col("b.p")).alias("p"), "b.low")
 
 
 def summary(df: DataFrame, cluster: str, label: str, unit: str, top: int = 3) -> DataFrame:

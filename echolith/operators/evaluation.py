@@ -251,3 +251,46 @@ def leave_out_summary(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     per = per.withColumns({"r": recall, "gain": cover * F.coalesce(recall, F.lit(0.5)) + (1 - cover) * 0.5})
     return per.agg(F.sum("n").alias("n"), (F.sum("d") / F.sum("n")).alias("coverage"), F.avg("r").alias("balanced_accuracy"), ((F.avg("gain") - 0.5) / 0.5).alias("skill"))
 
+
+
+def decision_windows(df: DataFrame, day: str, t_us: str, truth: str, predicted: str, labels: tuple[str, str], minutes: list[int]) -> DataFrame:
+    """Held-out predictions of two labels as they are (``window``) and by clock-aligned blocks of a day: a row a label and an overall row.
+
+    A block's prediction is the strict majority of its decided rows, its truth
+    the more frequent label, the least of equals; rows whose prediction is
+    neither label are undecided, those whose truth is neither are not read.
+    Ratios without cases are null, as is an f1 with a part of 0; recalls, f1s
+    and gains over both labels are averaged where they exist, and undecided
+    rows are worth half in the skill.
+    """
+    yes, no = labels
+    x = df.filter(F.col(truth).isin(yes, no)).select(F.col(day).alias("_d"), F.col(t_us).alias("_t"), F.col(truth).alias("_y"), F.when(F.col(predicted).isin(yes, no), F.col(predicted)).alias("_p"))
+    single = x.select(F.lit("window").alias("decision_window"), "_y", "_p")
+    wide = x.select("*", F.explode(F.array(*map(F.lit, minutes))).alias("_m"))
+    n = lambda c, v: F.count_if(F.col(c) == v)
+    blocks = wide.groupBy("_m", "_d", F.floor(F.col("_t") / (F.col("_m") * F.lit(60_000_000).cast("long"))).alias("_b")).agg(n("_y", yes).alias("ty"), n("_y", no).alias("tn"), n("_p", yes).alias("py"), n("_p", no).alias("pn"))
+    true = F.when(F.col("ty") > F.col("tn"), yes).when(F.col("ty") < F.col("tn"), no).otherwise(min(labels))
+    voted = blocks.select(F.concat("_m", F.lit("min")).alias("decision_window"), true.alias("_y"), F.when(F.col("py") > F.col("pn"), yes).when(F.col("py") < F.col("pn"), no).alias("_p"))
+    both = single.unionByName(voted)
+    aggs = [F.count("*").alias("n")]
+    for k, v in enumerate(labels):
+        is_true, said = F.col("_y") == v, F.coalesce(F.col("_p") == v, F.lit(False))
+        aggs += [F.count_if(is_true).alias(f"n{k}"), F.count_if(is_true & F.col("_p").isNotNull()).alias(f"d{k}"), F.count_if(is_true & said).alias(f"c{k}"), F.count_if(said).alias(f"s{k}")]
+    t = both.groupBy("decision_window").agg(*aggs)
+    rows, recalls, f1s, gains = [], [], [], []
+    none = F.lit(None).cast("double")
+    for k, v in enumerate(labels):
+        size, decided, right, called = (F.col(f"{a}{k}") for a in "ndcs")
+        cover, recall, precision, accuracy = (F.try_divide(a, b) for a, b in ((decided, size), (right, size), (right, called), (right, decided)))
+        f1 = F.when((precision > 0) & (recall > 0), 2 * precision * recall / (precision + recall))
+        rows.append(F.struct(F.lit(v).alias("class"), size.alias("n_blocks"), cover.alias("coverage"), recall.alias("recall"), precision.alias("precision"), accuracy.alias("accuracy_when_predicted"), f1.alias("f1"), none.alias("skill")))
+        recalls.append(recall)
+        f1s.append(f1)
+        gains.append(F.when(size > 0, cover * F.coalesce(accuracy, F.lit(0.5)) + (1 - cover) * 0.5))
+    mean = lambda cs: F.try_divide(F.coalesce(cs[0], F.lit(0.0)) + F.coalesce(cs[1], F.lit(0.0)), cs[0].isNotNull().cast("int") + cs[1].isNotNull().cast("int"))
+    decided, right = F.col("d0") + F.col("d1"), F.col("c0") + F.col("c1")
+    rows.append(F.struct(
+        F.lit("overall").alias("class"), F.col("n").alias("n_blocks"), F.try_divide(decided, F.col("n")).alias("coverage"), mean(recalls).alias("recall"), none.alias("precision"),
+        F.try_divide(right, decided).alias("accuracy_when_predicted"), mean(f1s).alias("f1"), ((mean(gains) - 0.5) / 0.5).alias("skill"),
+    ))
+    return t.select("decision_window", F.inline(F.array(*rows)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolith.functions import scalars as S
+from echolith.operators import evaluation as E
 from echolith.operators import pathways as PW
 from echolith.operators import predictions as P
 
@@ -159,14 +160,10 @@ def year_share(spark, d):
 
 
 def decision_window_metrics(spark, d):
-    p = M.wide(spark, d).withColumn("predicted", S.argmax_class([F.col(c) for c in C], C))
-    t = p.select("*", F.explode(F.array(*map(F.lit, (1, 2, 5, 10, 20)))).alias("minutes")).withColumn("block", F.floor(F.col("t_us") / (F.col("minutes") * 60 * S.US)))
-    b = t.groupBy("minutes", "block", "grp").agg(*(F.avg(c).alias(c) for c in C), F.min("true_class").alias("true_class"))
-    b = b.withColumn("decision", S.decide([F.col(c) for c in C], C, 0.1))
-    ok = F.col("decision") != "uncertain"
-    right = ok & (F.col("decision") == F.col("true_class"))
-    out = b.groupBy("minutes").agg(F.count("*").alias("n"), (F.count_if(ok) / F.count("*")).alias("coverage"), F.try_divide(F.count_if(right), F.count_if(ok)).alias("precision"))
-    return r6(out.withColumn("skill", (F.col("precision") - F.lit(1 / 3)) / F.lit(1 - 1 / 3)), "coverage", "precision", "skill")
+    """Detections of the first two classes; a third class or a low score is undecided."""
+    x = M.wide(spark, d).withColumns({"predicted": S.decide([F.col(c) for c in C], C, 0.1), "day": S.day_of(F.col("t_us"))})
+    out = E.decision_windows(x, "day", "t_us", "true_class", "predicted", ("C1", "C2"), [5, 60, 720])
+    return r6(out, "coverage", "recall", "precision", "accuracy_when_predicted", "f1", "skill")
 
 
 def pathway_two_layers(spark, d):
@@ -268,10 +265,16 @@ CASE WHEN n_click > 0 AND n_whistle > 0 THEN round(b / (a + b + c), 9) WHEN n_cl
     "cap_per_group": f"WITH {M.EV}, r AS (SELECT grp, detection_id, row_number() OVER (PARTITION BY grp ORDER BY detection_id * 7919 % 10007, detection_id) AS k FROM ev) SELECT grp, detection_id FROM r WHERE k <= 5",
     "top_labels": f"WITH {M.CL}, p AS (SELECT cluster, label, count(*) AS n FROM cl GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS k FROM p) SELECT cluster, label, n FROM r WHERE k <= 5",
     "year_share": "WITH o AS (SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderpriority, CAST(year AS BIGINT) AS year, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share FROM o",
-    "decision_window_metrics": f"""WITH {M.PRED}, t AS (SELECT m.minutes, t_us // (m.minutes * 60000000) AS block, grp, avg(C1) AS C1, avg(C2) AS C2, avg(C3) AS C3, min(true_class) AS true_class FROM wide, (VALUES (1), (2), (5), (10), (20)) m(minutes) GROUP BY ALL),
-b AS (SELECT minutes, true_class, CASE WHEN {_SCORE} < 0.1 THEN 'uncertain' ELSE {_ARG} END AS decision FROM t),
-x AS (SELECT minutes, count(*) AS n, count(*) FILTER (decision <> 'uncertain') / count(*) AS coverage, count(*) FILTER (decision = true_class) / nullif(count(*) FILTER (decision <> 'uncertain'), 0) AS p FROM b GROUP BY minutes)
-SELECT minutes, n, round(coverage, 6) AS coverage, round(p, 6) AS precision, round((p - 1.0 / 3) / (1 - 1.0 / 3), 6) AS skill FROM x""",
+    "decision_window_metrics": f"""WITH {M.PRED}, x AS (SELECT t_us // 86400000000 AS day, t_us, true_class AS y, CASE WHEN {_SCORE} < 0.1 OR {_ARG} = 'C3' THEN 'uncertain' ELSE {_ARG} END AS p FROM wide WHERE true_class IN ('C1', 'C2')),
+k AS (SELECT m.m, day, t_us // (CAST(m.m AS BIGINT) * 60000000) AS blk, CASE WHEN count(*) FILTER (y = 'C2') > count(*) FILTER (y = 'C1') THEN 'C2' ELSE 'C1' END AS y,
+CASE WHEN 2 * count(*) FILTER (p = 'C1') > count(*) FILTER (p <> 'uncertain') THEN 'C1' WHEN 2 * count(*) FILTER (p = 'C2') > count(*) FILTER (p <> 'uncertain') THEN 'C2' ELSE 'uncertain' END AS p FROM x, (VALUES (5), (60), (720)) m(m) GROUP BY ALL),
+b AS (SELECT 'window' AS w, y, p FROM x UNION ALL SELECT m || 'min', y, p FROM k), l AS (SELECT DISTINCT w, c FROM b, (VALUES ('C1'), ('C2')) v(c)),
+q AS (SELECT l.w, l.c, count(*) FILTER (y = c) AS n, count(*) FILTER (y = c AND p <> 'uncertain') / nullif(count(*) FILTER (y = c), 0) AS cov, count(*) FILTER (y = c AND p = c) / nullif(count(*) FILTER (y = c), 0) AS rec,
+count(*) FILTER (y = c AND p = c) / nullif(count(*) FILTER (p = c), 0) AS prec, count(*) FILTER (y = c AND p = c) / nullif(count(*) FILTER (y = c AND p <> 'uncertain'), 0) AS acc FROM l JOIN b ON l.w = b.w GROUP BY ALL),
+f AS (SELECT *, CASE WHEN prec > 0 AND rec > 0 THEN 2 * prec * rec / (prec + rec) END AS f1, cov * coalesce(acc, 0.5) + (1 - cov) * 0.5 AS eff FROM q)
+SELECT w AS decision_window, c AS "class", n AS n_blocks, round(cov, 6) AS coverage, round(rec, 6) AS recall, round(prec, 6) AS precision, round(acc, 6) AS accuracy_when_predicted, round(f1, 6) AS f1, CAST(NULL AS DOUBLE) AS skill FROM f
+UNION ALL SELECT w, 'overall', n, round(cov, 6), round(rec, 6), NULL, round(acc, 6), round(f1, 6), round((eff - 0.5) / 0.5, 6) + 0.0 FROM (SELECT w, count(*) AS n, count(*) FILTER (p <> 'uncertain') / count(*) AS cov, count(*) FILTER (p = y) / nullif(count(*) FILTER (p <> 'uncertain'), 0) AS acc FROM b GROUP BY w)
+JOIN (SELECT w, avg(rec) AS rec, avg(f1) AS f1, avg(eff) AS eff FROM f GROUP BY w) USING (w)""",
     "pathway_two_layers": f"""WITH {M.EVENTS_PRED}, x AS (SELECT grp, C2, C3, CASE WHEN abs(C1 - (C2 + C3)) < 0.3 THEN 'uncertain' WHEN C1 > C2 + C3 THEN 'C1' ELSE 'C2+C3' END AS layer1 FROM e),
 y AS (SELECT grp, layer1, CASE WHEN layer1 <> 'C2+C3' THEN 'n/a' WHEN abs(C2 - C3) / (C2 + C3) < 0.02 THEN 'uncertain' WHEN C2 > C3 THEN 'C2' ELSE 'C3' END AS layer2 FROM x)
 SELECT grp, layer1, layer2, CASE WHEN layer2 IN ('n/a', 'uncertain') THEN layer1 ELSE layer2 END AS decision FROM y""",

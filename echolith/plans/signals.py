@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echolith.functions import scalars as S
 from echolith.operators import intervals as I
+from echolith.operators import library as LB
 from echolith.operators import windows as W
 from echolith.sources import tables as T
 
@@ -126,16 +127,12 @@ def feature_spec_stats(spark, d):
 
 
 def nearest_centroid(spark, d):
-    """Nearest class centroid by cosine; the centroids are one row a class and are counted before they are broadcast."""
-    e = M.clustered(spark, d).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dims = F.posexplode("v").alias("k", "x")
-    mean = e.select("label", dims).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    """Nearest class centroid by cosine."""
+    e = M.clustered(spark, d).select("vec_id", F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    mean = e.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
     cent = mean.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("c")).select(F.col("label").alias("nearest"), F.transform("c", lambda x: x["m"]).alias("c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = e.crossJoin(F.broadcast(cent)) if cent.count() <= 10_000 else e.join(cent)
-    dist = F.round(1 - dot("v", "c") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("c", "c"))), 6)
-    near = pairs.withColumn("distance", dist).groupBy("vec_id", "label").agg(F.min(F.struct("distance", "nearest")).alias("n"))
-    return near.select("vec_id", "label", "n.nearest", "n.distance")
+    near = LB.assign(e, "vec_id", "v", cent, "nearest", "c", carry=["label"])
+    return near.select("vec_id", "label", F.col("cluster").alias("nearest"), (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
 def _spectra(spark, d):
@@ -234,7 +231,7 @@ SELECT detection_id, coalesce(f.l, s.l, 'none') AS call_label, CASE WHEN f.l IS
     "sliding_windows": f"""WITH {M.EV}, g AS (SELECT *, t_us // 86400000000 * 86400000000 AS day, min(t_us) OVER (PARTITION BY t_us // 86400000000) // 60000000 * 60000000 AS g FROM ev),
 w AS (SELECT day, value, g + 120000000 * unnest(range(CAST(greatest(ceil((t_us - g - 240000000 + 1) / 120000000), 0) AS BIGINT), (end_us - 1 - g) // 120000000 + 1)) AS w_start FROM g)
 SELECT day, w_start, count(*) AS n, round(avg(value), 6) AS mean_value FROM w GROUP BY ALL""",
-    "frames_membership": f"""WITH {M.EV}, k AS (SELECT grp || '@' || (t_us // 86400000000 * 86400000000) AS key, detection_id, t_us, end_us FROM ev WHERE grp % 10 = 0),
+    "frames_membership": f"""WITH {M.EV}, k AS (SELECT grp || '@' || (t_us // 86400000000 * 86400000000) AS key, detection_id, t_us, end_us FROM ev),
 b AS (SELECT *, min(t_us) OVER (PARTITION BY key) AS t0, max(end_us) OVER (PARTITION BY key) AS t1 FROM k),
 x AS (SELECT key, detection_id, t0, t1, unnest([t_us, end_us]) AS t FROM b), f AS (SELECT key, detection_id, t0, t1, t, (t - t0) // 2000000 - unnest([0, 1]) AS frame FROM x)
 SELECT DISTINCT key, detection_id, frame, t0 + frame * 2000000 AS frame_start FROM f WHERE frame >= 0 AND t0 + frame * 2000000 < t1 AND t >= t0 + frame * 2000000 AND t < t0 + frame * 2000000 + 4000000""",

@@ -131,3 +131,36 @@ def test_merged_held_out(spark):
     out = {r.u: r for r in detectors.merge_held_out({"x": a, "y": w}, "u", "k", "t", ["A", "B"], {"x": {"A": 0.5, "B": 0.5}, "y": {"A": 0.5, "B": 0.5}}).collect()}
     assert out["u"].truth == "B" and out["u"].A == pytest.approx(0.7) and out["u"].n_x == 2
     assert out["v"].A is None and out["v"].n_y == 0 and out["v"].decision == "no_detections"
+
+
+def test_decision_windows_by_plain_counts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"d{k % 3}", int(t), str(y), str(p)) for k, (t, y, p) in enumerate(zip(rng.integers(0, 7_200_000_000, 300), rng.choice(["X", "Y", "Z"], 300), rng.choice(["X", "Y", "uncertain", "Z"], 300), strict=True))]
+    df = spark.createDataFrame(rows, "d string, t long, y string, p string")
+    got = {(r.decision_window, r["class"]): r for r in evaluation.decision_windows(df, "d", "t", "y", "p", ("X", "Y"), [10]).collect()}
+    assert set(w for w, _ in got) == {"window", "10min"}
+    held = [(d, t, y, p) for d, t, y, p in rows if y in "XY"]
+    blocks = {}
+    for d, t, y, p in held:
+        blocks.setdefault((d, t // 600_000_000), []).append((y, p))
+    voted = []
+    for b in blocks.values():
+        said = [p for _, p in b if p in ("X", "Y")]
+        most = [v for v in ("X", "Y") if 2 * said.count(v) > len(said)]
+        ys = [y for y, _ in b]
+        voted.append(("X" if ys.count("X") >= ys.count("Y") else "Y", most[0] if most else None))
+    for w, rs in (("window", [(y, p if p in ("X", "Y") else None) for *_, y, p in held]), ("10min", voted)):
+        gains, recalls, f1s = [], [], []
+        for v in ("X", "Y"):
+            n, dec, right, said = sum(y == v for y, _ in rs), sum(y == v and p is not None for y, p in rs), sum(y == p == v for y, p in rs), sum(p == v for _, p in rs)
+            r = got[w, v]
+            assert (r.n_blocks, r.skill) == (n, None)
+            assert (r.coverage, r.recall, r.precision, r.accuracy_when_predicted) == pytest.approx((dec / n, right / n, right / said, right / dec))
+            f1s.append(2 * right / (n + said))
+            assert r.f1 == pytest.approx(f1s[-1])
+            recalls.append(right / n)
+            gains.append(right / n + (1 - dec / n) / 2)
+        o = got[w, "overall"]
+        assert o.n_blocks == len(rs) and o.recall == pytest.approx(np.mean(recalls)) and o.f1 == pytest.approx(np.mean(f1s)) and o.skill == pytest.approx(2 * np.mean(gains) - 1)
+    empty = {(r.decision_window, r["class"]): r for r in evaluation.decision_windows(df.filter("y = 'X' AND p = 'uncertain'"), "d", "t", "y", "p", ("X", "Y"), [10]).collect()}
+    assert empty["window", "overall"].skill == 0 and empty["window", "Y"].recall is None and empty["10min", "X"].precision is None

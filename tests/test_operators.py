@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolith.functions import scalars as S
-from echolith.operators import acoustics, clusters, intervals, models, predictions, windows
+from echolith.operators import acoustics, clusters, discovery, intervals, models, predictions, windows
 from echolith.sources import tables
 from echolith.streaming import blocks
 
@@ -126,6 +126,33 @@ def test_contour_measures():
     t = np.arange(5) * 0.1
     m = dict(zip(acoustics.CONTOUR, acoustics.contour_measures(t, 1000 + 100 * t, 0.1), strict=True))
     assert m["duration_s"] == pytest.approx(0.5) and m["linreg_slope_hz_s"] == pytest.approx(100) and m["frac_up"] == 1
+    assert m["overall_slope_hz_s"] == pytest.approx(40 / 0.5)  # over the duration, which includes one slice
+
+
+def test_verdicts_need_units_and_leave_out_unassigned(spark):
+    rows = [(0, "d1", True)] * 38 + [(0, "d1", False)] * 2 + [(1, "d1", False)] * 38 + [(1, "d1", True)] * 2
+    rows += [(-1, "d2", True)] * 50 + [(0, "d3", None)] * 20 + [(2, "d1", None)]
+    df = spark.createDataFrame(rows, "c int, u string, y boolean")
+    out = {r.c: r for r in clusters.binary_verdicts(df, "c", "u", "y", min_units=2).collect()}
+    assert set(out) == {0, 1, 2} and all(r.verdict == "uncertain" and r.base == 0.5 for r in out.values())
+    out = {r.c: r for r in clusters.binary_verdicts(df, "c", "u", "y", min_units=1).collect()}
+    assert (out[0].verdict, out[1].verdict, out[2].verdict) == ("yes", "no", "uncertain")
+    assert out[0].raw == pytest.approx(0.95) and out[0].p == pytest.approx(43 / 50) and out[0].enrichment == pytest.approx(43 / 25)
+    assert out[2].raw is None and out[2].p == pytest.approx(0.5) and out[2].n == 0
+
+
+def test_class_verdict_of_those_that_pass(spark):
+    """The greatest share lacks units; the next passes the bound and has them."""
+    rows = [(0, f"u{k}", "B") for k in range(2) for _ in range(45)] + [(0, "u9", "A")] * 50
+    rows += [(1, f"v{k}", c) for k in range(4) for c in "CD" for _ in range(40)] + [(1, "v1", "A")] * 10 + [(1, "v1", "B")] * 50
+    rows += [(-1, "u1", "A")] * 30 + [(0, "u1", None)] * 30
+    df = spark.createDataFrame(rows, "c int, u string, y string")
+    shares = discovery.class_shares(df, "c", "u", "y", 100)
+    p = {(r.c, r.y): r.p for r in shares.collect()}
+    assert set(y for _, y in p) == set("ABCD") and p[0, "A"] > p[0, "B"] > 0.25
+    out = {r.c: r for r in discovery.class_verdicts(shares, "c", "y").collect()}
+    assert out[0].verdict == "B" and out[0].p == pytest.approx(p[0, "B"])
+    assert {r.verdict for r in discovery.class_verdicts(shares, "c", "y", min_units=9).collect()} == {"uncertain"}
 
 
 def test_annotations(spark, tmp_path):
