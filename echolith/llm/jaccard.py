@@ -199,7 +199,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = (np.take_along_axis(s, j // 2, 1) >> np.where(j % 2, 0, 4).astype(np.uint8)) & 15
         out = _mix(path[at][:, None] * np.uint64(0x9E3779B97F4A7C15) + _SEED[j] + value)
         row = pa.array(np.repeat(np.arange(len(at)), SPLITS))
-        yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), b.column(1).take(row), b.column(2).take(row), b.column(3).take(row)], ["path", "was", "node", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), *(b.column(k).take(row) for k in range(4))], ["path", "parent", "was", "node", "sketch"])
 
 
 def _in_blocks(rows: DataFrame, size: Column, most: int) -> DataFrame:
@@ -217,25 +217,36 @@ def _edges(rows: DataFrame, size: str) -> DataFrame:
     return ready.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(_compare, "u binary, v binary")
 
 
-def _sized(rows: DataFrame, name: str) -> DataFrame:
-    """rows of the paths that several nodes share, with their number n; a path of very many is met in several tasks."""
-    several = durable(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), name)
+def _sized(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """rows of the paths in several, with their number n; a path of very many is met in several tasks."""
     return dealt_join(rows, several, "path", heavy_keys(several, "path"), ["node"])
 
 
 def similar_edges(reps: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest of the sets that meet on a chosen path and have similar sketches."""
+    """(u, v): a spanning forest of the sets that meet on a chosen path and have similar sketches.
+
+    A large bucket is split on further tokens. Where its longer paths that keep
+    over half of it would together take more comparisons than the bucket itself
+    (near copies agree on every token), the bucket is compared as it is, once,
+    in the place of all its paths.
+    """
     met = reps.select(F.explode("paths").alias("path"), "node").distinct()
-    rows = _sized(met, "paths").join(reps.select("node", "sketch"), "node").select("path", "n", "node", "sketch")
+    several = durable(met.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "paths")
+    rows = _sized(met, several).join(reps.select("node", "sketch"), "node").select("path", "n", "node", "sketch")
     rows = durable(rows, "buckets")
     edges = _edges(rows.filter(F.col("n") <= LIMIT), "n")
     large = rows.filter(F.col("n") > LIMIT)
     for _ in range(ROUNDS):
         if large.isEmpty():
             return edges
-        longer = durable(large.mapInArrow(_split, "path long, was long, node binary, sketch binary").distinct(), "split")
-        rows = _sized(longer, "paths")
-        hard = (F.col("n") > LIMIT) & (F.col("n") > 0.5 * F.col("was"))
+        longer = durable(large.mapInArrow(_split, "path long, parent long, was long, node binary, sketch binary").distinct(), "split")
+        several = durable(longer.groupBy("path").agg(F.count("*").alias("n"), F.min("parent").alias("of"), F.min("was").alias("_was")).filter("n > 1"), "paths")
+        hard = (F.col("n") > LIMIT) & (F.col("n") > 0.5 * F.col("_was"))
+        squares = several.filter(hard).groupBy(F.col("of").alias("path")).agg(F.sum(F.col("n").cast("double") ** 2).alias("all"), F.min("_was").alias("w"))
+        whole = durable(squares.filter(F.col("all") >= F.col("w").cast("double") ** 2).select("path", F.col("w").alias("n")), "whole")
+        edges = edges.unionByName(_edges(_sized(large.drop("n"), whole), "n"))
+        rest = several.join(whole.select(F.col("path").alias("of")), "of", "left_anti").select("path", "n", "_was")
+        rows = _sized(longer.select("path", "node", "sketch"), rest)
         edges = edges.unionByName(_edges(rows.filter((F.col("n") <= LIMIT) | hard), "n"))
         large = durable(rows.filter((F.col("n") > LIMIT) & ~hard).select("path", "n", "node", "sketch"), "large")
     return edges.unionByName(_edges(large, "n"))
