@@ -111,15 +111,19 @@ def binary_verdicts(df: DataFrame, cluster: str, unit: str, positive: str, cap:
     """Verdict of each cluster on a yes/no label: share as it is (raw) and shrunk, Beta interval against the base rate, support.
 
     Rows without cluster (-1) or label count nowhere; a cluster without labelled rows has the base rate and is uncertain.
+    The base rate caps a unit's rows over its clusters together. Years are the first four characters of units, which are days then.
     """
     held = df.filter(F.col(cluster) >= 0)
-    per = held.filter(F.col(positive).isNotNull()).groupBy(cluster, unit, positive).agg(F.least(F.count("*"), F.lit(cap)).alias("_c"))
+    per = held.filter(F.col(positive).isNotNull()).groupBy(cluster, unit, positive).agg(F.count("*").alias("_n")).withColumn("_c", F.least("_n", F.lit(cap)))
+    year = F.substring(F.col(unit).cast("string"), 1, 4)
     stats = per.groupBy(cluster).agg(
         F.sum(F.when(F.col(positive), F.col("_c")).otherwise(0)).alias("k"), F.sum("_c").alias("n"),
         F.countDistinct(F.when(F.col(positive), F.col(unit))).alias("units_yes"), F.countDistinct(F.when(~F.col(positive), F.col(unit))).alias("units_no"),
+        F.countDistinct(F.when(F.col(positive), year)).alias("years_yes"), F.countDistinct(F.when(~F.col(positive), year)).alias("years_no"),
     )
-    base = per.agg((F.sum(F.when(F.col(positive), F.col("_c")).otherwise(0)) / F.sum("_c")).alias("base"))
-    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("k", "n", "units_yes", "units_no")]
+    whole = per.groupBy(unit, positive).agg(F.least(F.sum("_n"), F.lit(cap)).alias("_c"))
+    base = whole.agg(F.try_divide(F.sum(F.when(F.col(positive), F.col("_c")).otherwise(0)), F.sum("_c")).alias("base"))
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("k", "n", "units_yes", "units_no", "years_yes", "years_no")]
     stats = held.select(cluster).distinct().join(stats, cluster, "left").select(cluster, *counts).crossJoin(F.broadcast(base))  # one row
 
     @F.pandas_udf("low double, high double")

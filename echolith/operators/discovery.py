@@ -53,12 +53,16 @@ def spans(df: DataFrame, event: str, start: str, end: str, label: str) -> DataFr
     return per.groupBy(event).agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.min(F.struct((-F.col("_c")).alias("c"), F.col(label))).alias("_m")).select(event, "start", "end", F.col("_m")[label].alias("label"))
 
 
-def class_shares(df: DataFrame, cluster: str, unit: str, label: str, cap: int = 50, prior: float = 10.0) -> DataFrame:
-    """(cluster, label, n, n_units, weight, p): capped counts, balanced by class and shrunk to equal shares; rows without cluster (-1) or label don't count."""
+def class_shares(df: DataFrame, cluster: str, unit: str, label: str, cap: int = 50, prior: float = 10.0, across: bool = False) -> DataFrame:
+    """(cluster, label, n, n_units, weight, p): capped counts, balanced by class and shrunk to equal shares; rows without cluster (-1) or label don't count.
+
+    The weights' totals cap a unit's rows in each cluster, or, with ``across``, over its clusters together.
+    """
     held = df.filter((F.col(cluster) >= 0) & F.col(label).isNotNull())
-    per = held.groupBy(cluster, unit, label).agg(F.least(F.count("*"), F.lit(cap)).alias("_c"))
+    per = held.groupBy(cluster, unit, label).agg(F.count("*").alias("_n")).withColumn("_c", F.least("_n", F.lit(cap)))
     n = per.groupBy(cluster, label).agg(F.sum("_c").alias("n"), F.count("*").alias("n_units"))
-    total = n.groupBy(label).agg(F.sum("n").alias("_t"))
+    spread = per.groupBy(unit, label).agg(F.least(F.sum("_n"), F.lit(cap)).alias("n")) if across else n
+    total = spread.groupBy(label).agg(F.sum("n").alias("_t"))
     k = F.count("*").over(Window.partitionBy())  # a row for each class
     weights = total.withColumn("weight", F.sum("_t").over(Window.partitionBy()) / k / F.col("_t")).withColumn("_k", k)
     x = n.join(F.broadcast(weights), label).withColumn("_w", F.col("n") * F.col("weight"))

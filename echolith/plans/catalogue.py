@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, discovery, learned, scores, signals
+from . import application, decisions, discovery, learned, scores, signals
 
-QUERIES: dict = {**decisions.QUERIES, **signals.QUERIES, **discovery.QUERIES, **learned.QUERIES, **scores.QUERIES}
-ORACLE_SQL: dict = {**decisions.SQL, **signals.SQL, **discovery.SQL, **learned.SQL, **scores.SQL}
+QUERIES: dict = {**decisions.QUERIES, **signals.QUERIES, **discovery.QUERIES, **learned.QUERIES, **scores.QUERIES, **application.QUERIES}
+ORACLE_SQL: dict = {**decisions.SQL, **signals.SQL, **discovery.SQL, **learned.SQL, **scores.SQL, **application.SQL}

@@ -130,7 +130,7 @@ QUERIES = {name: globals()[name] for name in SQL}
 
 def class_verdicts(spark, d):
     """Beta bounds have no SQL form."""
-    return D.class_verdicts(D.class_shares(M.clustered(spark, d), "cluster", "unit", "label", 50), "cluster", "label")
+    return D.class_verdicts(D.class_shares(M.clustered(spark, d), "cluster", "unit", "label", 50, across=True), "cluster", "label")
 
 
 QUERIES["class_verdicts"] = class_verdicts
