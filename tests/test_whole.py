@@ -40,7 +40,7 @@ def test_every_unit(spark, monkeypatch, name):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(4, 16)) * 6
     rows = [(k, (centres[k % 4] + rng.normal(size=16) * 0.3).tolist(), k % 4) for k in range(2400)]
-    units = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5).localCheckpoint()
+    units = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
     monkeypatch.setattr(mapping, "read", lambda spark, d, table: units)
     whole = {r.vec_id: r.cluster for r in QUERIES[name](spark, "").collect()}
     assert len(whole) == 2400
@@ -58,7 +58,7 @@ def test_every_row_in_reclustered_blocks(spark, monkeypatch):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(4, 16)) * 6
     rows = [(k, (centres[k % 4] + rng.normal(size=16) * 0.3).tolist(), k // 400) for k in range(2400)]
-    units = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5).localCheckpoint()
+    units = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
     monkeypatch.setattr(mapping, "read", lambda spark, d, table: units)
     want = {(str(k % 5), f"L{k // 400 % 3}"): 2 for k in range(2400)}
     for most in (recluster.MAX_UNITS, 300):
