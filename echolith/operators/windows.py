@@ -60,3 +60,28 @@ def unit_ids(df: DataFrame, start_us: str, order: str) -> DataFrame:
     text = F.format_string("%d.%03d", F.floor(F.col(start_us) / 1_000_000), F.floor(F.pmod(F.col(start_us), F.lit(1_000_000)) / 1000))
     k = F.row_number().over(Window.partitionBy("_u").orderBy(order)) - 1
     return df.withColumn("_u", text).withColumn("_n", k).withColumn("unit_id", F.when(F.col("_n") == 0, F.col("_u")).otherwise(F.concat_ws("_", "_u", "_n"))).drop("_u", "_n")
+
+
+def click_windows(
+    clicks: DataFrame, day: str, t: str, length: int, step: int, max_ici: int, min_ici: int = 0, min_clicks: int = 2, measures: list[str] | None = None, profile: list[str] | None = None
+) -> DataFrame:
+    """Sliding windows of clicks (detection_id, t in integers) with their intervals and spectra.
+
+    Windows start on the minute of each day's first click; those of too few
+    clicks or without an interval go. Intervals are between neighbours in the
+    window. ``click_<measure>_median``, quartile ranges of peak_hz and
+    centroid_hz, and means of the profile's columns leave out missing values.
+    """
+    measures, profile = measures or [], profile or []
+    held = clicks.select("detection_id", day, t, F.col(t).alias("_a"), (F.col(t) + 1).alias("_z"), *measures, *profile)
+    placed = sliding(held, [day], "_a", "_z", length, step, 60_000_000)
+    x = intervals_between(placed, [day, "w_start"], t, max_ici, min_ici)
+    q = {m: F.percentile(F.when(~F.isnan(m), F.col(m)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for m in measures}
+    spectra = [F.get(q[m], F.lit(1)).alias(f"click_{m}_median") for m in measures]
+    spectra += [(F.get(q[m], F.lit(2)) - F.get(q[m], F.lit(0))).alias(f"click_{m}_iqr") for m in ("peak_hz", "centroid_hz") if m in measures]
+    means = [F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in profile]
+    out = interval_features(x, [day, "w_start"])
+    if spectra or means:
+        out = out.join(x.groupBy(day, "w_start").agg(*spectra, *means), [day, "w_start"])
+    kept = out.filter((F.col("n") >= max(min_clicks, 2)) & (F.col("n_intervals") > 0)).withColumn("w_end", F.col("w_start") + length)
+    return kept.withColumnsRenamed({"n": "n_clicks", **{f"ici_{k}": f"ici_{k}_s" for k in ("mean", "std", "median", "p05", "p95")}}).withColumns({f"ici_{k}_s": F.col(f"ici_{k}_s") / 1_000_000 for k in ("mean", "std", "median", "p05", "p95")})

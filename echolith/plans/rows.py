@@ -8,6 +8,7 @@ from echolith.functions import scalars as S
 from echolith.operators import predictions as P
 from echolith.operators import tables as T
 from echolith.operators import transfer as TL
+from echolith.operators import windows as W
 from echolith.operators.models import ForestParams
 
 from . import mapping as M
@@ -103,6 +104,14 @@ def transfer_curve(spark, d):
     return r6(TL.summary_curve(_events(spark, d), [k * 0.002 for k in range(11)]), "threshold", "event_accuracy", "mean_class_accuracy", "events_kept")
 
 
+def click_spectral_windows(spark, d):
+    """Windows of six hours every three; a click's measures are made of its value."""
+    e = M.detections(spark, d).filter("voc_type = 'click'").select("detection_id", S.day_of(F.col("t_us")).alias("day"), "t_us", F.when(F.col("detection_id") % 11 > 0, F.col("value") * 100).alias("peak_hz"), (F.col("value") + 7).alias("bw3_hz"), (F.col("value") / 1000).alias("csp_0_1"))
+    out = W.click_windows(e, "day", "t_us", 21_600 * S.US, 10_800 * S.US, 600 * S.US, 0, 3, ["peak_hz", "bw3_hz"], ["csp_0_1"])
+    exact = ["ici_mean_s", "ici_median_s", "ici_p05_s", "ici_p95_s"]  # 6 digits would round halves either way
+    return r6(out, *(c for c, t in out.dtypes if t == "double" and c not in exact)).withColumns({c: F.round(c, 9) for c in exact})
+
+
 _S = "list_reverse_sort([C1, C2, C3])"
 _SCORED = f"{_S}[1] * ({_S}[1] - {_S}[2])"
 _ARGMAX = "CASE WHEN C1 >= C2 AND C1 >= C3 THEN 'C1' WHEN C2 >= C3 THEN 'C2' ELSE 'C3' END"
@@ -130,6 +139,11 @@ SELECT call_id, c_start - 2000000 AS w_start, c_end + 2000000 AS w_end, call_lab
     "frame_table": f"""WITH {M.PRED}, i AS (SELECT {_TEXT} AS id, grp, true_class, avg(C1) AS C1, avg(C2) AS C2, avg(C3) AS C3 FROM wide GROUP BY ALL), g AS (SELECT grp, t_us, max(value) AS density FROM ev WHERE event_type <> 'purchase' GROUP BY ALL),
 f AS (SELECT {_TEXT} AS id, density FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY t_us) = 1), p AS (SELECT *, {_ARGMAX} AS predicted FROM i)
 SELECT p.id AS detection_id, grp AS event_id, true_class, {_ROUND}, predicted, predicted = true_class AS correct, round(greatest(C1, C2, C3), 6) AS confidence, round({_SCORED}, 6) AS score, density FROM p LEFT JOIN f ON f.id = p.id""",
+    "click_spectral_windows": f"""WITH {M.EV}, c AS (SELECT detection_id, strftime(make_timestamp(t_us), '%Y%m%d') AS day, t_us, CASE WHEN detection_id % 11 > 0 THEN value * 100 END AS peak, value + 7 AS bw, value / 1000 AS p FROM ev WHERE voc_type = 'click'),
+g AS (SELECT *, min(t_us) OVER (PARTITION BY day) // 60000000 * 60000000 AS g FROM c), k AS (SELECT *, unnest([0, 1]) AS j FROM g), w AS (SELECT *, g + ((t_us - g) // 10800000000 - j) * 10800000000 AS w_start FROM k WHERE (t_us - g) // 10800000000 >= j),
+l AS (SELECT *, t_us - lag(t_us) OVER (PARTITION BY day, w_start ORDER BY t_us, detection_id) AS d FROM w), i AS (SELECT *, CASE WHEN d <= 600000000 AND d > 0 THEN d / 1000000.0 END AS ici FROM l)
+SELECT day, w_start, w_start + 21600000000 AS w_end, count(*) AS n_clicks, count(ici) AS n_intervals, round(avg(ici), 9) AS ici_mean_s, round(CASE WHEN count(ici) = 1 THEN 0 ELSE stddev_samp(ici) END, 6) AS ici_std_s, round(median(ici), 9) AS ici_median_s, round(quantile_cont(ici, 0.05), 9) AS ici_p05_s, round(quantile_cont(ici, 0.95), 9) AS ici_p95_s,
+round(median(peak), 6) AS click_peak_hz_median, round(median(bw), 6) AS click_bw3_hz_median, round(quantile_cont(peak, 0.75) - quantile_cont(peak, 0.25), 6) AS click_peak_hz_iqr, round(avg(p), 6) AS csp_0_1 FROM i GROUP BY day, w_start HAVING count(*) >= 3 AND count(ici) > 0""",
     "events_without_frames": f"WITH {M.EV} SELECT grp AS event_id FROM ev GROUP BY grp HAVING count(*) FILTER (event_type = 'purchase') = 0",
     "event_table": f'WITH {M.PRED}, {_MEANS} SELECT event, round(C1, 6) AS C1, round(C2, 6) AS C2, round(C3, 6) AS C3, g AS "group", true_class, predicted, round(score, 6) AS score FROM te',
     "transfer_summary": f"""WITH {M.PRED}, {_MEANS}, p AS (SELECT true_class, count(*) AS n, count(*) FILTER (score >= 0.002) AS k, count(*) FILTER (score >= 0.002 AND predicted = true_class) AS r FROM te GROUP BY 1)

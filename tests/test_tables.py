@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echolith.operators import clusters, tables, transfer
+from echolith.operators import clusters, tables, transfer, windows
 from echolith.operators.models import ForestParams
 from echolith.sources import checks
 
@@ -126,3 +126,15 @@ def test_checks(spark):
     assert got.ok and {r.label: (r.n_groups, r.hours) for r in got.table.collect()} == {"A": (1, 1.0), "B": (2, 1.0)}
     one = checks.calls(p.withColumn("eco", F.lit("x")), others=["eco"])
     assert one.ok and one.info == {"label": ["A", "B"], "eco": ["x"]} and any(level == "warn" for level, _ in one.messages)
+
+
+def test_click_windows(spark):
+    """Windows of 10 s every 5 s from the first click's minute; missing measures are left out, a lone click gives no window."""
+    s = 1_000_000
+    rows = [(1, "d", 1 * s, 10.0), (2, "d", 2 * s, None), (3, "d", 4 * s, float("nan")), (4, "d", 7 * s, 30.0), (5, "e", 3 * s, 1.0)]
+    df = spark.createDataFrame(rows, "detection_id long, day string, t long, peak_hz double")
+    got = {r.w_start // s: r for r in windows.click_windows(df, "day", "t", 10 * s, 5 * s, 5 * s, measures=["peak_hz"]).collect()}
+    assert set(got) == {0}
+    r = got[0]
+    assert (r.day, r.w_end, r.n_clicks, r.n_intervals, r.ici_mean_s, r.click_peak_hz_median, r.click_peak_hz_iqr) == ("d", 10 * s, 4, 3, 2.0, 20.0, 10.0)
+    assert windows.click_windows(df, "day", "t", 10 * s, 5 * s, 5 * s, min_clicks=5).count() == 0
