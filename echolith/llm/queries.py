@@ -11,6 +11,7 @@ from .license_scan import op9_license_scans
 from .quality_model import op7_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .secret_scan import OP8_SQL, op8_secret_scans
+from .token_alignment import op12_token_alignment
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_license_scans": op9_license_scans,
     "op10_language": op10_language,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLE_SQL = {
