@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .context_mixing import op11_lm_scoring
 from .decontaminate import OP3_SQL, op3_decontamination
 from .html_extract import op5_html_extraction
 from .jaccard import op4_jaccard_join
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_license_scans": op9_license_scans,
     "op10_language": op10_language,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_token_alignment": op12_token_alignment,
 }
 

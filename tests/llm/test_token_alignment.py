@@ -53,9 +53,8 @@ def plain(rows):
             a, b, a_bytes, b_bytes = [], [], [], []
         a_ends, b_ends = (np.cumsum([len(x) for x in y]).tolist() for y in (a_bytes, b_bytes))
         cuts = sorted(set(a_ends) & set(b_ends))
-        grouped = []
-        for low, high in zip([0, *cuts], cuts, strict=False):
-            grouped.append(([k for k, e in zip(a, a_ends, strict=True) if low < e <= high], [k for k, e in zip(b, b_ends, strict=True) if low < e <= high]) if len(a) < 300 else (a[_at(a_ends, low) : _at(a_ends, high)], b[_at(b_ends, low) : _at(b_ends, high)]))
+        a_at, b_at = ({0: 0} | {e: k for k, e in enumerate(ends, 1)} for ends in (a_ends, b_ends))
+        grouped = [(a[a_at[low] : a_at[high]], b[b_at[low] : b_at[high]]) for low, high in zip([0, *cuts], cuts, strict=False)]
         found.append((doc_id, a, b, grouped, [(x, y) for g in grouped for x in g[0] for y in g[1]]))
     n = Counter(pair for f in found for pair in set(f[4]))
     top: dict = {}
@@ -66,10 +65,6 @@ def plain(rows):
         yield doc_id, len(a), len(b), len(grouped), len(links), sum(n[k] == top[k[0]] for k in links), sum(n[k] for k in links), hashlib.sha256(said.encode()).hexdigest() if said else ""
 
 
-def _at(ends, offset):
-    return ends.index(offset) + 1 if offset else 0
-
-
 @pytest.mark.parametrize("hot, part", [(1 << 20, 1 << 22), (0, 50), (40, 3)])
 def test_every_link(spark, tokenizers, monkeypatch, hot, part):
     """Broadcast pairs, joined pairs and texts in many parts give the same, which is all links counted plainly."""
