@@ -102,6 +102,28 @@ def block_decisions(df: DataFrame, group: str, width: int, classes: list[str], m
     return block.withColumn("score", decision_score(probs)).withColumn("decision", decide(probs, classes, min_score))
 
 
+def block_sums(wide: DataFrame, group: str, width: int, classes: list[str]) -> DataFrame:
+    """(group, block_us, voc_type, <class>_sum, <class>_n, n): what blocks_of_sums() needs of detections, so that parts can be added up."""
+    given = [(c, F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))) for c in classes]
+    sums = [x for c, p in given for x in (F.sum(p).alias(f"{c}_sum"), F.count(p).alias(f"{c}_n"))]
+    return wide.groupBy(group, floor_to(F.col("t_us"), width).alias("block_us"), "voc_type").agg(*sums, F.count("*").alias("n"))
+
+
+def blocks_of_sums(sums: DataFrame, group: str, classes: list[str], min_score: float, digits: int = 6) -> DataFrame:
+    """Decisions of blocks from the sums of any parts: the mean of the types' renormalised means.
+
+    Rounded before the decision, so that the order in which parts are added changes nothing. A type
+    without a probability other than 0 does not count; a block without any has null classes and ``no_data``.
+    """
+    keys = [group, "block_us"]
+    whole = sums.groupBy(*keys, "voc_type").agg(*(F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(c) for c in classes), F.sum("n").alias("n"))
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in classes[1:]), F.coalesce(F.col(classes[0]), F.lit(0.0)))
+    whole = whole.withColumn("_t", total)
+    block = whole.groupBy(*keys).agg(*(F.round(F.avg(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), F.col("_t"))), digits).alias(c) for c in classes), F.sum("n").alias("n_detections"))
+    probs = [F.col(c) for c in classes]
+    return block.withColumn("score", F.round(decision_score(probs), digits)).withColumn("decision", F.when(F.col("score") < min_score, "uncertain").otherwise(decide(probs, classes, 0.0)))
+
+
 def event_features(df: DataFrame, event: str, classifiers: list[str], classes: list[str]) -> DataFrame:
     """Features <classifier>|<class> (renormalised means, missing 0), n_<classifier>, first and last time."""
     wide = block_vectors(df, [F.col(event)], classifiers, classes).drop(*(f"has_{t}" for t in classifiers))

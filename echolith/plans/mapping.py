@@ -17,9 +17,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections_of(read(spark, sf_dir, "events"))
+
+
+def detections_of(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "view", "whistle").otherwise("other")
     start = micros("ts")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("detection_id"), F.col("user_id").alias("grp"), start.alias("t_us"), (start + (F.col("event_id") % 10 + 1) * US).alias("end_us"),
         kind.alias("voc_type"), "event_type", "value", "props",
     )
@@ -30,10 +34,19 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("detection_id").alias("call_id"), F.col("t_us").alias("c_start"), (F.col("t_us") + CALL_US).alias("c_end"), F.concat(F.lit("L"), F.col("detection_id") % 4).alias("call_label"))
 
 
+def _weights() -> list:
+    return [((F.col("detection_id") * (7 + 6 * k) + F.col("grp") * 3) % 97) + 1 for k in (1, 2, 3)]
+
+
+def wide_of(d: DataFrame) -> DataFrame:
+    """The class probabilities of detections as columns."""
+    w = _weights()
+    return d.select("detection_id", "grp", "t_us", "voc_type", *((x / (w[0] + w[1] + w[2])).alias(c) for c, x in zip(CLASSES, w, strict=True)))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table; the three class weights of a detection lie side by side, so it needs no shuffle."""
-    d = detections(spark, sf_dir)
-    w = [((F.col("detection_id") * (7 + 6 * k) + F.col("grp") * 3) % 97) + 1 for k in (1, 2, 3)]
+    d, w = detections(spark, sf_dir), _weights()
     total = w[0] + w[1] + w[2]
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("class"), (x / total).alias("probability")) for c, x in zip(CLASSES, w, strict=True))))
     return d.select("detection_id", "grp", "t_us", "voc_type", F.concat(F.lit("C"), 1 + F.col("grp") % 3).alias("true_class"), rows.alias("_p")).select("*", "_p.class", "_p.probability").drop("_p")
