@@ -25,9 +25,14 @@ def day_of(t_us: Column) -> Column:
     return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(t_us / (86_400 * US)).cast("int")), "yyyyMMdd")
 
 
+def known(x: Column) -> Column:
+    """x as a double, null where it is NaN: Spark ranks NaN above all numbers."""
+    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+
+
 def top_two(probs: list[Column]) -> tuple[Column, Column]:
-    """Greatest and second greatest; the second is 0 with one class; null where all are null."""
-    order = F.sort_array(F.filter(F.array(*probs), lambda x: x.isNotNull()), asc=False)
+    """Greatest and second greatest; the second is 0 with one class; NaN is as null; null where all are null."""
+    order = F.sort_array(F.filter(F.array(*map(known, probs)), lambda x: x.isNotNull()), asc=False)
     first = F.get(order, F.lit(0))
     return first, F.when(first.isNotNull(), F.coalesce(F.get(order, F.lit(1)), F.lit(0.0)))
 
@@ -38,9 +43,9 @@ def decision_score(probs: list[Column]) -> Column:
 
 
 def argmax_class(probs: list[Column], classes: list[str]) -> Column:
-    """The first class with the greatest probability; null where all are null."""
-    best = F.array_max(F.array(*probs))
-    return F.coalesce(*(F.when(p == best, F.lit(c)) for p, c in zip(probs, classes, strict=True)))
+    """The first class with the greatest probability; NaN is as null; null where all are null."""
+    best = F.array_max(F.array(*map(known, probs)))
+    return F.coalesce(*(F.when(known(p) == best, F.lit(c)) for p, c in zip(probs, classes, strict=True)))
 
 
 def decide(probs: list[Column], classes: list[str], min_score: float) -> Column:
@@ -54,15 +59,16 @@ def merge_evidence(by_detector: list[list[Column]], bases: list[list[float | Non
 
     Each detector has its own bases; a class without a base or probability there
     is neutral. A lone detector's probabilities stay as they are, 0 for classes
-    that it does not know; null where no detector has any.
+    that it does not know; null where no detector has any. NaN is as null.
     """
+    by_detector = [[known(p) for p in d] for d in by_detector]
     weights = weights or [1.0] * len(by_detector)
     has = [reduce(lambda a, b: a | b, [c.isNotNull() for c in d]) for d in by_detector]
     n = reduce(lambda a, b: a + b, [h.cast("int") for h in has])
     logs, lone = [], []
     for k in range(len(by_detector[0])):
-        known = [(d[k], b[k], w) for d, b, w in zip(by_detector, bases, weights, strict=True) if b[k] is not None]
-        parts = [F.when(p.isNotNull(), F.lit(float(w)) * F.ln(F.greatest(p, F.lit(1e-9)) / F.lit(b))).otherwise(F.lit(0.0)) for p, b, w in known]
+        rated = [(d[k], b[k], w) for d, b, w in zip(by_detector, bases, weights, strict=True) if b[k] is not None]
+        parts = [F.when(p.isNotNull(), F.lit(float(w)) * F.ln(F.greatest(p, F.lit(1e-9)) / F.lit(b))).otherwise(F.lit(0.0)) for p, b, w in rated]
         logs.append(reduce(lambda x, y: x + y, parts, F.lit(0.0)))
         lone.append(F.coalesce(*(F.when(h, F.coalesce(d[k], F.lit(0.0))) for h, d in zip(has, by_detector, strict=True))))
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
@@ -95,10 +101,10 @@ def normalise_sum(x: Column) -> Column:
 
 
 def rule_chain(rules: list[tuple[str, str, float, str]], default: Column) -> Column:
-    """First rule (column, comparison, value, decision) that holds; nulls never match."""
+    """First rule (column, comparison, value, decision) that holds; nulls and values that are not finite never match."""
     ops = {"<": "<", "<=": "<=", ">": ">", ">=": ">=", "==": "=", "!=": "<>"}
     out = None
     for col, op, value, then in rules:
-        test = F.expr(f"`{col}` {ops[op]} {value!r}")
+        test = F.expr(f"`{col}` {ops[op]} {value!r} AND abs(CAST(`{col}` AS DOUBLE)) < CAST('Infinity' AS DOUBLE)")
         out = F.when(test, F.lit(then)) if out is None else out.when(test, F.lit(then))
     return default if out is None else out.otherwise(default)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echolith.functions.scalars import known
 from echolith.operators.clusters import beta_quantile
 
 #: Values of a label that say nothing of a class.
@@ -26,13 +27,13 @@ def pool(units: DataFrame, label: str, day: str, annotated_days: DataFrame, incl
 
 
 def in_ranges(ranges: dict[str, tuple[float | None, float | None]]) -> Column:
-    """Every measure lies in its range; a null is kept."""
+    """Every measure lies in its range; null and NaN are kept."""
     out = F.lit(True)
     for c, (low, high) in ranges.items():
         if low is not None:
-            out = out & ~F.coalesce(F.col(c) < low, F.lit(False))
+            out = out & ~F.coalesce(known(F.col(c)) < low, F.lit(False))
         if high is not None:
-            out = out & ~F.coalesce(F.col(c) > high, F.lit(False))
+            out = out & ~F.coalesce(known(F.col(c)) > high, F.lit(False))
     return out
 
 
