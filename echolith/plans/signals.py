@@ -10,6 +10,7 @@ from echolith.operators import intervals as I
 from echolith.operators import library as LB
 from echolith.operators import windows as W
 from echolith.sources import tables as T
+from echolith.sources.sqlite import recording_events
 
 from . import mapping as M
 from .decisions import r6
@@ -172,9 +173,8 @@ def whistle_histogram(spark, d):
 def recordings_as_events(spark, d):
     """Per recorder the last signup is the start; the last row within 24 hours the end."""
     e = M.detections(spark, d)
-    s = e.filter("event_type = 'signup'").groupBy("grp").agg(F.max("t_us").alias("start_us"))
-    j = e.join(s, "grp").filter((F.col("t_us") >= F.col("start_us")) & (F.col("t_us") <= F.col("start_us") + 86_400 * S.US))
-    return j.groupBy("grp", "start_us").agg(F.max("t_us").alias("end_us")).filter("end_us > start_us")
+    out = recording_events(e, "grp", "t_us", "event_type = 'signup'", 86_400 * S.US)
+    return out.select("grp", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
 
 
 def json_predictions(spark, d):
