@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from echolith.functions.scalars import known
 from echolith.operators.clusters import beta_quantile
 
-#: Values of a label that say nothing of a class.
+#: Labels that say nothing of a class.
 NO_LABEL = ["none", "partial", "mixed", "untyped", "unknown", "unlabelled", "n/a", "nan", "", "AMBIGUOUS"]
 
 

@@ -27,6 +27,32 @@ def overlapping(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tup
     return hit.withColumn("overlap", F.least(e, v) - F.greatest(s, u)).drop("_bucket")
 
 
+def overlapping_any_length(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
+    """What overlapping() gives, for lengths from moments to years (whole numbers): no width to choose, no interval in many buckets.
+
+    An interval's level is the power of two that is its length or more. Of a pair, the longer one lies in the buckets of
+    its own level, three at most, and the shorter one in those of every level above its own that the other side has, so
+    rows grow by the number of levels (63 at most) whatever the lengths are.
+    """
+    found = []
+    for (left, own), (right, other), strict in (((a, a_span), (b, b_span), False), ((b, b_span), (a, a_span), True)):
+        level = lambda s: F.ceil(F.log2(F.greatest(F.col(s[1]) - F.col(s[0]), F.lit(1)))).cast("int")
+        long = right.withColumn("_l", level(other))
+        present = sorted(r[0] for r in long.select("_l").distinct().collect() if r[0] is not None)  # 63 at most
+        above = F.filter(F.array(*map(F.lit, present)).cast("array<int>"), lambda k: k > F.col("_own") if strict else k >= F.col("_own"))  # noqa: B023
+        short = left.withColumn("_own", level(own)).withColumn("_l", F.explode(above)).drop("_own")
+
+        def buckets(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
+            first, last = (F.floor(x / F.expr("shiftleft(1L, _l)")) for x in (F.col(span[0]), F.col(span[1]) - 1))
+            return df.withColumn(name, first).withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+
+        both = buckets(short, own, "_f1").join(buckets(long, other, "_f2"), ["_l", "_bucket"])
+        found.append(both.filter(F.col("_bucket") == F.greatest("_f1", "_f2")).drop("_l", "_bucket", "_f1", "_f2"))
+    (s, e), (u, v) = a_span, b_span
+    hit = found[0].unionByName(found[1]).filter((F.col(u) < F.col(e)) & (F.col(v) > F.col(s)))
+    return hit.withColumn("overlap", F.least(e, v) - F.greatest(s, u)).select(*a.columns, *b.columns, "overlap")
+
+
 def first_period(points: DataFrame, periods: DataFrame, key: str, t: str, start: str, end: str, order: list[str], width: int, keep: bool = True) -> DataFrame:
     """Each point with the first period that holds it (start < t < end); unmatched points stay if keep."""
     found = containing(points, periods, t, start, end, width, open_start=True)
@@ -111,3 +137,50 @@ def sessions(df: DataFrame, keys: list[str], start: str, end: str, max_gap: int)
     prior = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = df.withColumn("_new", F.coalesce((F.col(start) - prior > max_gap).cast("int"), F.lit(1)))
     return flagged.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with b's columns where the keys, nulls included, are the same; a row for each of a."""
+    other = b.toDF(*(f"_o_{c}" if c in keys else c for c in b.columns))
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return a.join(other, on, "left").drop(*(f"_o_{c}" for c in keys))
+
+
+def split_sessions(df: DataFrame, keys: list[str], start: str, end: str, max_gap: int, bucket: int) -> DataFrame:
+    """What sessions() gives, with the rows of a key dealt by time, so that no task gets all rows of a hot one.
+
+    Within a bucket of starts the running end and the number of sessions are local; what lies before it is one row a
+    bucket: the greatest end and the number of sessions begun until then.
+    """
+    at = [*keys, "_b"]
+    x = df.withColumn("_b", F.floor(F.col(start) / bucket))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    ends = x.groupBy(*at).agg(F.max(end).alias("_m"))
+    x = _same(x, ends.select(*at, F.max("_m").over(before).alias("_carry")), at)
+    local = Window.partitionBy(*at).orderBy(start, end)
+    prior = F.greatest(F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    x = x.withColumn("_new", F.coalesce((F.col(start) - prior > max_gap).cast("int"), F.lit(1)))
+    begun = x.groupBy(*at).agg(F.sum("_new").alias("_n"))
+    x = _same(x, begun.select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), at)
+    number = F.col("_offset") + F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("session", number).select(*df.columns, "session")
+
+
+def labelled_periods(windows: DataFrame, detector: str, label: str, start: str, end: str, max_gap: int, bucket: int, min_windows: int = 1) -> DataFrame:
+    """(event_id, label, start, end, detector, n_windows): windows of a detector with one label whose gaps are at most max_gap, as periods.
+
+    Periods of fewer windows go; windows without a label have no period. Ids are ``<label>_<detector>_0001`` in order of
+    starts over all periods, then of detectors and labels; they are numbered within buckets from an offset for each.
+    """
+    rows = windows.filter(F.col(label).isNotNull() & (F.col(label) != ""))
+    found = split_sessions(rows, [detector, label], start, end, max_gap, bucket)
+    p = found.groupBy(detector, label, "session").agg(F.min(start).alias("_s"), F.max(end).alias("_e"), F.count("*").alias("n_windows")).filter(F.col("n_windows") >= min_windows)
+    p = p.withColumn("_b", F.floor(F.col("_s") / bucket))
+    offset = F.coalesce(F.sum("_k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a bucket
+    p = _same(p, p.groupBy("_b").agg(F.count("*").alias("_k")).select("_b", offset.alias("_offset")), ["_b"])
+    number = F.col("_offset") + F.row_number().over(Window.partitionBy("_b").orderBy("_s", detector, label, "session"))
+    width = F.greatest(F.length(number.cast("string")), F.lit(4))
+    event = F.concat_ws("_", label, detector, F.lpad(number.cast("string"), width, F.lit("0")))
+    return p.select(event.alias("event_id"), F.col(label).alias("label"), F.col("_s").alias("start"), F.col("_e").alias("end"), F.col(detector).alias("detector"), "n_windows")

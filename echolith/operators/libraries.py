@@ -26,6 +26,7 @@ from echolith.operators.clusters import beta_quantile
 from echolith.operators.library import MAX_CENTROIDS
 from echolith.operators.pathways import OPEN, Layer, labels, layers
 from echolith.sources import sinks
+from echolith.sources.durable import cut
 
 #: Values of a block that rules may read, besides medians of the windows' measures.
 COUNTS = ("n_windows", "n_assigned")
@@ -158,9 +159,9 @@ def _within(tree: Layer, inside: Column | None = None) -> Iterator[tuple[Layer,
 
 
 def _gathered(parts: list[tuple[str, str, DataFrame, DataFrame]]) -> tuple[DataFrame, dict[tuple[str, str], list[float]]]:
-    """Stats of all nodes in one table, and their bases: a row a node comes to the driver."""
+    """Stats of all nodes in one stored table, and their bases: a row a node comes to the driver."""
     one = lambda d, n, x: x.select(F.lit(d).alias("detector"), F.lit(n).alias("layer"), F.col("cluster").cast("long").alias("cluster"), "p")
-    stats = reduce(DataFrame.unionByName, [one(d, n, s) for d, n, s, _ in parts])
+    stats = cut(reduce(DataFrame.unionByName, [one(d, n, s) for d, n, s, _ in parts]))
     rate = lambda d, n, r: r.select(F.lit(d).alias("d"), F.lit(n).alias("n"), F.array(*(c for c in r.columns if c.startswith("base"))).alias("b"))
     rows = reduce(DataFrame.unionByName, [rate(d, n, r) for d, n, _, r in parts]).collect()
     return stats, {(r["d"], r["n"]): list(r["b"]) for r in rows}

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from echolith.functions import scalars as S
 from echolith.operators import discovery as D
+from echolith.operators import held_out as H
+from echolith.operators import intervals as I
 from echolith.operators import libraries as L
 from echolith.operators import neighbours as N
+from echolith.operators import quantiles as Q
 from echolith.operators.pathways import Layer
 
 from . import mapping as M
@@ -75,7 +78,37 @@ def neighbour_map(spark, d):
     return N.neighbour_map(M.read(spark, d, "embeddings"), "vec_id", "embedding", _GRAPH, N.MapParams(steps=12))
 
 
-QUERIES = {f.__name__: f for f in (library_class_stats, library_blocks, missing_numbers, neighbour_graph, neighbour_map)}
+def grouped_quantiles(spark, d):
+    """Quartiles and tails of every type's values, a hot group among them."""
+    x = M.detections(spark, d).withColumn("kind", F.when(F.col("voc_type") != "other", F.col("voc_type")))
+    return r6(Q.exact_quantiles(x, ["kind"], "value", [0.005, 0.25, 0.5, 0.75, 0.995]), "share", "quantile")
+
+
+def _held_out(spark, d):
+    """Probabilities of detections by recorder, of every ninth none; their true class is another one in a third of the rows."""
+    n = F.col("detection_id")
+    x = M.wide_of(M.detections(spark, d)).withColumns({c: F.when(n % 9 != 0, F.col(c)) for c in M.CLASSES})
+    return x.withColumns({"unit": F.col("grp") % 60, "truth": F.concat(F.lit("C"), 1 + (F.col("grp") + (n % 3 == 0).cast("int")) % 3)})
+
+
+def held_out_levels(spark, d):
+    """Held-out rows of windows, blocks of six hours and units."""
+    return r6(H.levels(_held_out(spark, d), M.CLASSES, "unit", "t_us", "truth", 6 * 3600 * S.US), *M.CLASSES)
+
+
+def held_out_curve(spark, d):
+    """Coverage and accuracy of all levels at eleven thresholds."""
+    x = H.evaluate(_held_out(spark, d), M.CLASSES, "unit", "t_us", "truth", 6 * 3600 * S.US, thresholds=[k / 50 for k in range(11)])["curve"]
+    return r6(x, "threshold", "coverage", "accuracy", "balanced_accuracy")
+
+
+def labelled_periods(spark, d):
+    """Periods of detections of one type and class with gaps of at most two minutes and two detections or more."""
+    x = M.detections(spark, d).withColumn("label", F.when(F.col("grp") % 4 != 3, F.concat(F.lit("L"), F.col("grp") % 4)))
+    return I.labelled_periods(x, "voc_type", "label", "t_us", "end_us", 120 * S.US, 3600 * S.US, 2)
+
+
+QUERIES = {f.__name__: f for f in (grouped_quantiles, held_out_levels, held_out_curve, labelled_periods, library_class_stats, library_blocks, missing_numbers, neighbour_graph, neighbour_map)}
 
 _W = (
     M.EV
@@ -150,7 +183,30 @@ CASE WHEN below THEN sub_click ELSE 'n/a' END AS sub_click, CASE WHEN below THEN
 CASE WHEN below AND sub IN ('C1', 'C2') THEN 'AB > ' || sub WHEN ruled OR kind IN ('uncertain', 'no_detections') THEN '' ELSE kind END AS path, CASE WHEN below AND sub IN ('C1', 'C2') THEN sub ELSE kind END AS decision FROM s"""
 
 
+_HELD = (
+    M.PRED
+    + """, hx AS (SELECT grp % 60 AS unit, t_us // 21600000000 * 21600000000 AS block, 'C' || (1 + (grp + CASE WHEN detection_id % 3 = 0 THEN 1 ELSE 0 END) % 3) AS truth,
+CASE WHEN detection_id % 9 <> 0 THEN C1 END AS C1, CASE WHEN detection_id % 9 <> 0 THEN C2 END AS C2, CASE WHEN detection_id % 9 <> 0 THEN C3 END AS C3 FROM wide),
+hc AS (SELECT unit, block, truth, count(*) AS k FROM hx GROUP BY GROUPING SETS ((unit, block, truth), (unit, truth))),
+ht AS (SELECT unit, block, first(truth ORDER BY k DESC, truth) AS truth FROM hc GROUP BY unit, block),
+hm AS (SELECT unit, block, count(*) AS n_windows, count(C1) AS n_with_probs, avg(C1) AS C1, avg(C2) AS C2, avg(C3) AS C3 FROM hx GROUP BY GROUPING SETS ((unit, block), (unit))),
+hr AS (SELECT 'window' AS level, unit, block, truth, CAST(1 AS BIGINT) AS n_windows, CAST(CASE WHEN C1 IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_with_probs, C1, C2, C3 FROM hx
+UNION ALL SELECT CASE WHEN hm.block IS NULL THEN 'unit' ELSE 'block' END, hm.unit, hm.block, truth, n_windows, n_with_probs, C1, C2, C3 FROM hm JOIN ht ON hm.unit = ht.unit AND hm.block IS NOT DISTINCT FROM ht.block)"""
+)
+
 SQL = {
+    "grouped_quantiles": f"""WITH {M.EV}, k AS (SELECT CASE WHEN voc_type <> 'other' THEN voc_type END AS kind, value FROM ev WHERE value IS NOT NULL),
+s AS (SELECT unnest([0.005, 0.25, 0.5, 0.75, 0.995]) AS share), q AS (SELECT kind, quantile_cont(value, [0.005, 0.25, 0.5, 0.75, 0.995]) AS q, count(*) AS n FROM k GROUP BY kind)
+SELECT kind, CAST(round(share, 6) AS DOUBLE) AS share, round(q[list_position([0.005, 0.25, 0.5, 0.75, 0.995], share)], 6) AS quantile, n FROM q, s""",
+    "held_out_levels": f"WITH {_HELD} SELECT level, unit, block, truth, n_windows, n_with_probs, round(C1, 6) AS C1, round(C2, 6) AS C2, round(C3, 6) AS C3 FROM hr",
+    "held_out_curve": f"""WITH {_HELD}, s AS (SELECT level, truth, {_decide_sql(["C1", "C2", "C3"], M.CLASSES, 0)[1]} AS said, {_decide_sql(["C1", "C2", "C3"], M.CLASSES, 0)[0]} AS score FROM hr),
+t AS (SELECT unnest(range(11)) AS k), p AS (SELECT level, k, truth, count(*) AS n_all, count(*) FILTER (score >= k / 50.0) AS n, count(*) FILTER (score >= k / 50.0 AND said = truth) AS ok FROM s, t GROUP BY ALL)
+SELECT level, round(k / 50.0, 6) AS threshold, CAST(sum(n_all) AS BIGINT) AS n, round(sum(n) / sum(n_all), 6) AS coverage, round(sum(ok) / nullif(sum(n), 0), 6) AS accuracy, round(avg(ok / nullif(n, 0)), 6) AS balanced_accuracy FROM p GROUP BY level, k""",
+    "labelled_periods": f"""WITH {M.EV}, x AS (SELECT voc_type, 'L' || (grp % 4) AS label, t_us, end_us FROM ev WHERE grp % 4 <> 3),
+r AS (SELECT *, max(end_us) OVER (PARTITION BY voc_type, label ORDER BY t_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM x),
+n AS (SELECT *, sum(CASE WHEN t_us - p <= 120000000 THEN 0 ELSE 1 END) OVER (PARTITION BY voc_type, label ORDER BY t_us, end_us ROWS UNBOUNDED PRECEDING) AS s FROM r),
+g AS (SELECT voc_type, label, s, min(t_us) AS a, max(end_us) AS z, count(*) AS k FROM n GROUP BY ALL HAVING count(*) >= 2)
+SELECT label || '_' || voc_type || '_' || lpad(CAST(row_number() OVER (ORDER BY a, voc_type, label) AS VARCHAR), greatest(4, length(CAST(row_number() OVER (ORDER BY a, voc_type, label) AS VARCHAR))), '0') AS event_id, label, a AS start, z AS "end", voc_type AS detector, k AS n_windows FROM g""",
     "library_class_stats": f"""WITH {_W}, {_stats_sql("s", "SELECT cluster_kind AS cluster, unit, value AS label FROM w WHERE detector = 'whistle'", ["C1", "C2", "C3", "C4"])}
 SELECT CAST(cluster AS BIGINT) AS cluster, n0 + n1 + n2 + n3 AS n_labelled, {", ".join(f"round(p{k}, 6) AS p_{k + 1}, n{k} AS n_{k + 1}, u{k} AS units_{k + 1}" for k in range(4))} FROM s_p""",
     "library_blocks": _blocks_sql(),

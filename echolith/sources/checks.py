@@ -43,7 +43,7 @@ def _labels(check: Check, counts: DataFrame, label: str, least: int = 2) -> list
         if r["n_groups"] < least:
             check.add("warn", f"'{r[label]}' has {r['n_groups']} group(s); testing without one group needs {least}.")
     if len(rows) < 2:
-        check.add("error", "At least 2 classes are needed.")
+        check.add("error", "A classifier tells two or more labels apart; these rows have fewer.")
     check.info["classes"] = [str(r[label]) for r in rows]
     return rows
 
@@ -57,7 +57,7 @@ def feature_table(df: DataFrame, label: str, group: str, features: list[str], cl
     out.table = rows.groupBy(F.col(label).cast("string").alias(label)).agg(F.countDistinct(group).alias("n_groups"), F.count("*").alias("n_detections"))
     total = rows.agg(F.count("*").alias("n"), F.countDistinct(group).alias("g")).head()
     got = _labels(out, out.table, label)
-    out.messages.insert(0, ("ok", f"{total.n} detections in {total.g} groups, {len(got)} classes, {len(features)} features."))
+    out.messages.insert(0, ("ok", f"Rows: {total.n}. Groups: {total.g}. Labels: {len(got)}. Features: {len(features)}."))
     return out
 
 
@@ -109,7 +109,7 @@ def periods(df: DataFrame, label: str = "label", event: str = "event_id", start:
     if not r.n:
         return out.add("error", "No annotations found.")
     got = _labels(out, out.table, label)
-    out.messages.insert(0, ("ok", f"{r.n} labelled periods of {r.e} events, {len(got)} labels."))
+    out.messages.insert(0, ("ok", f"Periods: {r.n}. Events: {r.e}. Labels: {len(got)}."))
     return out
 
 

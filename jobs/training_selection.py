@@ -37,8 +37,8 @@ COLUMNS = "doc_id long, text_md5 string, lang string, source string, n_chars lon
 
 def units(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text_md5, lang, source, label, n_chars, n_copies): a row for each different labelled text."""
-    named = labels.filter(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("l"))
-    label = F.concat(F.when(F.col("l.quality") == 1, "good").otherwise("poor"), F.when(F.col("l.toxic") == 1, "_toxic").otherwise(""))
+    named = labels.filter(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("_labels"))
+    label = F.concat(F.when(F.col("_labels.quality") == 1, "good").otherwise("poor"), F.when(F.col("_labels.toxic") == 1, "_toxic").otherwise(""))
     plain = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \t\n\r\f]+", " "))
     rows = documents.filter("text IS NOT NULL").join(named, "doc_id").select(
         F.md5(plain.cast("binary")).alias("text_md5"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("n/a")).alias("source"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from echolith.functions import scalars as S
-from echolith.operators import acoustics, clusters, discovery, intervals, models, predictions, windows
+from echolith.operators import acoustics, clusters, discovery, intervals, models, predictions, quantiles, windows
 from echolith.sources import tables
 from echolith.streaming import blocks
 
@@ -243,3 +245,55 @@ def test_project_states(spark, tmp_path):
     source.write_text("a\n1\n2\n")
     assert p.status(spark) == {"load": "outdated", "maybe": "skipped", "bad": "pending"}
     assert p.run(spark, ["load"])["load"].count() == 2
+
+
+def test_split_sessions(spark):
+    """One hot key over many buckets, long intervals over bucket borders, ties, repeated rows and null keys: as sessions() numbers them."""
+    r = random.Random(4)
+    rows = [("hot", s := r.randrange(20_000), s + r.choice([1, 5, 30, 2000])) for _ in range(900)] + [(k, s, s + 3) for k in ("a", None) for s in (0, 0, 10, 500, 500, 503, 4000)]
+    d = spark.createDataFrame(rows, "k string, s long, e long")
+    key = lambda df: sorted(map(str, df.collect()))
+    for bucket in (7, 400, 10**6):
+        assert key(intervals.split_sessions(d, ["k"], "s", "e", 12, bucket)) == key(intervals.sessions(d, ["k"], "s", "e", 12))
+    assert intervals.split_sessions(d.limit(0), ["k"], "s", "e", 12, 5).collect() == []
+
+
+def test_labelled_periods(spark):
+    """Ids in order of starts over all periods; short periods and windows without a label go."""
+    rows = [("click", "B", 100, 104), ("click", "B", 106, 110), ("click", "", 107, 111), ("click", None, 0, 4), ("whistle", "A", 5, 9), ("whistle", "A", 8, 30), ("whistle", "A", 300, 304), ("click", "A", 100, 104), ("click", "A", 110, 114)]
+    d = spark.createDataFrame(rows, "det string, l string, s long, e long")
+    got = intervals.labelled_periods(d, "det", "l", "s", "e", 6, 50, 2).orderBy("event_id").collect()
+    assert [tuple(r) for r in got] == [("A_click_0002", "A", 100, 114, "click", 2), ("A_whistle_0001", "A", 5, 30, "whistle", 2), ("B_click_0003", "B", 100, 110, "click", 2)]
+    assert intervals.labelled_periods(d, "det", "l", "s", "e", 6, 50).count() == 4
+
+
+def test_overlaps_of_any_length(spark):
+    """Moments, years and all between, repeated and empty ones: the pairs of overlapping(), and few rows more than there are intervals."""
+    r = random.Random(9)
+    spans = lambda n, k: [(i, s := r.randrange(-40_000_000, 40_000_000), s + r.choice([0, 1, 60, 4096, 100_000, 31_536_000][:k])) for i in range(n)]
+    a = spark.createDataFrame([*spans(300, 6), (1, 5, 6), (1, 5, 6)], "i long, s long, e long")
+    b = spark.createDataFrame([*spans(200, 5), (7, 0, 4096)], "j long, u long, v long")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = sorted((i, s, e, j, u, v, min(e, v) - max(s, u)) for i, s, e in map(tuple, a.collect()) for j, u, v in map(tuple, b.collect()) if u < e and v > s)
+    got = intervals.overlapping_any_length(a, b, ("s", "e"), ("u", "v"))
+    assert key(got) == want and len(want) > 1000
+    assert key(intervals.overlapping_any_length(b, a, ("u", "v"), ("s", "e")).select("i", "s", "e", "j", "u", "v", "overlap")) == want
+    assert intervals.overlapping_any_length(a.limit(0), b, ("s", "e"), ("u", "v")).collect() == []
+    year = spark.createDataFrame([(0, 0, 31_536_000)], "j long, u long, v long")
+    assert intervals.overlapping_any_length(a, year, ("s", "e"), ("u", "v")).count() == sum(0 < e and s < 31_536_000 for _, s, e in map(tuple, a.collect()))
+
+
+def test_exact_quantiles(spark):
+    """Equal to percentile(): a hot group of many values, one of ties, one row, null keys; NaN and null don't count."""
+    r = np.random.default_rng(6)
+    rows = [("hot", float(v)) for v in r.lognormal(0, 3, 20_000)] + [("ties", float(v)) for v in r.integers(0, 4, 3000)] + [("one", 5.0), (None, 1.0), (None, 4.0), ("none", None), ("none", float("nan")), ("hot", float("nan"))]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    shares = [0.0, 0.005, 0.3, 0.5, 0.9999, 1.0]
+    want = {}
+    for x in d.filter("v IS NOT NULL AND NOT isnan(v)").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q"), F.count("*").alias("n")).collect():
+        want |= {(x.k, s): (pytest.approx(q, rel=1e-12), x.n) for s, q in zip(shares, x.q, strict=True)}
+    for parts in (2, 100):
+        got = {(x.k, x.share): (x.quantile, x.n) for x in quantiles.exact_quantiles(d, ["k"], "v", shares, parts).collect()}
+        assert got == want
+    assert [x.quantile for x in quantiles.exact_quantiles(d.filter("k = 'one'"), [], "v", [0.5]).collect()] == [5.0]
+    assert quantiles.exact_quantiles(d.limit(0), ["k"], "v", [0.5]).collect() == []
