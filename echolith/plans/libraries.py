@@ -206,7 +206,7 @@ SELECT level, round(k / 50.0, 6) AS threshold, CAST(sum(n_all) AS BIGINT) AS n,
 r AS (SELECT *, max(end_us) OVER (PARTITION BY voc_type, label ORDER BY t_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM x),
 n AS (SELECT *, sum(CASE WHEN t_us - p <= 120000000 THEN 0 ELSE 1 END) OVER (PARTITION BY voc_type, label ORDER BY t_us, end_us ROWS UNBOUNDED PRECEDING) AS s FROM r),
 g AS (SELECT voc_type, label, s, min(t_us) AS a, max(end_us) AS z, count(*) AS k FROM n GROUP BY ALL HAVING count(*) >= 2)
-SELECT label || '_' || voc_type || '_' || lpad(CAST(row_number() OVER (ORDER BY a, voc_type, label) AS VARCHAR), greatest(4, length(CAST(row_number() OVER (ORDER BY a, voc_type, label) AS VARCHAR))), '0') AS event_id, label, a AS start, z AS "end", voc_type AS detector, k AS n_windows FROM g""",
+SELECT label || '_' || voc_type || '_' || lpad(CAST(row_number() OVER (ORDER BY a, voc_type, label) AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY a, voc_type, label) AS VARCHAR))) AS INTEGER), '0') AS event_id, label, a AS start, z AS "end", voc_type AS detector, k AS n_windows FROM g""",
     "library_class_stats": f"""WITH {_W}, {_stats_sql("s", "SELECT cluster_kind AS cluster, unit, value AS label FROM w WHERE detector = 'whistle'", ["C1", "C2", "C3", "C4"])}
 SELECT CAST(cluster AS BIGINT) AS cluster, n0 + n1 + n2 + n3 AS n_labelled, {", ".join(f"round(p{k}, 6) AS p_{k + 1}, n{k} AS n_{k + 1}, u{k} AS units_{k + 1}" for k in range(4))} FROM s_p""",
     "library_blocks": _blocks_sql(),
