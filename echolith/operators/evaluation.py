@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echolith.sources.durable import cut
+
 from .clusters import MAX_UNITS
 
-#: Most groups that folds are dealt to one after another.
+#: Groups that folds are dealt to one after another, in one task.
 MAX_GROUPS = 20_000
 #: Most cells of a table of clusters by labels, and most clusters that are sent to the executors.
 MAX_CELLS = 1_000_000
@@ -43,39 +45,67 @@ def headline(scores: DataFrame) -> DataFrame:
     return one.withColumn("chance", chance).withColumn("skill", F.try_divide(F.col("balanced_accuracy") - F.col("chance"), 1 - F.col("chance")))
 
 
-def balanced_folds(df: DataFrame, label: str, group: str, folds: int) -> DataFrame:
+def balanced_folds(df: DataFrame, label: str, group: str, folds: int, at_once: int = MAX_GROUPS) -> DataFrame:
     """(group, fold): whole groups in folds whose shares of each label are as even as a greedy deal makes them.
 
     Groups come in order of how uneven their labels are; each goes where the
-    labels' shares then vary least, to the smaller fold of equals. Only counts
-    of at most MAX_GROUPS groups reach the one task that deals.
+    labels' shares then vary least, to the smaller fold of equals. More than
+    ``at_once`` groups are cut by a hash into parts of about as many, each dealt
+    by a task of its own; then the parts' folds are put together, part by part,
+    by the same rule, so no task holds the groups of more than one part.
     """
     counts = df.groupBy(group, label).agg(F.count("*").alias("c")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("string"), "c"))).alias("m"))
+    counts = cut(counts)
+    parts = -(-counts.count() // at_once)
+    kind = df.schema[group].dataType.simpleString()
 
-    def run(batches):
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        d = pd.concat(got).sort_values(group).reset_index(drop=True)
-        if len(d) > MAX_GROUPS:
-            raise ValueError(f"over {MAX_GROUPS} groups")
-        maps = [dict(m) for m in d["m"]]
+    def matrix(maps) -> np.ndarray:
+        maps = [dict(m) for m in maps]
         labels = sorted({k for m in maps for k in m})
-        n = np.array([[m.get(k, 0) for k in labels] for m in maps], float)
-        total, held, fold = n.sum(0), np.zeros((folds, len(labels))), np.zeros(len(d), int)
+        return np.array([[m.get(k, 0) for k in labels] for m in maps], float)
+
+    def cost(held: np.ndarray, total: np.ndarray, n: np.ndarray, k: int) -> tuple:
+        held[k] += n
+        out = (round(float((held / total).std(0).mean()), 12), held[k].sum(), k)
+        held[k] -= n
+        return out
+
+    def deal(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(group).reset_index(drop=True)
+        n = matrix(d["m"])
+        total, held, fold = n.sum(0), np.zeros((folds, n.shape[1])), np.zeros(len(d), int)
         for i in np.argsort(-n.std(1), kind="stable"):
-            best = None
-            for k in range(folds):
-                held[k] += n[i]
-                cost = (round(float((held / total).std(0).mean()), 12), held[k].sum(), k)
-                held[k] -= n[i]
-                best = min(best or cost, cost)
-            fold[i] = best[2]
+            fold[i] = min(cost(held, total, n[i], k) for k in range(folds))[2]
             held[fold[i]] += n[i]
-        yield pd.DataFrame({group: d[group], "fold": fold})
+        return pd.DataFrame({group: d[group], "fold": fold})
 
-    kind = df.schema[group].dataType.simpleString()
-    return counts.limit(MAX_GROUPS + 1).repartition(1).mapInPandas(run, f"`{group}` {kind}, fold int")
+    def one(batches):
+        if got := [b for b in batches if len(b)]:
+            yield deal(pd.concat(got))
+
+    if parts < 2:
+        return counts.repartition(1).mapInPandas(one, f"`{group}` {kind}, fold int")
+
+    def match(batches):
+        got = [b for b in batches if len(b)]
+        d = pd.concat(got).sort_values(["_part", "fold"]).reset_index(drop=True)
+        n = matrix(d["m"])
+        total, held = n.sum(0), np.zeros((folds, n.shape[1]))
+        for part, rows in d.groupby("_part").groups.items():
+            free, to = set(range(folds)), {}
+            for i in sorted(rows, key=lambda i: (-n[i].sum(), i)):
+                k = min(cost(held, total, n[i], k) for k in free)[2]
+                free.remove(k)
+                held[k] += n[i]
+                to[int(d["fold"][i])] = k
+            yield pd.DataFrame({"_part": part, "_own": list(to), "fold": list(to.values())})
+
+    part = F.pmod(F.xxhash64(group, F.lit(11)), F.lit(parts)).cast("int")
+    dealt = cut(counts.withColumn("_part", part).repartition(parts, "_part").groupBy("_part").applyInPandas(lambda k, d: deal(d).assign(_part=k[0]), f"`{group}` {kind}, fold int, _part int"))
+    sums = dealt.join(counts.select(F.col(group).alias("_g"), F.explode("m").alias("l", "c")), F.col(group).eqNullSafe(F.col("_g"))).groupBy("_part", "fold", "l").agg(F.sum("c").alias("c"))
+    sums = sums.groupBy("_part", "fold").agg(F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("m"))
+    to = sums.repartition(1).mapInPandas(match, "_part int, _own int, fold int")
+    return dealt.withColumnRenamed("fold", "_own").join(to, ["_part", "_own"]).select(group, "fold")
 
 
 def _expected(a: int, b: int, n: int) -> float:

@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echolith.operators import detectors, evaluation
 
@@ -95,6 +96,18 @@ def test_balanced_folds(spark):
         assert max(n) - min(n) <= 3
 
 
+def test_balanced_folds_of_any_number_of_groups(spark):
+    df = spark.range(63_000).selectExpr("id % 21000 AS g", "IF(id % 5 = 0, 'a', 'b') AS l")
+    got = df.join(evaluation.balanced_folds(df, "l", "g", 3), "g").groupBy("fold", "l").agg(F.count("*").alias("n"), F.countDistinct("g").alias("groups")).collect()
+    for label in "ab":
+        n = [r.n for r in got if r.l == label]
+        assert len(n) == 3 and max(n) - min(n) <= 6
+    assert sum(r.n for r in got) == 63_000
+    small = spark.createDataFrame([(f"g{g}", "a" if (g + k) % 3 else "b") for g in range(30) for k in range(g % 7 + 1)], "g string, l string")
+    folds = {r.g: r.fold for r in evaluation.balanced_folds(small, "l", "g", 3, 4).collect()}
+    assert len(folds) == 30 and set(folds.values()) == {0, 1, 2}
+
+
 def test_typical_units_do_not_overlap(spark):
     rng = np.random.default_rng(4)
     rows = [(k, int(rng.integers(-1, 3)), float(rng.integers(0, 9)), int(s := rng.integers(0, 40)), int(s) + 6) for k in range(60)]
