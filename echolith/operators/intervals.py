@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,39 @@ def containing(points: DataFrame, periods: DataFrame, t: str, start: str, end: s
     return left.join(_buckets(periods, start, end, width), "_bucket").filter(low & (F.col(t) < F.col(end))).drop("_bucket")
 
 
+def _sweep(at: str, point: str) -> WindowSpec:
+    """Back through the time of each bucket, points before what else there is at their time."""
+    return Window.partitionBy("_bucket").orderBy(F.desc(at), F.col(point).isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def first_by_start(points: DataFrame, periods: DataFrame, t: str, start: str, end: str, order: list[str], width: int, open_start: bool = False) -> DataFrame:
+    """Of containing() each point's first pair in an order that begins with the starts; pairs are never made.
+
+    In a bucket a period counts only if it ends after all those that come before it. What is left starts and
+    ends in the same order, so a point's period is the next one to end after it, if it has begun.
+    """
+    if order[0] != start:
+        raise ValueError(f"order must begin with {start}")
+    before = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = _buckets(periods.filter(F.col(end) > F.col(start)), start, end, width).withColumn("_m", F.max(end).over(before)).filter(F.col("_m").isNull() | (F.col(end) > F.col("_m")))
+    ends = left.select("_bucket", F.col(end).alias("_at"), F.struct(*periods.columns).alias("_period"))
+    rows = points.filter(F.col(t).isNotNull()).select(F.floor(F.col(t) / width).alias("_bucket"), F.col(t).alias("_at"), F.struct(*points.columns).alias("_point"))
+    both = rows.unionByName(ends, allowMissingColumns=True)
+    met = both.withColumn("_period", F.last("_period", ignorenulls=True).over(_sweep("_at", "_point"))).filter("_point IS NOT NULL")
+    low = F.col(f"_period.{start}") < F.col(f"_point.{t}") if open_start else F.col(f"_period.{start}") <= F.col(f"_point.{t}")
+    return met.filter(low).select("_point.*", "_period.*")
+
+
+def without_points(periods: DataFrame, points: DataFrame, key: str, t: str, start: str, end: str, width: int) -> DataFrame:
+    """The periods [start, end) that hold no point, by the next point after their start in each bucket; pairs are never made."""
+    own = _buckets(periods.filter(F.col(end) > F.col(start)), start, end, width)
+    own = own.select("_bucket", F.greatest(F.col(start), F.col("_bucket") * width).alias("_at"), F.struct(F.col(key).alias("key"), F.col(end).alias("end")).alias("_period"))
+    rows = points.filter(F.col(t).isNotNull()).select(F.floor(F.col(t) / width).alias("_bucket"), F.col(t).alias("_at"), F.col(t).alias("_point"))
+    both = rows.unionByName(own, allowMissingColumns=True)
+    held = both.withColumn("_next", F.last("_point", ignorenulls=True).over(_sweep("_at", "_point"))).filter("_next < _period.end")
+    return periods.join(held.select(F.col("_period.key").alias(key)), key, "left_anti")
+
+
 def overlapping(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], width: int) -> DataFrame:
     """Each pair of intervals that overlap, once, with the length ``overlap``."""
     (s, e), (u, v) = a_span, b_span
@@ -55,7 +88,10 @@ def overlapping_any_length(a: DataFrame, b: DataFrame, a_span: tuple[str, str],
 
 def first_period(points: DataFrame, periods: DataFrame, key: str, t: str, start: str, end: str, order: list[str], width: int, keep: bool = True) -> DataFrame:
     """Each point with the first period that holds it (start < t < end); unmatched points stay if keep."""
-    found = containing(points, periods, t, start, end, width, open_start=True)
+    if order[0] == start:
+        found = first_by_start(points, periods, t, start, end, order, width, open_start=True)
+    else:
+        found = containing(points, periods, t, start, end, width, open_start=True)
     w = Window.partitionBy(key).orderBy(*order)
     best = found.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", *(c for c in points.columns if c != key))
     return points.join(best, key, "left" if keep else "inner")
@@ -122,7 +158,12 @@ def period_labels(
     if "label_source" not in base.columns:
         base = base.withColumn("label_source", F.lit("unannotated"))
     middle = base.select(key, ((F.col(w_span[0]) + F.col(w_span[1])) / 2).alias("_mid"))
-    found = containing(middle, periods.select(*(F.col(c).alias(f"_p_{c}") for c in dict.fromkeys([*p_span, *order, *columns]))), "_mid", f"_p_{p_span[0]}", f"_p_{p_span[1]}", width)
+    named = periods.select(*(F.col(c).alias(f"_p_{c}") for c in dict.fromkeys([*p_span, *order, *columns])))
+    span = f"_p_{p_span[0]}", f"_p_{p_span[1]}"
+    if overwrite or order[0] != p_span[0]:
+        found = containing(middle, named, "_mid", *span, width)
+    else:
+        found = first_by_start(middle, named, "_mid", *span, [f"_p_{c}" for c in order], width)
     pick = F.max_by if overwrite else F.min_by
     best = found.groupBy(key).agg(pick(F.struct(*(F.col(f"_p_{c}").alias(c) for c in columns)), F.struct(*(F.col(f"_p_{c}") for c in order))).alias("_best"))
     out = base.join(best, key, "left")

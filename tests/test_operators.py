@@ -297,3 +297,32 @@ def test_exact_quantiles(spark):
         assert got == want
     assert [x.quantile for x in quantiles.exact_quantiles(d.filter("k = 'one'"), [], "v", [0.5]).collect()] == [5.0]
     assert quantiles.exact_quantiles(d.limit(0), ["k"], "v", [0.5]).collect() == []
+
+
+def test_first_period_makes_no_pairs(spark):
+    rng = random.Random(7)
+    periods = [(k, (s := rng.randrange(-50, 400)), s + rng.choice([0, 1, 7, 60, 300]), f"L{k % 5}") for k in range(120)]
+    points = [(k, rng.randrange(-60, 700)) for k in range(300)] + [(300, None)]
+    p = spark.createDataFrame(periods, "c long, u long, v long, l string")
+    x = spark.createDataFrame(points, "id long, t long")
+    want = {i: min(((u, c) for c, u, v, _ in periods if t is not None and u < t < v), default=(None, None))[1] for i, t in points}
+    out = intervals.first_period(x, p, "id", "t", "u", "v", ["u", "c"], 50)
+    assert {r.id: r.c for r in out.collect()} == want and out.count() == len(points)
+    closed = {i: min(((u, c) for c, u, v, _ in periods if t is not None and u <= t < v), default=(None, None))[1] for i, t in points}
+    w = x.selectExpr("id", "t - 3 AS s", "t + 3 AS e")
+    got = {r.id: r.c for r in intervals.period_labels(w, p.selectExpr("CAST(c AS string) AS c", "u", "v", "c AS k"), "id", ("s", "e"), ("u", "v"), ["u", "k"], ["c"], "one", 50).collect()}
+    assert got == {i: "none" if c is None else str(c) for i, c in closed.items()}
+    copies = spark.range(4000).selectExpr("id AS c", "id % 2 AS u", "100L AS v", "'a' AS l")
+    plan = intervals.first_period(spark.range(4000).selectExpr("id", "50L AS t"), copies, "id", "t", "u", "v", ["u", "c"], 50)
+    assert {r.c for r in plan.collect()} == {0}
+    assert "_bucket" not in "".join(x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_periods_without_points(spark):
+    rng = random.Random(8)
+    periods = [(k, (s := rng.randrange(-50, 400)), s + rng.choice([0, 1, 7, 60, 300])) for k in range(120)]
+    times = [rng.randrange(-60, 700) for _ in range(25)] + [None]
+    p, x = spark.createDataFrame(periods, "c long, u long, v long"), spark.createDataFrame([(t,) for t in times], "t long")
+    out = intervals.without_points(p, x, "c", "t", "u", "v", 50)
+    assert sorted(r.c for r in out.collect()) == [c for c, u, v in periods if not any(t is not None and u <= t < v for t in times)]
+    assert "t#" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
