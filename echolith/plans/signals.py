@@ -18,13 +18,9 @@ from .decisions import r6
 BUCKET = 600 * S.US
 
 
-def _label_by_interval(spark, d):
-    det = M.detections(spark, d).filter("event_type <> 'purchase'").select("detection_id", "t_us")
-    return I.containing(det, M.calls(spark, d), "t_us", "c_start", "c_end", BUCKET)
-
-
 def label_by_interval(spark, d):
-    return _label_by_interval(spark, d).select("detection_id", "call_id", "call_label")
+    det = M.detections(spark, d).filter("event_type <> 'purchase'").select("detection_id", "t_us")
+    return I.containing(det, M.calls(spark, d), "t_us", "c_start", "c_end", BUCKET).select("detection_id", "call_id", "call_label")
 
 
 def label_first_period(spark, d):
@@ -61,7 +57,8 @@ def label_by_periods(spark, d):
 
 
 def events_without_detections(spark, d):
-    return M.calls(spark, d).join(_label_by_interval(spark, d).select("call_id"), "call_id", "left_anti").select("call_id", "call_label")
+    det = M.detections(spark, d).filter("event_type <> 'purchase'").select("t_us")
+    return I.without_points(M.calls(spark, d), det, "call_id", "t_us", "c_start", "c_end", BUCKET).select("call_id", "call_label")
 
 
 def sliding_windows(spark, d):
