@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from echolith.sources.durable import cut
+
 from .clusters import over_pool
+from .quantiles import MAX_GROUPS, exact_quantiles
 
 #: Most features whose covariances are summed in one aggregate.
 MAX_FEATURES = 60
@@ -209,10 +212,11 @@ def prune_outliers(df: DataFrame, features: list[str], label: str, prune: float)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :2].T
     plane = df.withColumns({f"_p{k}": sum((F.lit(float(a)) * c for a, c in zip(axis, x, strict=True)), F.lit(0.0)) for k, axis in enumerate(axes)})
     names = [f"_p{k}" for k in range(len(axes))]
-    centre = plane.groupBy(label).agg(*(F.avg(p).alias(f"_m{p}") for p in names))
-    far = plane.join(centre, label).withColumn("_d", F.sqrt(sum(((F.col(p) - F.col(f"_m{p}")) ** 2 for p in names), F.lit(0.0))))
-    edge = far.groupBy(label).agg(F.percentile("_d", F.lit(1 - prune)).alias("_edge"))
-    return far.join(edge, label).filter("_d < _edge").select(*df.columns)
+    centre = cut(plane.groupBy(label).agg(*(F.avg(p).alias(f"_m{p}") for p in names)))
+    few = F.broadcast if centre.count() <= MAX_GROUPS else lambda rows: rows
+    far = plane.join(few(centre), label).withColumn("_d", F.sqrt(sum(((F.col(p) - F.col(f"_m{p}")) ** 2 for p in names), F.lit(0.0))))
+    edge = cut(exact_quantiles(far, [label], "_d", [1 - prune]).select(label, F.col("quantile").alias("_edge")))
+    return far.join(few(edge), label).filter("_d < _edge").select(*df.columns)
 
 
 @dataclass

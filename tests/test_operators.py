@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from echolith.functions import scalars as S
 from echolith.operators import acoustics, clusters, discovery, intervals, models, predictions, quantiles, windows
+from echolith.plans import learned, signals
 from echolith.sources import tables
 from echolith.streaming import blocks
 
@@ -295,10 +296,21 @@ def test_exact_quantiles(spark):
     for parts in (2, 100):
         got = {(x.k, x.share): (x.quantile, x.n) for x in quantiles.exact_quantiles(d, ["k"], "v", shares, parts).collect()}
         assert got == want
+    counted = d.groupBy("k", "v").agg(F.count("*").alias("m"))
+    assert {(x.k, x.share): (x.quantile, x.n) for x in quantiles.exact_quantiles(counted, ["k"], "v", shares, times="m").collect()} == want
     assert [x.quantile for x in quantiles.exact_quantiles(d.filter("k = 'one'"), [], "v", [0.5]).collect()] == [5.0]
     assert quantiles.exact_quantiles(d.limit(0), ["k"], "v", [0.5]).collect() == []
 
 
+def test_no_task_merges_all_values(spark):
+    """Maps of all values of a class grow with the table; cuts of runs do not."""
+    d = "/root/testdata/sf0.001"
+    for q in (signals.distinctive_features, learned.pruned_rows):
+        out = q(spark, d)
+        assert "percentile(" not in out._jdf.queryExecution().toString()
+        assert out.count()
+
+
 def test_first_period_makes_no_pairs(spark):
     rng = random.Random(7)
     periods = [(k, (s := rng.randrange(-50, 400)), s + rng.choice([0, 1, 7, 60, 300]), f"L{k % 5}") for k in range(120)]
