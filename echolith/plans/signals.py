@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from echolith.functions import scalars as S
 from echolith.operators import intervals as I
 from echolith.operators import library as LB
+from echolith.operators import quantiles as Q
 from echolith.operators import windows as W
 from echolith.sources import tables as T
+from echolith.sources.durable import cut
 from echolith.sources.sqlite import recording_events
 
 from . import mapping as M
@@ -182,10 +184,11 @@ def json_predictions(spark, d):
 def distinctive_features(spark, d):
     """Of each flag the two features whose median is farthest from the overall median, in interquartile ranges."""
     li = M.read(spark, d, "lineitem").select("l_returnflag", *_FEATURES)
-    long = li.unpivot(["l_returnflag"], _FEATURES, "feature", "x")
-    q = long.groupBy("feature").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    m = long.groupBy("l_returnflag", "feature").agg(F.percentile("x", F.lit(0.5)).alias("m")).join(F.broadcast(q), "feature")
-    far = m.withColumn("distance", F.round(F.abs(F.col("m") - F.col("q")[1]) / (F.col("q")[2] - F.col("q")[0]), 6))
+    long = cut(li.unpivot(["l_returnflag"], _FEATURES, "feature", "x").groupBy("l_returnflag", "feature", "x").agg(F.count("*").alias("n")))
+    at = lambda s: F.max(F.when(F.col("share") == s, F.col("quantile")))
+    q = Q.exact_quantiles(long, ["feature"], "x", [0.25, 0.5, 0.75], times="n").groupBy("feature").agg(at(0.25).alias("a"), at(0.5).alias("b"), at(0.75).alias("c"))
+    m = Q.exact_quantiles(long, ["l_returnflag", "feature"], "x", [0.5], times="n").join(F.broadcast(q), "feature")
+    far = m.withColumn("distance", F.round(F.abs(F.col("quantile") - F.col("b")) / (F.col("c") - F.col("a")), 6))
     w = Window.partitionBy("l_returnflag").orderBy(F.desc("distance"), "feature")
     return far.withColumn("k", F.row_number().over(w)).filter("k <= 2").select("l_returnflag", "feature", "distance", F.col("k").cast("long").alias("k"))
 
