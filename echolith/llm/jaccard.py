@@ -236,6 +236,9 @@ def similar_edges(reps: DataFrame) -> DataFrame:
     rows = durable(rows, "buckets")
     edges = _edges(rows.filter(F.col("n") <= LIMIT), "n")
     large = rows.filter(F.col("n") > LIMIT)
+    if large.isEmpty():
+        return edges
+    edges = durable(edges, "met")  # each turn's edges by a job of their own: the exchanges of all turns at once take a thread of the driver each
     for _ in range(ROUNDS):
         if large.isEmpty():
             return edges
@@ -244,12 +247,12 @@ def similar_edges(reps: DataFrame) -> DataFrame:
         hard = (F.col("n") > LIMIT) & (F.col("n") > 0.5 * F.col("_was"))
         squares = several.filter(hard).groupBy(F.col("of").alias("path")).agg(F.sum(F.col("n").cast("double") ** 2).alias("all"), F.min("_was").alias("w"))
         whole = durable(squares.filter(F.col("all") >= F.col("w").cast("double") ** 2).select("path", F.col("w").alias("n")), "whole")
-        edges = edges.unionByName(_edges(_sized(large.drop("n"), whole), "n"))
+        edges = edges.unionByName(durable(_edges(_sized(large.drop("n"), whole), "n"), "met"))
         rest = several.join(whole.select(F.col("path").alias("of")), "of", "left_anti").select("path", "n", "_was")
         rows = _sized(longer.select("path", "node", "sketch"), rest)
-        edges = edges.unionByName(_edges(rows.filter((F.col("n") <= LIMIT) | hard), "n"))
+        edges = edges.unionByName(durable(_edges(rows.filter((F.col("n") <= LIMIT) | hard), "n"), "met"))
         large = durable(rows.filter((F.col("n") > LIMIT) & ~hard).select("path", "n", "node", "sketch"), "large")
-    return edges.unionByName(_edges(large, "n"))
+    return edges.unionByName(durable(_edges(large, "n"), "met"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -727,3 +727,15 @@ def test_pipeline(spark, vocabulary):
     want = {r.doc_id: hashlib.sha256(" ".join(map(str, t.encode(r.text, add_special_tokens=False).ids)).encode()).hexdigest() for r in docs.collect()}
     got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, DIR).collect()}
     assert got == want
+
+
+def test_near_duplicates_run_one_turn_at_a_time(spark, monkeypatch):
+    """The plan of the edges of all turns has no exchange left, of which each would take a thread of the driver."""
+    monkeypatch.setattr(jaccard, "LIMIT", 4)
+    rng = np.random.default_rng(5)
+    rows = [(bytes([k] * 16), rng.bytes(jaccard.T // 2) if k % 2 else bytes(jaccard.T // 2), [1]) for k in range(24)]
+    out = jaccard.similar_edges(spark.createDataFrame(rows, "node binary, sketch binary, paths array<long>"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    near = jaccard.components(out).collect()
+    assert {bytes(r.node) for r in near} >= {bytes([k] * 16) for k in range(0, 24, 2)}
+    assert len({bytes(r.root) for r in near if r.node[0] % 2 == 0}) == 1
