@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +91,63 @@ def score(forest: list[dict], x: np.ndarray) -> np.ndarray:
     return out / max(len(forest), 1)
 
 
+def compiled(forest: list[dict], at_once: int = 32) -> list[tuple[dict, list]]:
+    """The forest as masks of leaves, for ``score_compiled``: of some trees at a time their features' thresholds, and each tree.
+
+    A tree is (feature, masks) of its features and the leaves' probabilities: for each number of thresholds
+    below a value, one bit for each leaf that the value leaves possible.
+    """
+    out = []
+    for low in range(0, len(forest), at_once):
+        some = forest[low : low + at_once]
+        cut = [t["threshold"].astype(np.float32) for t in some]
+        used = np.unique(np.concatenate([t["feature"] for t in some]))
+        steps = {int(f): np.unique(np.concatenate([c[t["feature"] == f] for t, c in zip(some, cut, strict=True)])) for f in used if f >= 0}
+        out.append((steps, [_masks(t, c, steps) for t, c in zip(some, cut, strict=True)]))
+    return out
+
+
+def _masks(t: dict, cut: np.ndarray, steps: dict) -> tuple[list, np.ndarray]:
+    left, right, feature = t["left"].tolist(), t["right"].tolist(), t["feature"].tolist()
+    inner = [i for i, f in enumerate(feature) if f >= 0]
+    leaves, first = [1] * len(feature), [0] * len(feature)
+    for i in reversed(inner):  # a node comes before those below it
+        leaves[i] = leaves[left[i]] + leaves[right[i]]
+    for i in inner:
+        first[left[i]], first[right[i]] = first[i], first[i] + leaves[left[i]]
+    seat = np.arange(-(-leaves[0] // 64) * 64)
+    masks = []
+    for f in sorted({feature[i] for i in inner}):
+        own = sorted((i for i in inner if feature[i] == f), key=lambda i: cut[i])
+        gone = np.array([[first[left[i]], first[left[i]] + leaves[left[i]]] for i in own])
+        keep = (seat < gone[:, :1]) | (seat >= gone[:, 1:])
+        keep = np.logical_and.accumulate(np.concatenate([np.ones((1, len(seat)), bool), keep]))
+        packed = np.packbits(keep, axis=1, bitorder="little").view("<u8")
+        below = np.concatenate([[0], np.searchsorted(cut[own], steps[f], "right")])
+        masks.append((f, packed[below].T.copy()))
+    ends = np.array([i for i, f in enumerate(feature) if f < 0])
+    return masks, t["probs"][ends[np.argsort(np.array(first)[ends])]]
+
+
+def score_compiled(forest: list[tuple[dict, list]], x: np.ndarray) -> np.ndarray:
+    """What ``score`` gives for the forest that was compiled, bit for bit."""
+    x = x.astype(np.float32)
+    out, n = 0.0, 0
+    for steps, trees in forest:
+        below = {f: np.searchsorted(v, x[:, f]) for f, v in steps.items()}
+        for masks, probs in trees:
+            leaf, there = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+            for w in range(len(masks[0][1]) if masks else 0):
+                v = masks[0][1][w].take(below[masks[0][0]])
+                for f, m in masks[1:]:
+                    v &= m[w].take(below[f])
+                at = np.bitwise_count((v & (~v + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+                leaf = at if w == 0 else np.where(there, leaf, at + 64 * w)
+                there |= v != 0
+            out, n = out + probs.take(leaf, axis=0), n + 1
+    return out / max(n, 1)
+
+
 def importance(forest: list[dict], features: int) -> np.ndarray:
     """Share of the Gini impurity that each feature's splits take away, the mean of the trees' shares."""
     out = np.zeros(features)
@@ -142,19 +200,29 @@ def predict(df: DataFrame, models: dict, features: list[str], fold: str | None =
     """df with probs (in the order of classes) and predicted, each row by the forest of its fold."""
     shared = df.sparkSession.sparkContext.broadcast(models)
 
-    @F.pandas_udf("probs array<double>, predicted string")
-    def of(x: pd.DataFrame) -> pd.DataFrame:
-        key = x["fold"] if fold else pd.Series([None] * len(x))
-        x = x[features].to_numpy(np.float32)
-        probs, names = [None] * len(x), [None] * len(x)
+    made: dict = {}
+
+    @F.arrow_udf("struct<probs:array<double>,predicted:string>")
+    def of(*columns: pa.Array) -> pa.Array:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns[: len(features)]], 1).astype(np.float32)
+        key = columns[-1].to_pandas() if fold else pd.Series([None] * len(x))
+        kind = pa.list_(pa.float64()), pa.string()
+        probs, names, rows, rest = [pa.array([], kind[0])], [pa.array([], kind[1])], [], np.ones(len(x), bool)
         for f in key.drop_duplicates():
             if f in shared.value:
                 classes, mid, trees = shared.value[f]
+                if f not in made:
+                    made[f] = compiled(trees)
                 at = np.flatnonzero(key == f) if fold else np.arange(len(x))
-                p = score(trees, np.where(np.isnan(x[at]), mid, x[at]))
-                for i, row in zip(at, p, strict=True):
-                    probs[i], names[i] = row.tolist(), str(classes[int(row.argmax())])
-        return pd.DataFrame({"probs": probs, "predicted": names})
+                p = score_compiled(made[f], np.where(np.isnan(x[at]), mid, x[at]))
+                probs.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel())))
+                names.append(pa.array([str(c) for c in classes]).take(pa.array(p.argmax(1))))
+                rows.append(at)
+                rest[at] = False
+        rows.append(np.flatnonzero(rest))
+        order = pa.array(np.argsort(np.concatenate(rows)))
+        whole = [pa.concat_arrays([*v, pa.nulls(len(rows[-1]), k)]).take(order) for v, k in zip((probs, names), kind, strict=True)]
+        return pa.StructArray.from_arrays(whole, ["probs", "predicted"])
 
     columns = [F.col(c).cast("double").alias(c) for c in features] + ([F.col(fold).alias("fold")] if fold else [])
-    return df.withColumn("_f", of(F.struct(*columns))).select("*", "_f.probs", "_f.predicted").drop("_f")
+    return df.withColumn("_f", of(*columns)).select("*", "_f.probs", "_f.predicted").drop("_f")

@@ -173,6 +173,18 @@ def test_period_labels_overwrite(spark):
     assert intervals.period_labels(first, p, "id", ("s", "e"), ("u", "v"), ["u"], ["label"], "two", 64, True).select("label", "label_source").head()[:] == ("y", "two")
 
 
+def test_compiled_forest_scores_alike():
+    """Masks of leaves give the walk's probabilities bit for bit: equal values, missing ones, trees of one leaf and of over 64."""
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(3000, 5)), 1)
+    y = r.integers(0, 3, 3000)
+    for size in (2, 25, 2000):
+        trees = [models.grow(x.astype(np.float32), y, 3, np.random.default_rng(k), 2, size) for k in range(40)]
+        assert (max(map(len, (t["left"] for t in trees))) > 200) == (size == 2)
+        z = np.concatenate([x, r.normal(size=(500, 5)) * 3, np.full((1, 5), np.nan)])
+        assert np.array_equal(models.score_compiled(models.compiled(trees), z), models.score(trees, z))
+
+
 def test_forest_is_saved_and_read(spark, tmp_path):
     rng = np.random.default_rng(8)
     rows = [(i, "ab"[i % 2], float(rng.normal(3 * (i % 2))), float(rng.random())) for i in range(200)]
