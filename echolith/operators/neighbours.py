@@ -33,6 +33,8 @@ from echolith.sources.durable import cut
 LANDMARKS = 2000
 #: Places that push units away in a step; each unit meets PUSHES of them.
 PUSHED, PUSHES = 1000, 15
+#: Edges of a partition that stays through all steps of the map.
+EDGES = 100_000
 #: Curve of the map's distances for a least distance of 0.1 (fixed values).
 CURVE_A, CURVE_B = 1.577, 0.8951
 
@@ -64,12 +66,37 @@ def nodes(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     x = df.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("vector"))
     x = x.filter(F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v)))
     one = cut(x.groupBy("vector").agg(F.min("_key").alias("node")))
-    return one, x.join(one, "vector").select(F.col("_key").alias(key), "node")
+    return one, x.join(one.hint("shuffle_hash"), "vector").select(F.col("_key").alias(key), "node")
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    flat = column.flatten().to_numpy()
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+def _matrix(column: pa.ListArray | pa.BinaryArray) -> np.ndarray:
+    """The vectors of a column, of numbers or packed."""
+    if not len(column):
+        return np.empty((0, 0))
+    if not pa.types.is_binary(column.type):
+        return column.flatten().to_numpy().reshape(len(column), -1)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.float64).reshape(len(column), -1)
+
+
+def _packed(one: DataFrame, directions: np.ndarray | None = None) -> DataFrame:
+    """(node, vector, along): vectors as the bytes of their numbers, which are shuffled and handed over whole; along: their places along the directions."""
+    kind = one.schema["node"].dataType
+    shared = one.sparkSession.sparkContext.broadcast(directions)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.ascontiguousarray(_matrix(b.column(1)))
+            ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * 8)
+            vector = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+            along = x @ shared.value if shared.value is not None else np.empty((len(x), 0))
+            to = pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(along.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), vector, pa.ListArray.from_arrays(to, pa.array(along.ravel()))], ["node", "vector", "along"])
+
+    return one.select("node", "vector").mapInArrow(pack, f"node {kind.simpleString()}, vector binary, along array<double>")
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
@@ -80,8 +107,9 @@ def _distances(x: np.ndarray) -> np.ndarray:
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
-    """(a, b, d): the k nearest b of each a, the least of equally near ones."""
-    once = edges.groupBy("a", "b").agg(F.min("d").alias("d"))
+    """(a, b, d): the k nearest b of each a, the least of equally near ones. A column known stays true where any equal edge has it."""
+    known = [F.max("known").alias("known")] if "known" in edges.columns else []
+    once = edges.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), *known)
     return once.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("_n") <= k).drop("_n")
 
 
@@ -91,13 +119,8 @@ def _beside(one: DataFrame, p: GraphParams) -> DataFrame:
     if width is None:
         return one.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("d"))
     directions = np.random.default_rng(p.seed).normal(size=(width[0], p.directions))
-    shared = one.sparkSession.sparkContext.broadcast(directions)
     kind = one.schema["node"].dataType
 
-    @F.pandas_udf("array<double>")
-    def along(v: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(v.to_list()) @ shared.value)) if len(v) else pd.Series([], dtype=object)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, xs = None, None
         for b in batches:
@@ -116,10 +139,10 @@ def _beside(one: DataFrame, p: GraphParams) -> DataFrame:
         if held is not None and len(xs) > 1:
             yield from _nearest(held, _distances(xs), p.k)
 
-    placed = one.withColumn("_p", along("vector"))
+    placed = cut(_packed(one, directions))
     found = []
     for t in range(p.directions):
-        order = placed.withColumn("_o", F.get("_p", F.lit(t))).repartitionByRange("_o").sortWithinPartitions("_o", "node")
+        order = placed.withColumn("_o", F.get("along", F.lit(t))).repartitionByRange("_o").sortWithinPartitions("_o", "node")
         found.append(order.select("node", "vector").mapInArrow(compare, f"a {kind.simpleString()}, b {kind.simpleString()}, d double"))
     return reduce(DataFrame.unionByName, found)
 
@@ -182,11 +205,12 @@ def graph(one: DataFrame, p: GraphParams | None = None) -> DataFrame:
     p = p or GraphParams()
     edges = cut(best(_beside(one, p).filter("a <> b"), p.k))
     n = edges.count()
+    packed = cut(_packed(one).select("node", "vector")) if n else one
     for turn in range(p.rounds if n else 0):
-        more = _descend(one, edges, p, turn)
-        new = cut(best(edges.unionByName(more), p.k))
-        changed = new.count() - new.join(edges.select("a", "b"), ["a", "b"], "left_semi").count()
-        edges = new
+        more = _descend(packed, edges, p, turn)
+        new = cut(best(edges.withColumn("known", F.lit(True)).unionByName(more.withColumn("known", F.lit(False))), p.k))
+        changed = new.filter("not known").count()
+        edges = new.drop("known")
         if changed <= p.settled * n:
             break
     return edges
@@ -304,8 +328,13 @@ def places(one: DataFrame, edges: DataFrame, k: int = 15, p: MapParams | None =
         return y
     w = fuzzy(edges)
     both = cut(w.unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    for step in range(p.steps):
-        y = cut(_move(y, both, p.rate * (1 - step / p.steps), p.seed + step))
+    # Kept by b, so that no step shuffles the edges for their first join.
+    both = both.repartition(max(sc.defaultParallelism, both.count() // EDGES + 1), "b").persist()
+    try:
+        for step in range(p.steps):
+            y = cut(_move(y, both, p.rate * (1 - step / p.steps), p.seed + step))
+    finally:
+        both.unpersist()
     return y
 
 
@@ -318,26 +347,38 @@ def _move(y: DataFrame, both: DataFrame, rate: float, seed: int) -> DataFrame:
     def curve(d2: Column) -> Column:
         return 1 + CURVE_A * F.pow(d2, CURVE_B)
 
-    met = both.join(other, "b").join(own, "a")
+    met = both.join(other.hint("shuffle_hash"), "b").join(own.hint("shuffle_hash"), "a")  # a task holds the places of its nodes
     dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
     d2 = F.greatest(dx * dx + dy * dy, F.lit(1e-12))
     pull = F.col("w") * -2 * CURVE_A * CURVE_B * F.pow(d2, CURVE_B - 1) / curve(d2)
     drawn = met.groupBy("a").agg(F.sum(clip(pull * dx)).alias("px"), F.sum(clip(pull * dy)).alias("py"), F.sum("w").alias("pw"))
-    some = y.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(PUSHED).agg(F.collect_list(F.struct("x", "y")).alias("_all"))  # one row, PUSHED at most
-    drawn_at = F.transform(F.sequence(F.lit(0), F.lit(PUSHES - 1)), lambda k: F.get("_all", F.pmod(F.xxhash64("node", F.lit(seed), k), F.size("_all")).cast("int")))
-
-    def push(e: Column, c: str) -> Column:
-        ex, ey = F.col("x") - e["x"], F.col("y") - e["y"]
-        e2 = ex * ex + ey * ey
-        return clip(2 * CURVE_B / ((0.001 + e2) * curve(e2)) * (ex if c == "x" else ey))
-
-    total = lambda c: F.aggregate("_at", F.lit(0.0), lambda s, e: s + push(e, c)) * (5 / PUSHES)
-    pushed = y.crossJoin(F.broadcast(some)).withColumn("_at", drawn_at).select("node", "x", "y", total("x").alias("qx"), total("y").alias("qy"))
+    pushed = _pushed(y, seed)
     z = pushed.join(drawn.withColumnRenamed("a", "node"), "node", "left")
     go = lambda c: clip(F.coalesce(f"p{c}", F.lit(0.0)) + F.coalesce("pw", F.lit(0.0)) * F.col(f"q{c}"))
     return z.select("node", (F.col("x") + rate * go("x")).alias("x"), (F.col("y") + rate * go("y")).alias("y"))
 
 
+def _pushed(y: DataFrame, seed: int) -> DataFrame:
+    """(node, x, y, qx, qy): all nodes, and the sum of their PUSHES pushes, as if of 5."""
+    some = y.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(PUSHED).select("x", "y").collect()  # PUSHED at most
+    shared = y.sparkSession.sparkContext.broadcast(np.array(some, float).reshape(-1, 2))
+    drawn = F.array(*(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(k)), F.lit(max(len(some), 1))).cast("int") for k in range(PUSHES)))
+    kind = y.schema["node"].dataType.simpleString()
+
+    def push(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2000):
+                b = whole.slice(low, 2000)
+                own = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1)
+                e = own[:, None] - shared.value[_matrix(b.column(3))]
+                e2 = (e * e).sum(-1)
+                force = 2 * CURVE_B / ((0.001 + e2) * (1 + CURVE_A * e2**CURVE_B))
+                q = np.clip(force[:, :, None] * e, -4, 4).sum(1) * (5 / PUSHES)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(q[:, 0]), pa.array(q[:, 1])], ["node", "x", "y", "qx", "qy"])
+
+    return y.select("node", "x", "y", drawn.alias("drawn")).mapInArrow(push, f"node {kind}, x double, y double, qx double, qy double")
+
+
 def neighbours(df: DataFrame, key: str, vector: str, p: GraphParams | None = None) -> DataFrame:
     """(node, neighbour, rank, distance): about the k nearest different vectors of each different vector, as their least keys."""
     one, _ = nodes(df, key, vector)

@@ -89,3 +89,33 @@ def test_map_of_few(spark):
     one = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "k long, v array<double>")
     assert [(r.k, np.isfinite(r.x)) for r in N.neighbour_map(one, "k", "v").collect()] == [(1, True)]
     assert N.neighbour_map(one.filter(F.lit(False)), "k", "v").collect() == []
+
+
+def test_one_shuffle_finds_the_nearest_and_the_new(spark):
+    """Edges of a node meet once, where equal ones are one, are ranked, and keep whether they were known."""
+    rows = [(1, 2, 0.5, True), (1, 2, 0.4, False), (1, 3, 0.4, False), (1, 4, 0.9, True), (2, 1, 0.5, True)]
+    found = N.best(spark.createDataFrame(rows, "a long, b long, d double, known boolean"), 2)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 0.4, True), (1, 3, 0.4, False), (2, 1, 0.5, True)]
+    plan = N.best(spark.range(9).selectExpr("id a", "id b", "0D d"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_packed_vectors_and_pushes(spark):
+    """Packed vectors are the vectors; pushes are those of the places drawn, added one by one."""
+    r = np.random.default_rng(5)
+    one = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(r.normal(size=(40, 3)))], "node long, vector array<double>").repartition(3)
+    along = r.normal(size=(3, 2))
+    want = {x.node: np.array(x.vector) for x in one.collect()}
+    for x in N._packed(one, along).collect():
+        assert np.array_equal(np.frombuffer(x.vector), want[x.node]) and x.along == pytest.approx(list(want[x.node] @ along))
+    y = one.select("node", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
+    some = y.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(N.PUSHED).collect()
+    draws = {x.node: x.d for x in y.select("node", F.array(*(F.pmod(F.xxhash64("node", F.lit(9), F.lit(k)), F.lit(40)) for k in range(N.PUSHES))).alias("d")).collect()}
+    for x in N._pushed(y, 9).collect():
+        q = np.zeros(2)
+        for k in draws[x.node]:
+            e = np.array([x.x - some[k].x, x.y - some[k].y])
+            e2 = float(e @ e)
+            q += np.clip(2 * N.CURVE_B / ((0.001 + e2) * (1 + N.CURVE_A * e2**N.CURVE_B)) * e, -4, 4) * 5 / N.PUSHES
+        assert (x.qx, x.qy) == pytest.approx(tuple(q))
+    assert N._pushed(y.filter("node < 0"), 9).collect() == []
